@@ -4,19 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.llm import decontaminate, matroska, pii, simhash
+from docweave.llm import chat, decontaminate, matroska, pieces, pii, simhash, toxicity
 from docweave.llm.common import table
-from docweave.llm.oracles import OP8
+from docweave.llm.oracles import OP1, OP8
 from docweave.registry import Registry
 
 REGISTRY = Registry()
 
 
+@REGISTRY.query("op1_chat", OP1)
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 @REGISTRY.query("op2_matroska")
 def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.store_texts(table(spark, sf_dir, "documents"))
 
 
+@REGISTRY.query("op3_pieces")
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_report(table(spark, sf_dir, "documents"))
+
+
 @REGISTRY.query("op4_pii")
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
@@ -30,3 +40,8 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("op9_simhash")
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_report(table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
