@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.llm import chat, decontaminate, langid, matroska, pieces, pii, simhash, toxicity
+from docweave.llm import chat, decontaminate, langid, matroska, pieces, pii, simhash, substrings, suffixes, toxicity
 from docweave.llm.common import table
 from docweave.llm.oracles import OP1, OP8
 from docweave.registry import Registry
@@ -37,6 +37,16 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_report(table(spark, sf_dir, "documents"))
 
 
+@REGISTRY.query("op6_suffixes")
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.cut_report(table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.query("op7_substrings")
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.cut_report(table(spark, sf_dir, "documents"))
+
+
 @REGISTRY.query("op8_decontamination", OP8)
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
