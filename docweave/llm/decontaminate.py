@@ -14,7 +14,6 @@ rows that repeat an item_id act as one item; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -162,3 +161,38 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.sha2(names.cast("binary"), 256).alias("items_sha256"),
         ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The documents that aren't contaminated, with all their columns. Narrow: a pass for each block of items, all columns ride along.
+
+    Hits of several blocks add up, so each pass adds its spans to a column that the last one judges.
+    """
+    spark = docs.sparkSession
+    names, at = docs.columns, docs.columns.index("text")
+    marks = "__spans"
+    while marks in names:
+        marks += "_"
+    df = docs.withColumn(marks, F.array().cast("array<array<bigint>>"))
+    for block in list(item_blocks(benchmark, block_words)) or [[]]:
+        shared = spark.sparkContext.broadcast(block)
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            finders = searchers(shared.value, window)
+            for batch in batches:
+                texts = batch.column(at).cast(pa.binary()).to_pylist()
+                spans = [merged([*map(tuple, old), *occurrences(words_of(t), finders)[0]]) for t, old in zip(texts, batch.column(len(names)).to_pylist(), strict=True)]
+                columns = [*batch.columns[:-1], pa.array(spans, pa.list_(pa.list_(pa.int64())))]
+                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+        df = df.mapInArrow(search, df.schema)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for t, spans in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+                n_hit = sum(b - a for a, b in spans)
+                keep.append(not (n_hit and 20 * n_hit >= len(words_of(t))))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(range(len(names)))
+
+    return df.mapInArrow(judge, docs.schema)
