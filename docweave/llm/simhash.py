@@ -100,7 +100,12 @@ def near_duplicate_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents with one row of each group of near-duplicates: that of the smallest id; rows that repeat it count once."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    """The documents with one row of each group of near-duplicates, that of the smallest id.
+
+    Of rows that repeat this id one stays; rows with a null id belong to no group
+    and stay. The join's partitioning by doc_id also serves the last step.
+    """
+    kept = near_duplicates(docs.where("doc_id is not null")).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    known = docs.where("doc_id is not null")
+    rows = known.join(kept, known["doc_id"] == kept["__kept"], "left_semi").dropDuplicates(["doc_id"])
+    return rows.unionByName(docs.where("doc_id is null"))
