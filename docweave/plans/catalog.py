@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docweave.plans import admission
+from docweave.plans import admission, validation
 from docweave.registry import Registry
 
-REGISTRY = Registry().merge(admission.REGISTRY)
+REGISTRY = Registry().merge(admission.REGISTRY, validation.REGISTRY)
