@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from docweave.functions import geometry as G
@@ -60,22 +63,44 @@ def claims(blocks: DataFrame, cells: DataFrame, keys: list[str], bucket: int) ->
     return near.groupBy(*keys).agg(F.min("cell").alias("cell"))
 
 
-def components_of_lines(crossings: DataFrame, rounds: int = 30) -> DataFrame:
-    """(page, line, root): lines linked by crossings (page, h, v), by minimum labels until nothing moves.
+def per_group(rows: DataFrame, keys: list[str], fields: list[str], fn: Callable[[list[dict]], list], result: str) -> DataFrame:
+    """keys, fields and ``result`` (a long for each row of a group, from a function of the group's rows in the order of fields).
 
-    Each round is checkpointed, so the plan stays short and a lost executor costs one round.
+    A group is one array column, so a Python worker sees Arrow batches of many
+    groups and pays nothing for each; groups are a page's or a table's bounded rows.
     """
-    arcs = crossings.selectExpr("page", "h as a", "v as b").unionByName(crossings.selectExpr("page", "v as a", "h as b")).distinct()
-    labels = arcs.select("page", F.col("a").alias("line")).distinct().withColumn("root", F.col("line"))
-    for _ in range(rounds):
-        best = arcs.join(labels.select("page", F.col("line").alias("b"), F.col("root").alias("r")), ["page", "b"]).groupBy("page", F.col("a").alias("line")).agg(F.min("r").alias("r"))
-        after = labels.join(best, ["page", "line"], "left").select("page", "line", F.least("root", "r").alias("root"), (F.col("r") < F.col("root")).alias("moved"))
-        after = after.checkpoint()
-        moved = after.where("moved").limit(1).count()
-        labels = after.drop("moved")
-        if not moved:
-            break
-    return labels
+    grouped = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("rows"))
+    schema = T.StructType([*grouped.schema.fields, T.StructField("out", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [fn(group) for group in batch.column(len(keys)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int64()))], names=[*batch.schema.names, "out"])
+
+    each = grouped.mapInArrow(run, schema).select(*keys, F.explode(F.arrays_zip("rows", "out")).alias("z"))
+    return each.select(*keys, *(F.col(f"z.rows.{f}").alias(f) for f in fields), F.col("z.out").alias(result))
+
+
+def components_of_lines(crossings: DataFrame) -> DataFrame:
+    """(page, h, v, root) of crossings (page, h, v): the smallest line number that a crossing's lines are linked with.
+
+    Links never leave a page, so union-find within each page replaces rounds of joins.
+    """
+
+    def roots(rows: list[dict]) -> list[int]:
+        above: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while above.setdefault(x, x) != x:
+                above[x] = x = above[above[x]]
+            return x
+
+        for r in rows:
+            a, b = top(r["h"]), top(r["v"])
+            above[max(a, b)] = min(a, b)
+        return [top(r["h"]) for r in rows]
+
+    return per_group(crossings, ["page"], ["h", "v"], roots, "root")
 
 
 def stopped(tokens: DataFrame, keys: list[str], position: str, token: str) -> DataFrame:
@@ -104,44 +129,44 @@ def cell_tokens(tokens: DataFrame, keys: list[str], position: str, token: str) -
     return cells.select(*keys, "row", "cell", span_attribute(F.col("attrs"), "rowspan").alias("row_span"), span_attribute(F.col("attrs"), "colspan").alias("col_span"))
 
 
-def placed(cells: DataFrame, keys: list[str], schema: str) -> DataFrame:
-    """Grid columns of cells: the next column whose whole span is free, given what earlier row spans hold. One table at a time, bounded by its grid."""
+def placed(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``column`` to cells (row, cell, row_span, col_span): the next column whose whole span is free, given what earlier row spans hold."""
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+    def place(rows: list[dict]) -> list[int]:
         taken: set[tuple[int, int]] = set()
-        at: dict[int, int] = {}
+        free: dict[int, int] = {}
         columns = []
-        pdf = pdf.sort_values(["row", "cell"])
-        for row, rs, cs in zip(pdf["row"], pdf["row_span"], pdf["col_span"], strict=True):
-            column = at.get(row, 0)
-            while any((row, column + k) in taken for k in range(cs)):
+        for r in rows:
+            row, width, column = r["row"], r["col_span"], free.get(r["row"], 0)
+            while any((row, column + k) in taken for k in range(width)):
                 column += 1
-            taken.update((row + r, column + c) for r in range(rs) for c in range(cs))
-            at[row] = column + cs
+            taken.update((row + down, column + k) for down in range(r["row_span"]) for k in range(width))
+            free[row] = column + width
             columns.append(column)
-        return pdf.assign(column=columns)[[f.split()[0] for f in schema.split(", ")]]
+        return columns
 
-    return cells.groupBy(*keys).applyInPandas(place, schema)
+    return per_group(cells, keys, ["row", "cell", "row_span", "col_span"], place, "column")
 
 
-def reading_order(blocks: DataFrame, keys: list[str], schema: str, tolerance: int = 10) -> DataFrame:
-    """Adds ``rank``: by y then x, then each block moves ahead of neighbours at most ``tolerance`` lower or higher that lie to its right.
+def reading_order(blocks: DataFrame, keys: list[str], tolerance: int = 10) -> DataFrame:
+    """Adds ``rank`` to blocks (y, x, seq): by y then x, then each block moves ahead of neighbours at most ``tolerance`` away in y that lie to its right.
 
-    The rule is not transitive, so the order is built by insertion, one page at a time.
+    The rule is not transitive, so the order is built by insertion within a page.
     """
 
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x", "seq"])
-        out: list[tuple[float, float, int]] = []
-        for k, (x, y) in enumerate(zip(pdf["x"], pdf["y"], strict=True)):
+    def order(rows: list[dict]) -> list[int]:
+        out: list[int] = []
+        for k, r in enumerate(rows):
             at = len(out)
-            while at and abs(out[at - 1][1] - y) <= tolerance and x < out[at - 1][0]:
+            while at and abs(rows[out[at - 1]]["y"] - r["y"]) <= tolerance and r["x"] < rows[out[at - 1]]["x"]:
                 at -= 1
-            out.insert(at, (x, y, k))
-        rank = {k: r for r, (_, _, k) in enumerate(out)}
-        return pdf.assign(rank=[rank[k] for k in range(len(pdf))])[[f.split()[0] for f in schema.split(", ")]]
+            out.insert(at, k)
+        rank = [0] * len(rows)
+        for place, k in enumerate(out):
+            rank[k] = place
+        return rank
 
-    return blocks.groupBy(*keys).applyInPandas(order, schema)
+    return per_group(blocks, keys, ["y", "x", "seq"], order, "rank")
 
 
 def grid_extent(cells: DataFrame, keys: list[str], rows: str) -> DataFrame:
