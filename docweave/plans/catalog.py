@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docweave.plans import admission, aggregates, joins, scalars, sequences, validation
+from docweave.plans import admission, aggregates, joins, scalars, sequences, streams, validation
 from docweave.registry import Registry
 
-REGISTRY = Registry().merge(*(m.REGISTRY for m in (admission, validation, joins, aggregates, sequences, scalars)))
+REGISTRY = Registry().merge(*(m.REGISTRY for m in (admission, validation, joins, aggregates, sequences, scalars, streams)))
