@@ -117,10 +117,15 @@ class FingerprintIndex:
                 yield pa.RecordBatch.from_arrays([pa.array(rows[n][keep], JUDGED.field(n).type) for n in names], schema=JUDGED)
 
         compacted = self._run(rows.mapInArrow(once, JUDGED_DDL))
-        for _, path in self.runs:  # what was judged stays; only the entries are replaced
+        self.drop()
+        self.runs = [compacted]
+
+    def drop(self) -> None:
+        """Delete the entries of all runs; the verdicts on past batches stay."""
+        for _, path in self.runs:
             for kind in (ANCHOR, MARK):
                 drop_path(self.spark, f"{path}/kind={kind}")
-        self.runs = [compacted]
+        self.runs = []
 
     def _run(self, rows: DataFrame) -> tuple[DataFrame, str]:
         return written(rows.sortWithinPartitions("kind", "key"), "run", by="kind")
@@ -145,6 +150,7 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches
         if hi is not None:
             part = part.where(F.col("doc_id") <= hi)
         verdicts.append(index.ingest(part))
+    index.drop()  # a whole-table call keeps none
     verdict = reduce(DataFrame.unionByName, verdicts)
     requests = verdict.where(F.col("kind") == REQUEST)
     ranges = ranges_of(verdict.where(F.col("kind") == COVERED), window).unionByName(compare(requests, known, spec))
