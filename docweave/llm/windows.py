@@ -150,6 +150,11 @@ SENT = pa.schema([(n, pa.int64()) for n in ("key", "ctx", "doc", "meta")])
 SENT_DDL = "key bigint, ctx bigint, doc bigint, meta bigint"
 
 
+def spread(rows: Rows) -> Rows:
+    """Rows that need no company, under a key of their document: a hot key's are not all dealt to one task."""
+    return rows | {"key": mix(rows["doc"].view(U64)).view(I64)}
+
+
 def packed(rows: Rows, kind: int) -> pa.RecordBatch:
     meta = (rows["place"] << 12) | (kind << 8) | rows["run"]
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (rows["key"], rows["ctx"], rows["doc"], meta)], schema=SENT)
@@ -165,13 +170,13 @@ def sent_by_map(spec: Spec) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
     def flush(parts: list[Rows]) -> Iterator[pa.RecordBatch]:
         rows, later = resolve(joined(parts), spec.within)
-        yield packed(taken(rows, later), COVERED)
+        yield packed(spread(taken(rows, later)), COVERED)
         rest = taken(rows, ~later)
         group, bounds = group_counts(rest["key"])
         hot = np.diff(bounds) > HOT_LOCAL
         yield packed(taken(rest, ~hot[group]), ANCHOR)
         if hot.any():
-            yield packed(taken(rest, hot[group]), REQUEST)
+            yield packed(spread(taken(rest, hot[group])), REQUEST)
             yield packed(taken(rest, bounds[:-1][hot]), MARK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,7 +356,7 @@ def fetched(spec: Spec) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             for piece, (doc, at) in windows.items():
                 put(_signed(piece), doc, at, 1, piece)
             for doc, at in covered:
-                put(0, doc, at, 1, None)
+                put(doc, doc, at, 1, None)
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in FETCHED], schema=FETCHED)
 
     return run
