@@ -25,12 +25,12 @@ MAX_DECODED_BYTES = 256 * 1024 * 1024
 
 
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
-    """path, size, sha256, media_type, content and error_code of each file. Files beyond the bound are listed and never read."""
+    """path, size, sha256, media_type, content and error_code of each file. Files beyond the bound are listed and never read; Spark leaves empty files out of its listing."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*").load(path)
-    small = files.where(F.col("length").between(1, MAX_SOURCE_BYTES))
-    odd = files.where(~F.col("length").between(1, MAX_SOURCE_BYTES)).select(
+    small = files.where(F.col("length") <= MAX_SOURCE_BYTES)
+    odd = files.where(F.col("length") > MAX_SOURCE_BYTES).select(
         "path", F.col("length").alias("size"), F.lit(None).cast("string").alias("sha256"), F.lit(None).cast("string").alias("media_type"), F.lit(None).cast("binary").alias("content"),
-        F.when(F.col("length") == 0, "source_invalid").otherwise("source_too_large").alias("error_code"),
+        F.lit("source_too_large").alias("error_code"),
     )
     kind = media_type(F.col("content"))
     read = small.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), kind.alias("media_type"), "content", F.when(kind.isNull(), "source_type_unsupported").alias("error_code"))
