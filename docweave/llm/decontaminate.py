@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import documents, rows_out
+from docweave.llm.common import documents, rows_out, slices
 
 WINDOW = 13
 #: Items are searched for in blocks of about so many words, so that what a broadcast holds is bounded.
@@ -134,7 +134,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             finders = searchers(shared.value, window)
-            for batch in batches:
+            for batch in slices(batches):
                 texts = batch.column("text").to_pylist()
                 out: dict[str, list] = {"doc_id": batch.column("doc_id"), "text": batch.column("text"), "n_words": [], "spans": [], "items": []}
                 for text, spans, items in zip(texts, batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True):
@@ -179,7 +179,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             finders = searchers(shared.value, window)
-            for batch in batches:
+            for batch in slices(batches):
                 texts = batch.column(at).cast(pa.binary()).to_pylist()
                 spans = [merged([*map(tuple, old), *occurrences(words_of(t), finders)[0]]) for t, old in zip(texts, batch.column(len(names)).to_pylist(), strict=True)]
                 columns = [*batch.columns[:-1], pa.array(spans, pa.list_(pa.list_(pa.int64())))]
@@ -188,7 +188,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
         df = df.mapInArrow(search, df.schema)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for t, spans in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
                 n_hit = sum(b - a for a, b in spans)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import held_out, rows_out
+from docweave.llm.common import held_out, rows_out, slices
 
 WINDOW = 192
 EMBEDDING = 8
@@ -195,7 +195,7 @@ def identify(docs: DataFrame, model: tuple[list[str], Params] | None) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         network = Network(model[1]) if model else None
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             sure = [bool(t) and LETTER.search(t) is not None and network is not None for t in texts]
             data = [t.encode() if ok else b"" for t, ok in zip(texts, sure, strict=True)]

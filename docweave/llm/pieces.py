@@ -28,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweave.llm.common import slices
+
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THETA = 1.0
 SEED = 7
 #: Rows are encoded together until they have so many characters.
-BLOCK_CHARS = 1 << 21
+BLOCK_CHARS = 1 << 19
 #: Log weight of a byte-piece edge: less likely than any piece.
 FALLBACK = -16.0
 SPACE_MARK = 0x2581
@@ -254,7 +256,7 @@ def encode_rows(docs: DataFrame, model_path: str = DEFAULT_MODEL, theta: float =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value, theta, seed)
-        for batch in batches:
+        for batch in slices(batches):
             keys, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             lo = 0
             while lo < len(texts):
@@ -280,7 +282,7 @@ def decode_rows(encoded: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [None if p is None else codec.decode(p) for p in batch.column("pieces").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], schema=schema)
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import held_out, rows_out
+from docweave.llm.common import held_out, rows_out, slices
 
 #: Bounds of what the classifier is fitted on: labelled documents of each class, and tokens that keep a score of their own.
 SAMPLE_PER_CLASS = 3_000
@@ -269,13 +269,13 @@ def find_passages(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = Model(**shared.value), {}
-        for batch in batches:
+        for batch in slices(batches):
             out: dict[str, list] = {"doc_id": batch.column("doc_id"), "score": [], "passages": []}
             for text in batch.column("text").to_pylist():
                 found = model.passages(tokens_of(text), known)
                 out["passages"].append([{"start": a, "end": b, "score": s, "p_value": p} for a, b, s, p in found])
                 out["score"].append(round(model.probability(model.evidence(found)), 9))
-                if len(known) > 400_000:
+                if len(known) > 200_000:
                     known.clear()
             yield rows_out(out, OUT)
 
@@ -295,9 +295,9 @@ def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = Model(**shared.value), {}
-        for batch in batches:
+        for batch in slices(batches):
             keep = [model.probability(model.evidence(model.passages(tokens_of(t), known))) < THRESHOLD for t in batch.column(at).to_pylist()]
-            if len(known) > 400_000:
+            if len(known) > 200_000:
                 known.clear()
             yield batch.filter(pa.array(keep, pa.bool_()))
 
