@@ -183,6 +183,10 @@ def set_law(model: Model, docs: Docs) -> None:
             sample[round(known[t], 2) if known[t] > 0 else model.drift] += 1
         positive = [(i, known[t]) for i, t in enumerate(tokens) if known[t] > 0]
         best.append((max((s for _, _, s in maximal_segments(positive, model.drift)), default=0.0), len(tokens)))
+    # A sample without any chance hit must not mean that lambda is unknown: the strongest token counts once more.
+    strongest = max([0.0, *model.tokens.values(), *model.families.values()])
+    if strongest > 0:
+        sample[round(strongest, 2)] += 1
     model.lam = min(MAX_LAMBDA, _lambda(sample))
     model.k = min(1.0, max(1.0, len(best)) / max(1.0, sum(n * math.exp(-model.lam * s) for s, n in best)))
 
