@@ -57,9 +57,13 @@ def claims(blocks: DataFrame, cells: DataFrame, keys: list[str], bucket: int) ->
     """
     lo = lambda n: F.floor(F.array_min(F.transform("quad", lambda p: p[n])) / bucket)
     hi = lambda n: F.floor(F.array_max(F.transform("quad", lambda p: p[n])) / bucket)
-    listed = cells.select("cell", "quad", F.explode(F.sequence(lo("x"), hi("x"))).alias("bx"), F.sequence(lo("y"), hi("y")).alias("bys")).select("cell", "quad", "bx", F.explode("bys").alias("by"))
+    # A quad's sides become plain columns, a point and a direction each, so that the test below is arithmetic only.
+    point = lambda k, n: F.col("quad")[k % 4][n]
+    sides = [c for k in range(4) for c in (point(k, "x").alias(f"x{k}"), point(k, "y").alias(f"y{k}"), (point(k + 1, "x") - point(k, "x")).alias(f"dx{k}"), (point(k + 1, "y") - point(k, "y")).alias(f"dy{k}"))]
+    listed = cells.where(G.area(F.col("quad")) > 0).select("cell", *sides, F.explode(F.sequence(lo("x"), hi("x"))).alias("bx"), F.sequence(lo("y"), hi("y")).alias("bys")).withColumn("by", F.explode("bys")).drop("bys")
     placed = blocks.withColumn("bx", F.floor(F.col("px") / bucket)).withColumn("by", F.floor(F.col("py") / bucket))
-    near = placed.join(listed, ["bx", "by"]).where(G.in_convex(F.col("px"), F.col("py"), F.col("quad"), degenerate=False))
+    cross = [F.expr(f"dx{k} * (py - y{k}) - dy{k} * (px - x{k})") for k in range(4)]
+    near = placed.join(listed, ["bx", "by"]).where((F.least(*cross) >= 0) | (F.greatest(*cross) <= 0))
     return near.groupBy(*keys).agg(F.min("cell").alias("cell"))
 
 
