@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import written
+from docweave.llm.common import slices, written
 from docweave.llm.pieces import Ranges, mix
 
 U64, I64 = np.uint64, np.int64
@@ -182,7 +182,7 @@ def sent_by_map(spec: Spec) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges = Ranges()
         parts, size = [], 0
-        for batch in batches:
+        for batch in slices(batches):
             texts = [(d, t) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if t and len(t) >= spec.window]
             for values, origin in pieces_of(texts, spec):
                 lens = np.array([len(v) for v in values])
@@ -323,41 +323,38 @@ FETCHED_DDL = "key bigint, doc bigint, place bigint, run int, bytes binary"
 def fetched(spec: Spec) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Documents with their requests to the runs' bytes. Windows of hot keys are sent one by one, repeats in the batch resolved here."""
 
+    def sent(out: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*out, strict=True) if out else ([] for _ in FETCHED)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, FETCHED, strict=True)], schema=FETCHED)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {f.name: [] for f in FETCHED}
             windows: dict[bytes, tuple[int, int]] = {}
             covered: set[tuple[int, int]] = set()
-
-            def put(*row, out=out) -> None:
-                for name, value in zip(out, row, strict=True):
-                    out[name].append(value)
-
-            for doc, text, requests in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("requests").to_pylist(), strict=True):
-                cut = spec.cut(text)
-                for r in requests:
-                    lo, n = r["place"], r["run"]
-                    whole = cut(lo, lo + n - 1 + spec.window)
-                    if whole is None:  # another row's place, where rows share a doc_id
-                        continue
-                    if not r["hot"]:
-                        put(r["key"], doc, lo, n, whole)
-                        continue
-                    for at in range(lo, lo + n):
-                        piece, here = cut(at, at + spec.window), (doc, at)
-                        best = windows.get(piece)
-                        if best is None or here < best:
-                            windows[piece], here = here, best
-                        if here is not None and here != windows[piece]:
-                            if spec.within or here[0] > windows[piece][0]:
-                                covered.add(here)
-                            else:
-                                put(_signed(piece), *here, 1, piece)
-            for piece, (doc, at) in windows.items():
-                put(_signed(piece), doc, at, 1, piece)
-            for doc, at in covered:
-                put(doc, doc, at, 1, None)
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in FETCHED], schema=FETCHED)
+            for part in slices(iter([batch]), 256):
+                out = []
+                for doc, text, requests in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), part.column("requests").to_pylist(), strict=True):
+                    cut = spec.cut(text)
+                    for r in requests:
+                        lo, n = r["place"], r["run"]
+                        whole = cut(lo, lo + n - 1 + spec.window)
+                        if whole is None:  # another row's place, where rows share a doc_id
+                            continue
+                        if not r["hot"]:
+                            out.append((r["key"], doc, lo, n, whole))
+                            continue
+                        for at in range(lo, lo + n):
+                            piece, here = cut(at, at + spec.window), (doc, at)
+                            best = windows.get(piece)
+                            if best is None or here < best:
+                                windows[piece], here = here, best
+                            if here is not None and here != windows[piece]:
+                                if spec.within or here[0] > windows[piece][0]:
+                                    covered.add(here)
+                                else:
+                                    out.append((_signed(piece), *here, 1, piece))
+                yield sent(out)
+            yield sent([(_signed(piece), doc, at, 1, piece) for piece, (doc, at) in windows.items()] + [(doc, doc, at, 1, None) for doc, at in covered])
 
     return run
 
