@@ -405,10 +405,13 @@ def compared(spec: Spec) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
 
 def compare(requests: DataFrame, docs: DataFrame, spec: Spec) -> DataFrame:
-    """(doc, lo, hi) of windows that repeat, from requests (key, doc, place, run, hot) and docs (doc_id, text), ids not null."""
+    """(doc, lo, hi) of windows that repeat, from requests (key, doc, place, run, hot) and docs (doc_id, text), ids not null.
+
+    Written, so that the texts and runs that were shuffled for it are gone before the result is joined with the texts.
+    """
     wanted = requests.groupBy("doc").agg(F.collect_set(F.struct("key", "place", "run", "hot")).alias("requests"))
     rows = docs.join(wanted, docs["doc_id"] == wanted["doc"]).select("doc_id", "text", "requests").mapInArrow(fetched(spec), FETCHED_DDL)
-    return by_key(rows).mapInArrow(compared(spec), RANGES_DDL)
+    return written(by_key(rows).mapInArrow(compared(spec), RANGES_DDL), "verified")[0]
 
 
 def ranges_of(covered: DataFrame, window: int) -> DataFrame:
