@@ -15,10 +15,18 @@ Defined results: null or wordless text has fingerprint zero, linked like any
 other; rows that repeat a doc_id each keep their own fingerprint; a null doc_id
 has the component of its fingerprint's other rows (null if all their ids are
 null); other columns are ignored.
+
+Fingerprints of 3 words and 2 bits are op9's contract. The pipeline's stage asks for
+more (``near_duplicates``): documents whose sets of 5-word shingles have a
+Jaccard similarity of ``SIMILARITY`` or more. Their fingerprints differ in up to 11
+bits and more, so candidates come from MinHash bands instead, and each is
+confirmed on the whole sets. A pair at the threshold shares none of the bands
+with a chance of 3e-10, a closer pair with less.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -28,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docweave.llm.common import documents, each_batch, rows_out, written
+from docweave.llm.common import documents, drop_path, each_batch, rows_out, slices, written
 from docweave.llm.components import components
 
 SHINGLE = 3
@@ -37,22 +45,33 @@ RADIUS = 2
 SEGMENT_BITS = 32
 #: Shingle hashes are counted in blocks of so many.
 COUNT_BLOCK = 1 << 14
+#: The stage's shingles, and its least similarity as a fraction.
+STAGE_SHINGLE = 5
+SIMILARITY = (4, 5)
+#: Of each set so many keys, each of so many least values: 1 - (1 - 0.8 ** 6) ** 72 is the chance that a pair at 0.8 shares one.
+BANDS, BAND_ROWS = 72, 6
+_DRAW = np.random.default_rng(SEED)
+#: Odd factors permute the 64-bit hashes; a band's key is a sum of products with its own factors.
+PERMUTE = _DRAW.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BAND_KEY = _DRAW.integers(0, 1 << 63, (BANDS, BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Hashes are permuted in blocks of so many, texts taken so many at a time.
+PERMUTE_BLOCK, STAGE_ROWS = 256, 128
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 #: The radius-1 balls of both segments: nothing, or one flipped bit of either.
 FLIPS = [0, *(1 << k for k in range(SEGMENT_BITS)), *(1 << (SEGMENT_BITS + k) for k in range(SEGMENT_BITS))]
 
 
-def shingle_hashes(text: bytes | None) -> list[int]:
+def shingle_hashes(text: bytes | None, shingle: int = SHINGLE) -> list[int]:
     words = text.translate(LOWER).split() if text else []
     if not words:
         return []
     joined = b" ".join(words)
-    if len(words) < SHINGLE:
+    if len(words) < shingle:
         return [xxhash.xxh64_intdigest(joined, SEED)]
     starts = [0, *accumulate(len(w) + 1 for w in words)]
     digest = xxhash.xxh64_intdigest
-    return [digest(joined[a : b - 1], SEED) for a, b in zip(starts, starts[SHINGLE:])]
+    return [digest(joined[a : b - 1], SEED) for a, b in zip(starts, starts[shingle:])]
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -83,8 +102,8 @@ def links(distinct: DataFrame) -> DataFrame:
     return near.where((F.col("node") != F.col("v")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_v"))) <= RADIUS)).select(F.col("node").alias("u"), "v")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id, a row for each row of docs."""
+def fingerprint_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, fp and component_id by op9's contract, a row for each row of docs."""
     prints, _ = written(fingerprints(docs), "fingerprints")
     # A class whose ids are all null has no id to be known by: it links to nothing.
     nodes, _ = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
@@ -96,16 +115,103 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
     """The contract's columns: doc_id, fingerprint in hex and component_id."""
-    return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fingerprint_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def shingle_set(text: bytes | None) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, STAGE_SHINGLE), dtype="<u8"))
+
+
+def set_print(shingles: np.ndarray) -> int:
+    """The set's own name, by which equal sets are one entry."""
+    return xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """The set's keys, none for the empty set. Sets that share a key are candidates."""
+    if not len(shingles):
+        return np.zeros(0, np.uint64)
+    least = np.full(len(PERMUTE), np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(shingles), PERMUTE_BLOCK):
+        np.minimum(least, np.multiply.outer(shingles[k : k + PERMUTE_BLOCK], PERMUTE).min(axis=0), out=least)
+    return (least.reshape(BANDS, BAND_ROWS) * BAND_KEY).sum(axis=1, dtype=np.uint64)
+
+
+BANDED = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64()))])
+SETS = pa.schema([("fp", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+signed = lambda values: np.array(values, np.uint64).view(np.int64)
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches, STAGE_ROWS):
+        sets = [shingle_set(t) for t in b.column("text").to_pylist()]
+        yield rows_out({"doc_id": b.column("doc_id"), "fp": signed([set_print(s) for s in sets]), "n": [len(s) for s in sets], "keys": [signed(band_keys(s)) for s in sets]}, BANDED)
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches, STAGE_ROWS):
+        sets = [shingle_set(t) for t in b.column("text").to_pylist()]
+        yield rows_out({"fp": signed([set_print(s) for s in sets]), "shingles": [signed(s) for s in sets]}, SETS)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) of sets (fp, shingles) that are similar enough, counted on the whole sets."""
+    part, whole = SIMILARITY
+    side = lambda end: sets.select(F.col("fp").alias(end), F.col("shingles").alias(f"of_{end}"))
+    both = pairs.distinct().join(side("u"), "u").join(side("v"), "v")
+    common = F.size(F.array_intersect("of_u", "of_v"))
+    return both.where((part + whole) * common >= part * (F.size("of_u") + F.size("of_v"))).select("u", "v")
+
+
+def set_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (u, v) between the sets of a table (fp, n, keys, node); all sets of a component stay connected.
+
+    First each set meets the least one of each of its buckets. Where that leaves
+    a bucket in several components, its sets of different components meet each
+    other, so a large group of copies is never listed pair by pair and no pair is
+    left out.
+    """
+    part, whole = SIMILARITY
+    bucket = Window.partitionBy("key")
+    keyed = nodes.select("fp", "n", "node", F.explode("keys").alias("key"))
+    shared = keyed.select("*", F.count("*").over(bucket).alias("size"), F.min(F.struct("fp", "n")).over(bucket).alias("least")).where("size > 1")
+    shared, shared_path = written(shared, "buckets")
+    wanted = shared.select(F.col("node").alias("doc_id")).distinct()
+    sets, sets_path = written(documents(docs).join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "fp bigint, shingles array<bigint>").dropDuplicates(["fp"]), "sets")
+    alike = lambda a, b: whole * F.least(a, b) >= part * F.greatest(a, b)
+    first = shared.where((F.col("fp") != F.col("least.fp")) & alike(F.col("n"), F.col("least.n"))).select(F.col("fp").alias("u"), F.col("least.fp").alias("v"))
+    first, _ = written(confirmed(first, sets), "links")
+    roots = components(first).withColumnRenamed("node", "fp")
+    left = shared.where("size > 2").join(roots, "fp", "left").select("key", "fp", "n", F.col("least.fp").alias("met"), F.coalesce("root", "fp").alias("root"))
+    left = left.select("*", F.min("root").over(bucket).alias("lo"), F.max("root").over(bucket).alias("hi")).where("lo <> hi and fp <> met")
+    left, left_path = written(left.select("key", "fp", "n", "root"), "buckets")
+    a, b = left.alias("a"), left.alias("b")
+    meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") > F.col("b.fp")) & (F.col("a.root") != F.col("b.root")) & alike(F.col("a.n"), F.col("b.n"))
+    rest = a.join(b, meet).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+    more, _ = written(confirmed(rest, sets), "links")
+    for path in (shared_path, sets_path, left_path):
+        drop_path(docs.sparkSession, path)
+    return first.unionByName(more)
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fp (of the shingle set) and component_id by the stage's similarity, a row for each row of docs."""
+    prints, _ = written(documents(docs).mapInArrow(_banded, "doc_id bigint, fp bigint, n bigint, keys array<bigint>"), "bands")
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    # Sets are linked under their own names, as ids may repeat; the component's id is its least document's.
+    roots = components(set_links(docs, nodes.where(F.col("node").isNotNull())))
+    labels = nodes.select("fp", "node").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "node", F.coalesce("root", "fp").alias("root"))
+    labels = labels.select("fp", F.min("node").over(Window.partitionBy("root")).alias("component_id"))
+    return prints.select("doc_id", "fp").join(labels, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = fingerprint_groups) -> DataFrame:
     """The documents with one row of each group of near-duplicates, that of the smallest id.
 
     Of rows that repeat this id one stays; rows with a null id belong to no group
     and stay. The join's partitioning by doc_id also serves the last step.
     """
-    kept = near_duplicates(docs.where("doc_id is not null")).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    kept = groups(docs.where("doc_id is not null")).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     known = docs.where("doc_id is not null")
     rows = known.join(kept, known["doc_id"] == kept["__kept"], "left_semi").dropDuplicates(["doc_id"])
     return rows.unionByName(docs.where("doc_id is null"))

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from docweave.llm import decontaminate, langid, matroska, pieces, pii, simhash, toxicity
 from docweave.llm.common import table
 from docweave.llm.components import components
@@ -247,6 +248,36 @@ def test_simhash_odd_rows(odd, empty):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({r.component_id for r in rows if r.doc_id is not None})
 
 
+def brute_set(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", words)
+    return frozenset([" ".join(words[k : k + 5]) for k in range(len(words) - 4)] or ([" ".join(words)] if words else []))
+
+
+def test_stage_keeps_one_of_each_similar_group(spark, sf):
+    """Near copies whose fingerprints are far apart, a large group of them, and passages that many share."""
+    rng = np.random.default_rng(3)
+    draw = lambda n: [f"w{k}" for k in rng.integers(0, 10**6, n)]
+    base, passage = draw(300), draw(40)
+    edited = [" ".join(w if k not in hit else f"x{c}" for k, w in enumerate(base)) for c in range(60) for hit in [set(rng.integers(0, 300, 5).tolist())]]
+    mixed = [" ".join(draw(20) + passage) for _ in range(60)]
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(10_000 + k, t) for k, t in enumerate([*edited, *mixed])], "doc_id bigint, text string"))
+    sets = [(r.doc_id, brute_set(r.text)) for r in docs.collect()]
+    root = {i: i for i, _ in sets}
+    top = lambda x: x if root[x] == x else top(root[x])
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            if a == b or 10 * len(a & b) >= 8 * len(a | b):
+                lo, hi = sorted((top(i), top(j)))
+                root[hi] = lo
+    assert top(177) == top(1) and top(145) == top(6)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert got == {i: top(i) for i in root}
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, sf)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in root if top(i) == i)
+
+
 # Toxicity and language
 
 
