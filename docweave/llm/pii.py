@@ -35,6 +35,17 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN_LEAST = 15
+#: Registered lengths of an IBAN by country (ISO 13616).
+IBAN_LENGTHS = {
+    c: int(entry[:2])
+    for entry in (
+        "15 NO", "16 BE", "18 DK FI FK FO GL NL SD", "19 MK SI", "20 AT BA EE KZ LT LU MN XK", "21 CH HR LI LV", "22 BG BH CR DE GB GE IE ME RS VA",
+        "23 AE GI IL IQ OM SO TL", "24 AD CZ ES MD PK RO SA SE SK TN VG", "25 LY PT ST", "26 IS TR", "27 BI DJ FR GR IT MC MR SM", "28 AL AZ BY CY DO GT HU LB NI PL SV",
+        "29 BR EG PS QA UA", "30 JO KW MU YE", "31 MT SC", "32 LC", "33 RU",
+    )
+    for c in entry[3:].split()
+}
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
 #: Words nearby that make a kind likelier, and words that make any kind less so.
@@ -91,6 +102,26 @@ def digits_of(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def iban_ends(text: str, lo: int, hi: int) -> list[int]:
+    """Where a candidate may end: the country's length and then the whole, or for other countries every token from the longest."""
+    ends = [k for k in range(hi, lo, -1) if k == hi or text[k] == " "]
+    length = {k: k - lo - text.count(" ", lo, k) for k in ends}
+    known = IBAN_LENGTHS.get(text[lo : lo + 2])
+    return sorted((k for k in ends if length[k] == known or k == hi), key=lambda k: length[k] != known) if known else [k for k in ends if length[k] >= IBAN_LEAST]
+
+
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """A candidate takes in upper-case words and numbers that follow; where no end is confirmed, the next start may lie within it."""
+    at = 0
+    while m := IBAN.search(text, at):
+        lo, at = m.start(), m.start() + 1
+        for hi in iban_ends(text, *m.span()):
+            if mod97(text[lo:hi].replace(" ", "")):
+                yield lo, hi
+                at = hi
+                break
+
+
 def proposals(text: str) -> Iterator[tuple[str, int, int]]:
     """Confirmed spans of every kind, by kind and then by start."""
     for lo, hi in emails(text):
@@ -105,9 +136,8 @@ def proposals(text: str) -> Iterator[tuple[str, int, int]]:
         for m in PHONE.finditer(text):
             if 9 <= len(digits_of(m[0])) <= 15:
                 yield "phone", *m.span()
-    for m in IBAN.finditer(text):
-        if mod97(m[0].replace(" ", "")):
-            yield "iban", *m.span()
+    for lo, hi in ibans(text):
+        yield "iban", lo, hi
     for m in SSN.finditer(text):
         area, group, serial = m[0].split("-")
         if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000":

@@ -135,6 +135,19 @@ def test_pii_added_kinds_and_context():
     assert pii.find("order 123-45-6789") == []
 
 
+def test_pii_iban_before_other_tokens():
+    bare, spaced, other = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    for iban, tail in [(bare, " EUR 100"), (spaced, " BIC COBADEFF"), (bare, " 12 March"), (bare, ""), (spaced, f" {other}"), (other, " A1 B2 C3 D4 E5 F6")]:
+        for head in ("", "pay to ", "AB12 CDEF GHIJ KLMN "):
+            found = [(s.start, s.end) for s in pii.find(head + iban + tail) if s.kind == "iban"]
+            assert found[0] == (len(head), len(head) + len(iban)) and len(found) == 1 + (tail[1:] == other), head + iban + tail
+    # A country without a registered length: the tokens from the longest, here with check digits made for it.
+    made = next(f"ZZ{k:02}ABCD12345678901" for k in range(2, 99) if pii.mod97(f"ZZ{k:02}ABCD12345678901"))
+    assert [(s.start, s.end) for s in pii.find(f"{made} EUR") if s.kind == "iban"] == [(0, len(made))]
+    paid = f"{bare} EUR 100"
+    assert pii.redacted(paid, pii.find(paid)) == "[IBAN] EUR 100"
+
+
 def test_pii_report(odd, empty):
     rows = {r.doc_id: r for r in pii.pii_report(odd).collect()}
     assert (rows[11].n_email, rows[11].n_phone, rows[11].n_card) == (1, 1, 1)
