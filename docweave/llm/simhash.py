@@ -84,13 +84,18 @@ def fingerprint(text: bytes | None) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+PRINTS = pa.schema([("doc_id", pa.int64()), ("mark", pa.binary()), ("fp", pa.int64())])
+
+
+def mark() -> F.Column:
+    """A digest of the text: with the id it names a row whose id others have too."""
+    return F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint's bits as a signed long."""
-    run = lambda b: rows_out({"doc_id": b.column("doc_id"), "fp": np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)}, PRINTS)
-    return documents(docs).mapInArrow(each_batch(run), "doc_id bigint, fp bigint")
+    """doc_id, mark and fp, the fingerprint's bits as a signed long."""
+    run = lambda b: rows_out({"doc_id": b.column("doc_id"), "mark": b.column("mark"), "fp": np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)}, PRINTS)
+    return documents(docs).withColumn("mark", mark()).mapInArrow(each_batch(run), "doc_id bigint, mark binary, fp bigint")
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -103,14 +108,14 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def fingerprint_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id by op9's contract, a row for each row of docs."""
+    """doc_id, mark, fp, group and component_id by op9's contract, a row for each row of docs; rows of one fingerprint are a group."""
     prints, _ = written(fingerprints(docs), "fingerprints")
     # A class whose ids are all null has no id to be known by: it links to nothing.
     nodes, _ = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
     known = nodes.where(F.col("node").isNotNull())
     roots = components(links(known))
     labels = known.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return prints.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
+    return prints.join(labels, "fp", "left").select("doc_id", "mark", "fp", F.col("fp").alias("group"), "component_id")
 
 
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
@@ -137,7 +142,7 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return (least.reshape(BANDS, BAND_ROWS) * BAND_KEY).sum(axis=1, dtype=np.uint64)
 
 
-BANDED = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64()))])
+BANDED = pa.schema([("doc_id", pa.int64()), ("mark", pa.binary()), ("fp", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64()))])
 SETS = pa.schema([("fp", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 signed = lambda values: np.array(values, np.uint64).view(np.int64)
 
@@ -145,7 +150,7 @@ signed = lambda values: np.array(values, np.uint64).view(np.int64)
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, STAGE_ROWS):
         sets = [shingle_set(t) for t in b.column("text").to_pylist()]
-        yield rows_out({"doc_id": b.column("doc_id"), "fp": signed([set_print(s) for s in sets]), "n": [len(s) for s in sets], "keys": [signed(band_keys(s)) for s in sets]}, BANDED)
+        yield rows_out({"doc_id": b.column("doc_id"), "mark": b.column("mark"), "fp": signed([set_print(s) for s in sets]), "n": [len(s) for s in sets], "keys": [signed(band_keys(s)) for s in sets]}, BANDED)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,23 +200,26 @@ def set_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (of the shingle set) and component_id by the stage's similarity, a row for each row of docs."""
-    prints, _ = written(documents(docs).mapInArrow(_banded, "doc_id bigint, fp bigint, n bigint, keys array<bigint>"), "bands")
+    """doc_id, mark, fp (of the shingle set), group and component_id by the stage's similarity, a row for each row of docs; components that share an id are several groups."""
+    prints, _ = written(documents(docs).withColumn("mark", mark()).mapInArrow(_banded, "doc_id bigint, mark binary, fp bigint, n bigint, keys array<bigint>"), "bands")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     # Sets are linked under their own names, as ids may repeat; the component's id is its least document's.
     roots = components(set_links(docs, nodes.where(F.col("node").isNotNull())))
     labels = nodes.select("fp", "node").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "node", F.coalesce("root", "fp").alias("root"))
-    labels = labels.select("fp", F.min("node").over(Window.partitionBy("root")).alias("component_id"))
-    return prints.select("doc_id", "fp").join(labels, "fp", "left").select("doc_id", "fp", "component_id")
+    labels = labels.select("fp", F.col("root").alias("group"), F.min("node").over(Window.partitionBy("root")).alias("component_id"))
+    return prints.select("doc_id", "mark", "fp").join(labels, "fp", "left").select("doc_id", "mark", "fp", "group", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = fingerprint_groups) -> DataFrame:
     """The documents with one row of each group of near-duplicates, that of the smallest id.
 
-    Of rows that repeat this id one stays; rows with a null id belong to no group
-    and stay. The join's partitioning by doc_id also serves the last step.
+    Of a group's rows that repeat this id one stays, that of the smallest mark: an
+    id that several groups know keeps a row for each. Rows with a null id belong to
+    no group and stay. The join's partitioning also serves the last step.
     """
-    kept = groups(docs.where("doc_id is not null")).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     known = docs.where("doc_id is not null")
-    rows = known.join(kept, known["doc_id"] == kept["__kept"], "left_semi").dropDuplicates(["doc_id"])
+    own = groups(known).where("doc_id = component_id").groupBy("group").agg(F.min(F.struct("doc_id", "mark")).alias("own"))
+    kept = own.select(F.col("own.doc_id").alias("__kept"), F.col("own.mark").alias("__mark")).distinct()
+    rows = known.withColumn("__text", mark())
+    rows = rows.join(kept, (rows["doc_id"] == kept["__kept"]) & (rows["__text"] == kept["__mark"]), "left_semi").dropDuplicates(["doc_id", "__text"]).drop("__text")
     return rows.unionByName(docs.where("doc_id is null"))

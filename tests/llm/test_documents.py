@@ -291,6 +291,14 @@ def test_stage_keeps_one_of_each_similar_group(spark, sf):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in root if top(i) == i)
 
 
+@pytest.mark.parametrize("groups", [simhash.fingerprint_groups, simhash.near_duplicates])
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark, groups):
+    copied, other, third = (" ".join(f"{c}{k}" for k in range(40)) for c in "abc")
+    texts = [(1, copied), (5, copied), (5, other), (5, other), (5, third), (6, other), (None, other)]
+    kept = simhash.keep_one_of_each(spark.createDataFrame(texts, "doc_id bigint, text string"), groups).collect()
+    assert Counter(map(tuple, kept)) == Counter([(1, copied), (5, other), (5, third), (None, other)])
+
+
 # Toxicity and language
 
 
