@@ -104,7 +104,17 @@ def components_of_lines(crossings: DataFrame) -> DataFrame:
             above[max(a, b)] = min(a, b)
         return [top(r["h"]) for r in rows]
 
-    return per_group(crossings, ["page"], ["h", "v"], roots, "root")
+    fields = [c for c in crossings.columns if c not in ("page", "h", "v")]
+    return per_group(crossings, ["page"], ["h", "v", *fields], roots, "root")
+
+
+def admitted_components(crossings: DataFrame) -> DataFrame:
+    """Components of crossings (page, h, v, x, y) with lines and crossings enough: their counts and extents by page and root."""
+    g = components_of_lines(crossings).groupBy("page", "root").agg(
+        F.countDistinct("h").alias("horizontal"), F.countDistinct("v").alias("vertical"), F.count("*").alias("crossings"),
+        F.min("x").alias("left"), F.min("y").alias("top"), F.max("x").alias("right"), F.max("y").alias("bottom"),
+    )
+    return g.where((F.col("horizontal") >= MIN_LINES) & (F.col("vertical") >= MIN_LINES) & (F.col("crossings") >= MIN_CROSSINGS))
 
 
 def stopped(tokens: DataFrame, keys: list[str], position: str, token: str) -> DataFrame:

@@ -63,9 +63,8 @@ def line_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = s.withColumn("line", F.row_number().over(Window.partitionBy("page").orderBy("axis", "fixed", "lo", "hi")).cast("bigint"))
     h, v = s.where("axis = 0").alias("h"), s.where("axis = 1").alias("v")
     near = (F.col("h.page") == F.col("v.page")) & F.col("v.fixed").between(F.col("h.lo") - 3, F.col("h.hi") + 3) & F.col("h.fixed").between(F.col("v.lo") - 3, F.col("v.hi") + 3)
-    x = h.join(v, near).select(F.col("h.page").alias("page"), F.col("h.line").alias("h"), F.col("v.line").alias("v"))
-    g = tables.components_of_lines(x).groupBy("page", "root").agg(F.countDistinct("h").alias("horizontal"), F.countDistinct("v").alias("vertical"))
-    return g.where((F.col("horizontal") >= tables.MIN_LINES) & (F.col("vertical") >= tables.MIN_LINES))
+    x = h.join(v, near).select(F.col("h.page").alias("page"), F.col("h.line").alias("h"), F.col("v.line").alias("v"), F.col("v.fixed").alias("x"), F.col("h.fixed").alias("y"))
+    return tables.admitted_components(x)
 
 
 @REGISTRY.query("reading_order")

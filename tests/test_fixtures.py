@@ -290,3 +290,12 @@ def test_engine(spark):
     with pytest.raises(ValueError):
         engine.extract_batch(out, ["text", "text"])
     assert Descriptor("p", "e").with_stages(["seal", "text", "text"]).stages == ("text", "seal")
+
+
+def test_components_need_four_crossings(spark):
+    """A 2 x 2 grid is admitted with its extents; a chain of two lines each way with three crossings is not."""
+    from docweave.operators import tables
+
+    grid, chain = [(1, 1, 3, 10, 5), (1, 1, 4, 30, 5), (1, 2, 3, 10, 25), (1, 2, 4, 30, 25)], [(2, 1, 3, 10, 5), (2, 1, 4, 30, 5), (2, 2, 4, 30, 25)]
+    x = spark.createDataFrame(grid + chain, "page bigint, h bigint, v bigint, x bigint, y bigint")
+    assert [tuple(r) for r in tables.admitted_components(x).collect()] == [(1, 1, 2, 2, 4, 10, 5, 30, 25)]
