@@ -2,20 +2,28 @@
 
 Tokens are lower-cased runs of letters. From a bounded sample of labelled
 documents, each token's log-odds between toxic and clean documents are taken
-with an informative Dirichlet prior: the counts of the token's family (words
+with an informative Dirichlet prior: the balance of the token's family (words
 with the same first letters) in the same sample, so rare forms of a known word
 lean on their family. A token's score is its log-odds, shrunk by their standard
-error; a token without evidence scores slightly below zero. A document is
-scanned once, in linear time, for all maximal scoring segments (Ruzzo and Tompa);
-those are its toxic passages. Their scores follow an extreme-value law under
-chance (Karlin and Altschul): with its parameters lambda and K fitted on clean
-training documents, a passage of score s among n tokens has the p-value
-1 - exp(-K n exp(-lambda s)). The document's score is the calibrated probability
-from the summed evidence of its significant passages.
+error; a token that the sample lacks, or without evidence, scores ``DRIFT``,
+slightly below zero. A document is scanned once, in linear time, for all maximal
+scoring segments (Ruzzo and Tompa). Their scores follow an extreme-value law
+under chance (Karlin and Altschul): with its parameters lambda and K fitted on
+clean training documents, a segment of score s among n tokens has the p-value
+1 - exp(-K n exp(-lambda s)). Scattered hits are weighed together: of the r best
+segments, the sum of their normalized scores lambda s - ln(K n) has its own
+tail, and the r of the least p-value is the document's evidence. Segments that
+are significant alone or together are its toxic passages. The document's score
+is the share of toxic documents at such evidence among labelled documents that
+the token scores were not counted on (a monotone fit).
 
 Defined results: null or empty text scores as one without evidence; several
-labels of one document count as toxic if one does; without labelled documents
-of both classes every score is the prior, 0; other columns are ignored.
+labels of one document count as toxic if one does; rows that repeat a document
+each have its score; without labelled documents of both classes every score is
+0; an empty table gives no row; very long texts are read whole, in time linear in
+their length; other columns, whatever their names, are ignored, and
+``reject_toxic`` hands them on. Ids are whole numbers; others raise Spark's cast
+error.
 """
 
 from __future__ import annotations
@@ -33,19 +41,22 @@ from pyspark.sql import functions as F
 
 from docweave.llm.common import held_out, rows_out, slices
 
-#: Bounds of what the classifier is fitted on: labelled documents of each class, and tokens that keep a score of their own.
+#: Bounds of what the classifier is fitted on: labelled documents of each class, and bytes of their texts altogether.
 SAMPLE_PER_CLASS = 3_000
-MAX_TOKENS = 200_000
+SAMPLE_BYTES = 128 << 20
 #: Letters that make a token's families, longest first, and the weight of a prior, in documents.
 FAMILIES = (6, 5, 4)
-PRIOR_WEIGHT = 1.0
-#: What a token's log-odds must exceed to count for a passage: chance differences between the classes stay below zero.
-MARGIN = 2.0
-SHRINK = 2.0
-#: Documents that a token or family must be in to have a score of its own.
-MIN_DOCS = 3
+PRIOR_WEIGHT = 8.0
+#: What a token's log-odds must exceed to count for a passage, and by how many standard errors they shrink.
+MARGIN = 1.0
+SHRINK = 0.5
+DRIFT = -0.1
+#: Documents that a token must be in to have a score of its own.
+MIN_DOCS = 2
 MAX_LAMBDA = 5.0
-#: A passage counts if its p-value is at most this.
+#: Each part of the sample is judged by the counts of the others.
+FOLDS = 4
+#: Passages count if their p-value, alone or together, is at most this.
 SIGNIFICANT = 0.05
 THRESHOLD = 0.3
 
@@ -82,111 +93,118 @@ def maximal_segments(scores: list[tuple[int, float]], drift: float) -> list[tupl
     return [(a, b, right - left) for a, b, left, right in found]
 
 
+Segment = tuple[int, int, float]
+
+
 @dataclass
 class Model:
-    """What a fit leaves: token and family scores, the drift, the extreme-value law and the calibration."""
+    """What a fit leaves: scores of the tokens that speak for toxicity, the extreme-value law and the calibration."""
 
     tokens: Scores = field(default_factory=dict)
-    families: Scores = field(default_factory=dict)
-    drift: float = -0.1
     lam: float = 1.0
     k: float = 0.1
-    slope: float = 0.0
-    offset: float = -math.inf
-
-    def score_of(self, token: str) -> float:
-        own = self.tokens.get(token)
-        if own is not None:
-            return own
-        for n in FAMILIES:
-            if len(token) >= n and (score := self.families.get(token[:n])) is not None:
-                return score
-        return self.drift
-
-    def passages(self, tokens: list[str], known: Scores) -> list[tuple[int, int, float, float]]:
-        """(start, end, score, p-value) of the significant passages. known caches scores by token."""
-        positive = []
-        for at, token in enumerate(tokens):
-            score = known.get(token)
-            if score is None:
-                score = known[token] = self.score_of(token)
-            if score > 0:
-                positive.append((at, score))
-        return [(a, b, s, p) for a, b, s in maximal_segments(positive, self.drift) if (p := self.p_value(s, len(tokens))) <= SIGNIFICANT]
+    at: list[float] = field(default_factory=lambda: [0.0])
+    share: list[float] = field(default_factory=lambda: [0.0])
+
+    def segments(self, tokens: list[str]) -> list[Segment]:
+        score = self.tokens.get
+        return maximal_segments([(at, s) for at, t in enumerate(tokens) if (s := score(t)) is not None], DRIFT)
 
     def p_value(self, score: float, n: int) -> float:
         return -math.expm1(-self.k * max(n, 1) * math.exp(-self.lam * score))
 
-    def evidence(self, passages: list[tuple[int, int, float, float]]) -> float:
-        """Summed surprise of the passages, in nats; each counts up to 50."""
-        return sum(min(50.0, -math.log(max(p, 1e-300))) for _, _, _, p in passages)
+    def joint(self, scores: list[float], n: int) -> tuple[float, int]:
+        """The surprise (-ln p, 0 or more) of the r best segments of n tokens, for the r where it is largest, and that r.
+
+        The sum T of r normalized scores has the tail exp(-T) T^(r-1) / (r! (r-1)!);
+        as several r are tried, the r-th takes 2^-r of the chance allowed.
+        """
+        floor = max(0.0, math.log(max(self.k * max(n, 1), 1e-300)))
+        total, best, count = 0.0, 0.0, 0
+        for r, s in enumerate(sorted(scores, reverse=True), 1):
+            gain = self.lam * s - floor
+            if gain <= 0:  # the rest gains nothing either
+                break
+            total += gain
+            surprise = total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r) - r * math.log(2)
+            if total > r - 1 and surprise > best:
+                best, count = surprise, r
+        return best, count
+
+    def evidence(self, tokens: list[str]) -> float:
+        return self.joint([s for _, _, s in self.segments(tokens)], len(tokens))[0]
+
+    def passages(self, tokens: list[str]) -> tuple[list[tuple[int, int, float, float]], float]:
+        """(start, end, score, p-value) of the significant passages by start, and the document's evidence."""
+        found = self.segments(tokens)
+        evidence, r = self.joint([s for _, _, s in found], len(tokens))
+        best = sorted(found, key=lambda f: (-f[2], f[0]))
+        together = set(best[:r]) if math.exp(-evidence) <= SIGNIFICANT else set()
+        return [(a, b, s, p) for a, b, s in found if (p := self.p_value(s, len(tokens))) <= SIGNIFICANT or (a, b, s) in together], evidence
 
     def probability(self, evidence: float) -> float:
-        x = self.slope * math.log1p(evidence) + self.offset
-        return 0.0 if x < -700 else 1 / (1 + math.exp(-x))
-
+        return float(np.interp(evidence, self.at, self.share))
 
-def log_odds(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, prior: dict[str, tuple[float, float]] | None = None) -> Scores:
-    """Shrunk log-odds of each key between the classes; n is the number of (document, token) pairs of each.
 
-    The Dirichlet prior of a key is a pair of pseudo-counts: its family's, or else
-    PRIOR_WEIGHT split as the pooled text is. The estimate moves towards zero by
-    SHRINK standard errors and then down by MARGIN.
-    """
-    out = {}
-    pooled = PRIOR_WEIGHT * n_toxic / (n_toxic + n_clean), PRIOR_WEIGHT * n_clean / (n_toxic + n_clean)
-    for key in toxic.keys() | clean.keys():
-        a, b = prior.get(key, pooled) if prior else pooled
-        x, y = toxic[key] + a, clean[key] + b
-        delta = math.log(x / n_toxic) - math.log(y / n_clean)
-        out[key] = math.copysign(max(0.0, abs(delta) - SHRINK * math.sqrt(1 / (x + 0.5) + 1 / (y + 0.5))), delta) - MARGIN
-    return out
+@dataclass
+class Counts:
+    """Documents of each class (clean, toxic) that a token or a family is in, and their (document, token) pairs."""
 
+    tokens: tuple[Counter, Counter] = field(default_factory=lambda: (Counter(), Counter()))
+    families: tuple[Counter, Counter] = field(default_factory=lambda: (Counter(), Counter()))
 
-Docs = list[tuple[list[str], int]]
+    def add(self, tokens: list[str], y: int) -> None:
+        """A document counts a token once, so one long or repetitive document says little."""
+        distinct = set(tokens)
+        self.tokens[y].update(distinct)
+        self.families[y].update({t[:n] for t in distinct for n in FAMILIES if len(t) > n})
+
+    def without(self, part: Counts) -> Counts:
+        return Counts(*(tuple(a - b for a, b in zip(mine, own, strict=True)) for mine, own in ((self.tokens, part.tokens), (self.families, part.families))))
+
+    def scores(self) -> Scores:
+        """Log-odds of each token, shrunk towards zero by SHRINK standard errors and then lowered by MARGIN; those above zero.
+
+        The Dirichlet prior is PRIOR_WEIGHT documents, split between the classes as
+        the token's longest family is (which leans on the pooled text with the same weight), or else as the pooled text is.
+        """
+        clean, toxic = self.tokens
+        n_clean, n_toxic = (max(1, sum(c.values())) for c in self.tokens)
+        pooled = n_toxic / (n_toxic + n_clean)
+        out = {}
+        for token, seen in toxic.items():
+            if seen + clean[token] < MIN_DOCS:
+                continue
+            family = next((token[:n] for n in FAMILIES if len(token) > n), None)
+            share = pooled
+            if family is not None:
+                t, c = self.families[1][family] + PRIOR_WEIGHT * pooled, self.families[0][family] + PRIOR_WEIGHT * (1 - pooled)
+                share = t / (t + c)
+            x, y = seen + PRIOR_WEIGHT * share, clean[token] + PRIOR_WEIGHT * (1 - share)
+            delta = math.log(x / n_toxic) - math.log(y / n_clean)
+            score = delta - SHRINK * math.sqrt(1 / (x + 0.5) + 1 / (y + 0.5)) - MARGIN
+            if score > 0:
+                out[token] = score
+        return out
 
 
-def weigh(docs: Docs) -> Model:
-    """Token and family scores. A document counts a token once, so one long or repetitive document says little."""
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
-    family: tuple[Counter, Counter] = (Counter(), Counter())
-    for tokens, y in docs:
-        distinct = set(tokens)
-        counts[y].update(distinct)
-        family[y].update({t[:n] for t in distinct for n in FAMILIES if len(t) > n})
-    n_toxic, n_clean = (max(1, sum(counts[y].values())) for y in (1, 0))
-    families = log_odds(family[1], family[0], n_toxic, n_clean)
-    prior = {}
-    for token in counts[1].keys() | counts[0].keys():
-        key = next((token[:n] for n in FAMILIES if len(token) > n), None)
-        if key is not None:
-            t, c = family[1][key] + PRIOR_WEIGHT * n_toxic / (n_toxic + n_clean), family[0][key] + PRIOR_WEIGHT * n_clean / (n_toxic + n_clean)
-            prior[token] = PRIOR_WEIGHT * t / (t + c), PRIOR_WEIGHT * c / (t + c)
-    tokens = log_odds(counts[1], counts[0], n_toxic, n_clean, prior)
-    often = lambda key, by: by[1][key] + by[0][key] >= MIN_DOCS
-    strongest = sorted((t for t in tokens if often(t, counts)), key=lambda t: (-abs(tokens[t]), t))[:MAX_TOKENS]
-    best_families = sorted((f for f in families if often(f, family)), key=lambda f: (-abs(families[f]), f))[:MAX_TOKENS]
-    return Model(tokens={t: tokens[t] for t in strongest}, families={f: families[f] for f in best_families})
+Docs = list[tuple[list[str], int]]
 
 
 def set_law(model: Model, docs: Docs) -> None:
     """Lambda solves E[exp(lambda score)] = 1 over clean tokens; K is the maximum-likelihood fit to clean documents' best segments."""
-    known: Scores = {}
     sample: Counter = Counter()
     best: list[tuple[float, int]] = []
     for tokens, y in docs:
         if y or not tokens:
             continue
-        for t in tokens:
-            if t not in known:
-                known[t] = model.score_of(t)
-            sample[round(known[t], 2) if known[t] > 0 else model.drift] += 1
-        positive = [(i, known[t]) for i, t in enumerate(tokens) if known[t] > 0]
-        best.append((max((s for _, _, s in maximal_segments(positive, model.drift)), default=0.0), len(tokens)))
+        hits = [(at, s) for at, t in enumerate(tokens) if (s := model.tokens.get(t)) is not None]
+        sample.update(round(s, 2) for _, s in hits)
+        sample[DRIFT] += len(tokens) - len(hits)
+        best.append((max((s for _, _, s in maximal_segments(hits, DRIFT)), default=0.0), len(tokens)))
     # A sample without any chance hit must not mean that lambda is unknown: the strongest token counts once more.
-    strongest = max([0.0, *model.tokens.values(), *model.families.values()])
-    if strongest > 0:
-        sample[round(strongest, 2)] += 1
+    if model.tokens:
+        sample[round(max(model.tokens.values()), 2)] += 1
     model.lam = min(MAX_LAMBDA, _lambda(sample))
     model.k = min(1.0, max(1.0, len(best)) / max(1.0, sum(n * math.exp(-model.lam * s) for s, n in best)))
 
@@ -195,32 +213,54 @@ def fit(rows: Iterable[tuple[str, int]]) -> Model:
     """A model from (text, toxic) of labelled documents.
 
     The law and the calibration are taken from documents that their scores were
-    not counted on: each half is judged by the other half's counts.
+    not counted on: each part is judged by the other parts' counts.
     """
     same: dict[str, str] = {}
     docs = [([same.setdefault(t, t) for t in tokens_of(text)], int(y)) for text, y in rows]
     if len({y for _, y in docs}) < 2:
         return Model()
-    model = weigh(docs)
-    halves = [[d for k, d in enumerate(docs) if k % 2 == h] for h in (0, 1)]
-    if all(len({y for _, y in half}) == 2 for half in halves):
-        judged = [(weigh(halves[1 - h]), halves[h]) for h in (0, 1)]
-    else:
-        judged = [(model, docs)]
-    for other, half in judged:
-        set_law(other, half)
-    model.lam = sum(o.lam for o, _ in judged) / len(judged)
-    model.k = sum(o.k for o, _ in judged) / len(judged)
+    parts = [docs[h::FOLDS] for h in range(FOLDS)]
+    counts, every = [], Counts()
+    for part in parts:
+        own = Counts()
+        for tokens, y in part:
+            own.add(tokens, y)
+        counts.append(own)
+        for mine, other in ((every.tokens, own.tokens), (every.families, own.families)):
+            for y in (0, 1):
+                mine[y].update(other[y])
+    model = Model(tokens=every.scores())
+    judged = [(Model(tokens=every.without(own).scores()), part) for own, part in zip(counts, parts, strict=True)]
+    for other, part in judged:
+        set_law(other, part)
+    model.lam = sum(o.lam for o, _ in judged) / FOLDS
+    model.k = sum(o.k for o, _ in judged) / FOLDS
     x, y = [], []
-    for other, half in judged:
+    for other, part in judged:
         other.lam, other.k = model.lam, model.k
-        known: Scores = {}
-        x += [math.log1p(other.evidence(other.passages(d, known))) for d, _ in half]
-        y += [label for _, label in half]
-    model.slope, model.offset = _calibrate(np.array(x), np.array(y, float))
+        x += [other.evidence(d) for d, _ in part]
+        y += [label for _, label in part]
+    model.at, model.share = monotone(x, y)
     return model
 
 
+def monotone(x: list[float], y: list[int]) -> tuple[list[float], list[float]]:
+    """Share of 1 by evidence, never falling: neighbours out of order are pooled. A pool's share counts one more document, of the mean share."""
+    mean = sum(y) / len(y)
+    tied: dict[float, list[float]] = {}
+    for a, b in sorted(zip(x, y, strict=True)):
+        pool = tied.setdefault(a, [0.0, 0.0, 0.0])
+        pool[0], pool[1], pool[2] = pool[0] + a, pool[1] + b, pool[2] + 1
+    pools: list[list[float]] = []
+    for pool in tied.values():
+        pools.append(pool)
+        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+    shares = np.maximum.accumulate([(p[1] + mean) / (p[2] + 1) for p in pools])
+    return [p[0] / p[2] for p in pools], shares.tolist()
+
+
 def _lambda(sample: Counter) -> float:
     values = np.array(list(sample.keys()))
     share = np.array(list(sample.values()), float) / max(1, sum(sample.values()))
@@ -236,21 +276,6 @@ def _lambda(sample: Counter) -> float:
     return max(lo, 1e-3)
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Ridge logistic regression by Newton steps; classes weigh as they come in the sample."""
-    design = np.stack([x, np.ones_like(x)], axis=1)
-    beta = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        gradient = design.T @ (y - p) - 1e-2 * beta
-        hessian = (design * (p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2)
-        step = np.linalg.solve(hessian, gradient)
-        beta += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
-            break
-    return float(beta[0]), float(beta[1])
-
-
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> list[tuple[str, int]]:
     """Texts and labels of a bounded sample, drawn by a hash of the id, evenly over the table; held-out ids never count."""
     marks = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and doc_id is not null")
@@ -258,9 +283,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PE
     drawn = [marks.where(F.col("toxic") == y if y else F.col("toxic") != 1).orderBy("rank", "doc_id").limit(per_class).select("doc_id", "toxic") for y in (1, 0)]
     chosen = F.broadcast(drawn[0].unionByName(drawn[1]))  # at most 2 * per_class rows
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(chosen, "doc_id")
-    # Rows that repeat a chosen id must not widen the sample beyond its bound.
+    # Rows that repeat a chosen id must not widen the sample beyond its bound. They come in an order that a hash draws, so a sample cut at SAMPLE_BYTES is fair.
     rows = rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(2 * per_class)
-    return [(r.text, int(r.toxic == 1)) for r in rows.select("text", "toxic").toLocalIterator()]
+    out, size = [], 0
+    for r in rows.select("text", "toxic").toLocalIterator():
+        out.append((r.text, int(r.toxic == 1)))
+        size += len(r.text)
+        if size >= SAMPLE_BYTES:
+            break
+    return out
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("passages", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("p_value", pa.float64())])))])
@@ -269,18 +300,16 @@ PASSAGES = "array<struct<start:bigint,end:bigint,score:double,p_value:double>>"
 
 def find_passages(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score and the significant toxic passages (token ranges) of each row. One narrow pass over whole texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # bounded by MAX_TOKENS; plain values, as broadcasts travel by reference to their class
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # bounded by the sample; plain values, as broadcasts travel by reference to their class
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = Model(**shared.value), {}
+        model = Model(**shared.value)
         for batch in slices(batches):
             out: dict[str, list] = {"doc_id": batch.column("doc_id"), "score": [], "passages": []}
             for text in batch.column("text").to_pylist():
-                found = model.passages(tokens_of(text), known)
+                found, evidence = model.passages(tokens_of(text))
                 out["passages"].append([{"start": a, "end": b, "score": s, "p_value": p} for a, b, s, p in found])
-                out["score"].append(round(model.probability(model.evidence(found)), 9))
-                if len(known) > 200_000:
-                    known.clear()
+                out["score"].append(round(model.probability(evidence), 9))
             yield rows_out(out, OUT)
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id bigint, score double, passages {PASSAGES}")
@@ -298,11 +327,9 @@ def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     at = docs.schema.fieldNames().index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = Model(**shared.value), {}
+        model = Model(**shared.value)
         for batch in slices(batches):
-            keep = [model.probability(model.evidence(model.passages(tokens_of(t), known))) < THRESHOLD for t in batch.column(at).to_pylist()]
-            if len(known) > 200_000:
-                known.clear()
+            keep = [model.probability(model.evidence(tokens_of(t))) < THRESHOLD for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
