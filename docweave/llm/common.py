@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
@@ -23,14 +24,23 @@ def documents(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
 
 
+def mark(text: F.Column | None = None) -> F.Column:
+    """A digest of the text: with the id it names a row whose id others have too."""
+    text = F.col("text") if text is None else text
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256))
+
+
 def held_out() -> F.Column:
     """Rows kept from training: crc32 of the id as text leaves 2 modulo 4 (a null id is never held out)."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a fallback for local tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_SHARED_DIR
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Only a local master may do without it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    base = base or FALLBACK_SHARED_DIR
     return f"{base.rstrip('/')}/docweave-{spark.sparkContext.applicationId}"
 
 

@@ -26,8 +26,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return _oriented(out)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) of every node that has an edge and isn't its root; edges has long columns u and v.
+def components(edges: DataFrame, rounds: int = 60) -> tuple[DataFrame, str]:
+    """(node, root) of every node that has an edge and isn't its root, and the path of this table; edges has long columns u and v.
 
     root is the component's smallest node. Every round is written to the shared
     folder, so a lost executor costs one round. Groups are only aggregated or
@@ -41,5 +41,5 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         drop_path(edges.sparkSession, path)
         now, path, before, seen = after, new_path, seen, mark(after)
         if seen == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")), path
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -1,198 +1,223 @@
 """Benchmark decontamination by Wu-Manber multi-pattern search over words.
 
 A pattern is a window of ``WINDOW`` consecutive words of a benchmark item (the
-whole item if it has fewer). One searcher per pattern length holds the shift
-table of two-word blocks, the buckets of patterns by suffix block and, within a
-bucket, by their first word. A document is read from left to right: the block
-that ends at the current word says how far the search may jump; at a jump of 0
-the bucket's patterns are compared word by word.
+whole item if it has fewer). Patterns of one length share a shift table: for the
+hash of each block of two words, how far the search may jump when this block
+ends at the current word. A document is read once from left to right; at a jump
+of 0 the window there is a candidate unless a bitmap of the patterns' hashes
+rules it out. Buckets of patterns by the hash of their last block (the suffix)
+are rows of a table; candidates are joined with their bucket, where the window
+and the test string are compared whole, byte by byte.
+
+Only the shift tables and the bitmap travel to every worker. Their size is fixed
+by ``SLOTS`` and ``BITS``, whatever the benchmark's: more patterns make jumps
+shorter and candidates more, never other results. The items themselves are
+joined, not broadcast or gathered, except where Spark measures them to be small.
 
 Defined results: null or wordless text has no words and is clean; an item
 without words has no window; windows of a null item_id hit but name no item;
-rows that repeat an item_id act as one item; other columns are ignored.
+rows that repeat an item_id act as one item; rows that repeat a document each
+have its result; empty tables give no rows and no hits; very long texts are read
+whole; other columns, whatever their names, are ignored, and
+``drop_contaminated`` hands them on. Ids are whole numbers; others raise Spark's
+cast error.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import documents, rows_out, slices
+from docweave.llm.common import documents, mark, rows_out, slices, written
 
 WINDOW = 13
-#: Items are searched for in blocks of about so many words, so that what a broadcast holds is bounded.
-BLOCK_WORDS = 200_000
 BLOCK = 2
+#: Entries of a shift table, one table for each length of patterns, and bits of the patterns' bitmap. Both are powers of 2.
+SLOTS = 1 << 18
+BITS = 1 << 24
 
 #: A-Z are lowered, and the word class is [0-9a-z] after lowering plus everything beyond ASCII.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
-Span = tuple[int, int]
-
 
 def words_of(text: bytes | None) -> list[bytes]:
     """Words of UTF-8 text: bytes beyond ASCII are word bytes, so the class needs no decoding."""
     return text.translate(NORMAL).split() if text else []
 
 
-class WuManber:
-    """Finds every occurrence of patterns that are equally long word sequences."""
-
-    def __init__(self, patterns: dict[tuple[bytes, ...], set[int]]) -> None:
-        self.length = len(next(iter(patterns)))
-        self.block = min(BLOCK, self.length)
-        self.longest_jump = self.length - self.block + 1
-        self.shift: dict[tuple[bytes, ...], int] = {}
-        self.buckets: dict[tuple[bytes, ...], dict[bytes, list[tuple[list[bytes], set[int]]]]] = {}
-        for pattern, items in patterns.items():
-            for end in range(self.block, self.length + 1):
-                piece, jump = pattern[end - self.block : end], self.length - end
-                self.shift[piece] = min(jump, self.shift.get(piece, self.longest_jump))
-            bucket = self.buckets.setdefault(pattern[-self.block :], {})
-            bucket.setdefault(pattern[0], []).append((list(pattern), items))
-
-    def find(self, words: list[bytes]) -> Iterator[tuple[int, set[int]]]:
-        """(start, items) of each occurrence, by start."""
-        jump_of, far, length, block, count = self.shift.get, self.longest_jump, self.length, self.block, len(words)
-        end = length
-        while end <= count:
-            piece = (words[end - 2], words[end - 1]) if block == 2 else (words[end - 1],)
-            jump = jump_of(piece, far)
-            if jump:
-                end += jump
-                continue
-            start = end - length
-            for pattern, items in self.buckets[piece].get(words[start], ()):
-                if words[start:end] == pattern:
-                    yield start, items
-            end += 1
-
-
-def searchers(items: list[tuple[int | None, bytes | None]], window: int = WINDOW) -> list[WuManber]:
-    by_length: dict[int, dict[tuple[bytes, ...], set[int]]] = {}
-    for item_id, text in items:
-        words = words_of(text)
-        size = min(window, len(words))
-        for start in range(len(words) - size + 1 if size else 0):
-            found = by_length.setdefault(size, {}).setdefault(tuple(words[start : start + size]), set())
-            if item_id is not None:
-                found.add(item_id)
-    return [WuManber(patterns) for _, patterns in sorted(by_length.items())]
-
-
-def occurrences(words: list[bytes], finders: list[WuManber]) -> tuple[list[Span], set[int]]:
-    spans: list[Span] = []
-    items: set[int] = set()
-    for finder in finders:
-        for start, owners in finder.find(words):
-            spans.append((start, start + finder.length))
-            items |= owners
-    return merged(spans), items
-
-
-def merged(spans: list[Span]) -> list[Span]:
-    out: list[Span] = []
-    for lo, hi in sorted(spans):
+def block_hash(words: list[bytes], length: int) -> int:
+    """Of the block that ends a sequence."""
+    return xxhash.xxh64_intdigest(b" ".join(words[-min(BLOCK, length) :]), length)
+
+
+def window_hash(window: bytes, length: int) -> int:
+    return xxhash.xxh64_intdigest(window, 1000 + length)
+
+
+class Searcher:
+    """The shift tables by pattern length and the bitmap, as bytes."""
+
+    def __init__(self, shifts: dict[int, bytes], bitmap: bytes) -> None:
+        self.shifts, self.bitmap = sorted(shifts.items()), bitmap
+
+    def candidates(self, words: list[bytes]) -> Iterator[tuple[int, int, int, bytes]]:
+        """(start, length, bucket, window) wherever a pattern may stand."""
+        bitmap, count, digest, space = self.bitmap, len(words), xxhash.xxh64_intdigest, b" "
+        for length, shift in self.shifts:
+            block, end = min(BLOCK, length), length
+            while end <= count:
+                bucket = digest(space.join(words[end - block : end]), length) & (SLOTS - 1)
+                if jump := shift[bucket]:
+                    end += jump
+                    continue
+                window = space.join(words[end - length : end])
+                bit = window_hash(window, length) & (BITS - 1)
+                if bitmap[bit >> 3] >> (bit & 7) & 1:
+                    yield end - length, length, bucket, window
+                end += 1
+
+
+PATTERNS = pa.schema([("item_id", pa.int64()), ("length", pa.int32()), ("bucket", pa.int32()), ("window", pa.binary()), ("bit", pa.int32())])
+JUMPS = pa.schema([("length", pa.int32()), ("slot", pa.int32()), ("jump", pa.int32())])
+
+
+def items_of(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").cast("binary").alias("text"))
+
+
+def pattern_rows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """A row for each window of each item: item_id, length, bucket, window (its words, joined) and its bit of the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            out: dict[str, list] = {f.name: [] for f in PATTERNS}
+            for item_id, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                words = words_of(text)
+                size = min(window, len(words))
+                for start in range(len(words) - size + 1 if size else 0):
+                    own = words[start : start + size]
+                    said = b" ".join(own)
+                    for name, value in (("item_id", item_id), ("length", size), ("bucket", block_hash(own, size) & (SLOTS - 1)), ("window", said), ("bit", window_hash(said, size) & (BITS - 1))):
+                        out[name].append(value)
+            yield rows_out(out, PATTERNS)
+
+    return items_of(benchmark).mapInArrow(run, "item_id bigint, length int, bucket int, window binary, bit int")
+
+
+def jump_rows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """length, slot and jump of each block of each item: in a run of windows, a block beyond the first window ends one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            out: dict[str, list] = {f.name: [] for f in JUMPS}
+            for text in batch.column("text").to_pylist():
+                words = words_of(text)
+                size = min(window, len(words))
+                for end in range(min(BLOCK, size), len(words) + 1) if size else ():
+                    out["length"].append(size)
+                    out["slot"].append(block_hash(words[max(0, end - BLOCK) : end], size) & (SLOTS - 1))
+                    out["jump"].append(max(0, size - end))
+            yield rows_out(out, JUMPS)
+
+    return items_of(benchmark).mapInArrow(run, "length int, slot int, jump int")
+
+
+def searcher_tables(jumps: DataFrame, patterns: DataFrame) -> tuple[dict[int, bytes], bytes]:
+    """The shift tables and the bitmap. At most SLOTS rows a length and BITS / 64 rows come to the driver."""
+    shifts: dict[int, np.ndarray] = {}
+    found = jumps.groupBy("length", "slot").agg(F.min("jump").alias("jump")).toArrow()
+    length, slot, jump = (found.column(n).to_numpy() for n in ("length", "slot", "jump"))
+    for size in np.unique(length).tolist():
+        own = length == size
+        table = np.full(SLOTS, size - min(BLOCK, size) + 1, np.uint8)
+        table[slot[own]] = jump[own]
+        shifts[size] = table
+    bits = patterns.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bit & 63)")).alias("mask")).toArrow()
+    bitmap = np.zeros(BITS // 64, "<u8")
+    bitmap[bits.column("word").to_numpy()] = bits.column("mask").to_numpy().view(np.uint64)
+    return {size: table.tobytes() for size, table in shifts.items()}, bitmap.tobytes()
+
+
+def merged(spans: list[list[int]]) -> list[list[int]]:
+    """Sorted ranges, joined where they overlap or touch."""
+    out: list[list[int]] = []
+    for lo, hi in spans:
         if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+            out[-1][1] = max(hi, out[-1][1])
         else:
-            out.append((lo, hi))
+            out.append([lo, hi])
     return out
 
 
-def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int | None, bytes | None]]]:
-    """The benchmark in blocks of bounded size; the driver holds one partition and one block at a time."""
-    block, size = [], 0
-    rows = benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string").cast("binary"))
-    for item_id, text in rows.toLocalIterator():
-        text = None if text is None else bytes(text)
-        block.append((item_id, text))
-        size += len(words_of(text))
-        if size >= block_words:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def _with_merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        at = batch.schema.get_field_index("spans")
+        yield batch.set_column(at, batch.schema.field(at), pa.array([merged(s) for s in batch.column(at).to_pylist()], batch.schema.field(at).type))
 
 
-HITS = pa.schema([("doc_id", pa.int64()), ("text", pa.binary()), ("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.int64()))])
+SCANNED = pa.schema(
+    [("doc_id", pa.int64()), ("mark", pa.binary()), ("n_words", pa.int64())]
+    + [("found", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int32()), ("bucket", pa.int32()), ("window", pa.binary())])))]
+)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, text (bytes), n_words, spans (merged word ranges) and items (sorted ids), a row for each document.
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, mark (of the text), n_words, spans (merged word ranges) and items (sorted ids), a row for each document.
 
-    Each block of items is one more narrow pass over the documents: no shuffle,
-    whatever the number of items.
+    One pass reads the texts; what it leaves, a count and the candidates of each
+    row, is written, so that the joins read it without searching again.
     """
     spark = docs.sparkSession
-    df = documents(docs).select("doc_id", "text", F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<array<bigint>>").alias("spans"), F.array().cast("array<bigint>").alias("items"))
-    for block in list(item_blocks(benchmark, block_words)) or [[]]:
-        shared = spark.sparkContext.broadcast(block)
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            finders = searchers(shared.value, window)
-            for batch in slices(batches):
-                texts = batch.column("text").to_pylist()
-                out: dict[str, list] = {"doc_id": batch.column("doc_id"), "text": batch.column("text"), "n_words": [], "spans": [], "items": []}
-                for text, spans, items in zip(texts, batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True):
-                    words = words_of(text)
-                    more, owners = occurrences(words, finders)
-                    out["n_words"].append(len(words))
-                    out["spans"].append(merged([*map(tuple, spans), *more]))
-                    out["items"].append(sorted({*items, *owners}))
-                yield rows_out(out, HITS)
-
-        df = df.mapInArrow(search, "doc_id bigint, text binary, n_words bigint, spans array<array<bigint>>, items array<bigint>")
-    return df
+    patterns, _ = written(pattern_rows(benchmark, window), "patterns")
+    shared = spark.sparkContext.broadcast(searcher_tables(jump_rows(benchmark, window), patterns))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searcher = Searcher(*shared.value)
+        for batch in slices(batches):
+            n_words, found = [], []
+            for text in batch.column("text").to_pylist():
+                words = words_of(text)
+                n_words.append(len(words))
+                found.append([{"start": s, "length": n, "bucket": b, "window": w} for s, n, b, w in searcher.candidates(words)])
+            yield rows_out({"doc_id": batch.column("doc_id"), "mark": batch.column("mark"), "n_words": n_words, "found": found}, SCANNED)
+
+    rows = documents(docs).withColumn("mark", mark()).mapInArrow(scan, "doc_id bigint, mark binary, n_words bigint, found array<struct<start:bigint,length:int,bucket:int,window:binary>>")
+    scanned, _ = written(rows.withColumn("row", F.monotonically_increasing_id()), "scanned")
+    tests = patterns.groupBy("length", "bucket", "window").agg(F.collect_set("item_id").alias("items"))
+    hits = scanned.where(F.size("found") > 0).select("row", F.inline("found")).join(tests, ["length", "bucket", "window"])
+    hits = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.array("start", F.col("start") + F.col("length")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    hits = hits.mapInArrow(_with_merged, hits.schema)
+    return scanned.join(hits, "row", "left").select("doc_id", "mark", "n_words", none("spans", "array<array<bigint>>"), none("items", "array<bigint>"))
+
+
+def _n_hit() -> F.Column:
+    return F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s[1] - s[0])
+
+
+def _contaminated() -> F.Column:
+    return (_n_hit() > 0) & (_n_hit() * 20 >= F.col("n_words"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The contract's columns: n_words, n_hit, n_items, items_sha256 and contaminated by doc_id."""
-    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s[1] - s[0])
     names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
     return find_contamination(docs, benchmark).select(
         "doc_id",
         "n_words",
-        n_hit.alias("n_hit"),
+        _n_hit().alias("n_hit"),
         F.size("items").cast("bigint").alias("n_items"),
         F.sha2(names.cast("binary"), 256).alias("items_sha256"),
-        ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"),
+        _contaminated().alias("contaminated"),
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The documents that aren't contaminated, with all their columns. Narrow: a pass for each block of items, all columns ride along.
-
-    Hits of several blocks add up, so each pass adds its spans to a column that the last one judges.
-    """
-    spark = docs.sparkSession
-    names, at = docs.columns, docs.columns.index("text")
-    marks = "__spans"
-    while marks in names:
-        marks += "_"
-    df = docs.withColumn(marks, F.array().cast("array<array<bigint>>"))
-    for block in list(item_blocks(benchmark, block_words)) or [[]]:
-        shared = spark.sparkContext.broadcast(block)
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            finders = searchers(shared.value, window)
-            for batch in slices(batches):
-                texts = batch.column(at).cast(pa.binary()).to_pylist()
-                spans = [merged([*map(tuple, old), *occurrences(words_of(t), finders)[0]]) for t, old in zip(texts, batch.column(len(names)).to_pylist(), strict=True)]
-                columns = [*batch.columns[:-1], pa.array(spans, pa.list_(pa.list_(pa.int64())))]
-                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-
-        df = df.mapInArrow(search, df.schema)
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            keep = []
-            for t, spans in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
-                n_hit = sum(b - a for a, b in spans)
-                keep.append(not (n_hit and 20 * n_hit >= len(words_of(t))))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(range(len(names)))
-
-    return df.mapInArrow(judge, docs.schema)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents that aren't contaminated, with all their columns. Rows of one id and text share the verdict, so both name them."""
+    bad = find_contamination(docs, benchmark, window).where(_contaminated()).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    return docs.join(bad, docs["doc_id"].cast("bigint").eqNullSafe(bad["__id"]) & (mark(docs["text"]) == bad["__mark"]), "left_anti")

@@ -10,7 +10,9 @@ of labelled rows, drawn by a hash of the id over the whole table.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
 an empty training set gives ``und`` for all; rows that repeat an id are judged
-each; other columns are ignored.
+each; equal probabilities go to the language that sorts first; an empty table
+gives no row; very long texts are read whole; other columns, whatever their
+names, are ignored. Ids are whole numbers; others raise Spark's cast error.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docweave.llm.common import held_out, rows_out, slices
 
@@ -29,10 +32,10 @@ WINDOW = 192
 EMBEDDING = 8
 WIDTHS = (2, 3, 4)
 FILTERS = 12
-#: Bounds of the training sample: labelled documents a language, windows of a document, languages.
+#: Bounds of the training sample: labelled documents a language, documents altogether (each language has its share, one at least), windows of a document.
 DOCS_PER_LANG = 600
+SAMPLE_DOCS = 60_000
 WINDOWS_PER_DOC = 4
-MAX_LANGS = 200
 EPOCHS = 6
 RATE = 0.004
 BATCH = 64
@@ -151,29 +154,26 @@ class Network:
         return np.concatenate(out) if out else np.zeros((0, len(self.p["bias"])), np.float32)
 
 
-def training_rows(docs: DataFrame, per_lang: int = DOCS_PER_LANG, max_langs: int = MAX_LANGS) -> list[tuple[bytes, str]]:
+def training_rows(docs: DataFrame, per_lang: int = DOCS_PER_LANG, sample_docs: int = SAMPLE_DOCS) -> list[tuple[bytes, str]]:
     """(text, lang) of a bounded, balanced sample. Language counts cover the table; rows are drawn by a hash of the id."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where("lang is not null and text is not null and doc_id is not null").where(~held_out())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return []
+    per_lang = max(1, min(per_lang, sample_docs // len(counts)))
     # Twice the share, so that a language rarely falls short of its bound by chance; the bound itself is applied below.
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2 * per_lang / r["count"]))])
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
     few = rows.withColumn("draw", draw).where(F.col("draw") < F.coalesce(share[F.col("lang")], F.lit(0.0)))
     # Whole texts stay on the executors: a document sends windows that lie evenly over it.
     raw = F.col("text").cast("binary")
     n = F.greatest(F.octet_length("text") - WINDOW, F.lit(0))
     pieces = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_PER_DOC - 1)), lambda k: F.substring(raw, (F.floor(n * k / max(1, WINDOWS_PER_DOC - 1)) + 1).cast("int"), F.lit(WINDOW)))
-    few = few.select("lang", "draw", F.array_distinct(pieces).alias("pieces")).orderBy("draw", "lang").limit(2 * per_lang * len(counts))
-    taken: dict[str, int] = {}
-    out = []
-    for r in few.collect():
-        if taken.get(r["lang"], 0) < per_lang:
-            taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-            out += [(bytes(x), r["lang"]) for x in r["pieces"] if LETTER.search(bytes(x).decode(errors="ignore"))]
-    return out
+    few = few.select("lang", "draw", "doc_id", F.array_distinct(pieces).alias("pieces"))
+    few = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))).where(F.col("k") <= per_lang)
+    chosen = sorted(few.collect(), key=lambda r: (r["draw"], r["lang"], r["k"]))
+    return [(bytes(x), r["lang"]) for r in chosen for x in r["pieces"] if LETTER.search(bytes(x).decode(errors="ignore"))]
 
 
 def fit(rows: list[tuple[bytes, str]]) -> tuple[list[str], Params] | None:

@@ -3,12 +3,19 @@
 The parser reads EBML elements with variable-length ids and sizes (unknown sizes
 included), clusters with SimpleBlocks and BlockGroups, the three kinds of
 lacing, and cues. A packet has its track, timestamp, key flag and the byte range
-it holds in the file. Payload bytes are stored as unsigned 8-bit PCM at 8 kHz:
-a frame of 192 samples lasts 24 ms, so every timestamp is exact.
-
-Defined results: null text is empty; a file that is cut short, or whose lace
-sizes don't fit, raises ``ValueError`` in ``parse`` and gives one row with its
-message in ``packet_table``.
+it holds in the file. Frames of a lace follow each other by the duration that the
+track gives them: its samples' for raw sound, else its default duration, else
+the block's duration in equal parts, else none. A block of a group is a key frame
+unless it refers to another block. Payload bytes are stored as unsigned 8-bit PCM
+at 8 kHz: a frame of 192 samples lasts 24 ms, so every timestamp is exact.
+
+Defined results: null text is empty, null media has no packets; a file that is
+cut short, whose lace sizes don't fit, or that nests deeper than ``DEEPEST``
+raises ``ValueError`` in ``parse`` and gives one row with its message in
+``packet_table``; rows that repeat a document each have its result; an empty table
+gives no row; very long texts are stored whole, a file at a time; other columns,
+whatever their names, are ignored. Keys are whole numbers; others raise Spark's
+cast error.
 """
 
 from __future__ import annotations
@@ -39,7 +46,10 @@ TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION = 0xE7, 0xA3, 0xA0,
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 MASTERS = {EBML, SEGMENT, INFO, TRACKS, TRACK_ENTRY, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_POSITIONS, 0xE1}
 TOP_LEVEL = {INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1254C367, 0x1043A770, 0x1941A469}
+REFERENCE_BLOCK, DEFAULT_DURATION, AUDIO, SAMPLING, CHANNELS, BIT_DEPTH = 0xFB, 0x23E383, 0xE1, 0xB5, 0x9F, 0x6264
 XIPH, FIXED, EBML_LACE = 0x02, 0x04, 0x06
+#: Levels of elements within each other; the specification's masters that are read here need six.
+DEEPEST = 16
 
 
 def vint(value: int, width: int = 0) -> bytes:
@@ -113,6 +123,23 @@ class Packet:
     size: int
 
 
+@dataclass
+class Track:
+    """What a track says of its frames' durations; defaults as the specification has them."""
+
+    number: int = 0
+    codec: str = ""
+    frame_ns: int = 0
+    rate: float = 8000.0
+    channels: int = 1
+    depth: int = 0
+
+    def lasts(self, size: int, share_ns: int) -> int:
+        if self.codec.startswith("A_PCM/") and self.depth and self.rate > 0:
+            return round(size * 8 * 1_000_000_000 / (self.rate * self.channels * self.depth))
+        return self.frame_ns or share_ns
+
+
 @dataclass
 class Media:
     packets: list[Packet] = field(default_factory=list)
@@ -120,6 +147,7 @@ class Media:
     clusters: list[int] = field(default_factory=list)  # file offsets
     codecs: dict[int, str] = field(default_factory=dict)
     durations: dict[int, int] = field(default_factory=dict)  # of blocks that state one, in ticks
+    tracks: dict[int, Track] = field(default_factory=dict)
     scale: int = 1_000_000
 
 
@@ -193,16 +221,19 @@ def lace_sizes(data: bytes, at: int, end: int, kind: int) -> tuple[list[int], in
 
 
 def parse(data: bytes) -> Media:
-    out, tick, track_of = Media(), 0, 0
-    cue: list[int] = [0, 0, 0]
-    segment = n_block = 0
-    default_key = True
+    out, tick, segment = Media(), 0, 0
+    entry, cue_time, positions, refers = Track(), 0, [], False
+    block_sizes: list[list[Packet]] = []  # the packets of each block, whose times are spread when all is known
 
     def number(lo: int, hi: int) -> int:
         return int.from_bytes(data[lo:hi], "big")
 
+    def real(lo: int, hi: int) -> float:
+        if hi - lo not in (0, 4, 8):
+            raise ValueError(f"a float of {hi - lo} bytes at byte {lo}")
+        return struct.unpack(">d" if hi - lo == 8 else ">f", data[lo:hi])[0] if hi > lo else 0.0
+
     def add_block(lo: int, hi: int, simple: bool) -> None:
-        nonlocal n_block
         track, at, _ = read_vint(data, lo, hi, keep_marker=False)
         if at + 3 > hi:
             raise ValueError(f"block at byte {lo} is cut short")
@@ -210,50 +241,85 @@ def parse(data: bytes) -> Media:
         at += 3
         lacing = flags & 0x06
         sizes, at = lace_sizes(data, at, hi, lacing) if lacing else ([hi - at], at)
-        when = (tick + relative) * out.scale
+        own = []
         for k, size in enumerate(sizes):
-            # Raw samples last as long as they are many; other codecs repeat the block's time.
-            out.packets.append(Packet(track, when, len(out.clusters) - 1, n_block, k, bool(flags & 0x80) if simple else default_key, at, size))
-            if out.codecs.get(track) == "A_PCM/INT/LIT":
-                when += size * 1_000_000_000 // RATE
+            own.append(Packet(track, tick + relative, len(out.clusters) - 1, len(block_sizes), k, bool(flags & 0x80) if simple else True, at, size))
             at += size
-        n_block += 1
+        block_sizes.append(own)
+        out.packets += own
 
-    def visit(lo: int, hi: int, parent: int) -> None:
-        nonlocal tick, segment, track_of
+    def visit(lo: int, hi: int, parent: int, depth: int) -> None:
+        nonlocal tick, segment, entry, cue_time, positions, refers
+        if depth > DEEPEST:
+            raise ValueError(f"elements nest deeper than {DEEPEST} levels at byte {lo}")
         for eid, start, a, b in elements(data, lo, hi, parent):
             if eid == SEGMENT:
                 segment = a
             elif eid == CLUSTER:
                 out.clusters.append(start)
                 tick = 0
+            elif eid == TRACK_ENTRY:
+                entry = Track()
+            elif eid == BLOCK_GROUP:
+                refers = False
+            elif eid == CUE_POINT:
+                cue_time, positions = 0, []
+            elif eid == CUE_POSITIONS:
+                positions.append([0, segment])
             elif eid == TRACK_NUMBER and parent == TRACK_ENTRY:
-                track_of = number(a, b)
+                entry.number = number(a, b)
             elif eid == CODEC_ID and parent == TRACK_ENTRY:
-                out.codecs[track_of] = data[a:b].decode("ascii", "replace")
+                entry.codec = data[a:b].decode("ascii", "replace")
+            elif eid == DEFAULT_DURATION and parent == TRACK_ENTRY:
+                entry.frame_ns = number(a, b)
+            elif parent == AUDIO and eid == SAMPLING:
+                entry.rate = real(a, b)
+            elif parent == AUDIO and eid == CHANNELS:
+                entry.channels = max(1, number(a, b))
+            elif parent == AUDIO and eid == BIT_DEPTH:
+                entry.depth = number(a, b)
             elif eid == TIMESTAMP_SCALE:
                 out.scale = number(a, b)
             elif eid == TIMESTAMP and parent == CLUSTER:
                 tick = number(a, b)
             elif eid == SIMPLE_BLOCK or eid == BLOCK:
                 add_block(a, b, simple=eid == SIMPLE_BLOCK)
-            elif eid == BLOCK_DURATION:
-                out.durations[n_block - 1] = number(a, b)
+            elif eid == BLOCK_DURATION and block_sizes:
+                out.durations[len(block_sizes) - 1] = number(a, b)
+            elif eid == REFERENCE_BLOCK:
+                refers = True
             elif eid == CUE_TIME:
-                cue[0] = number(a, b)
-            elif eid == CUE_TRACK:
-                cue[1] = number(a, b)
-            elif eid == CUE_CLUSTER:
-                cue[2] = segment + number(a, b)
+                cue_time = number(a, b)
+            elif eid == CUE_TRACK and positions:
+                positions[-1][0] = number(a, b)
+            elif eid == CUE_CLUSTER and positions:
+                positions[-1][1] = segment + number(a, b)
             if eid in MASTERS:
-                visit(a, b, eid)
-            if eid == CUE_POINT:
-                out.cues.append((cue[0], cue[1], cue[2]))
-
-    visit(0, len(data), 0)
+                before = len(block_sizes)
+                visit(a, b, eid, depth + 1)
+                if eid == TRACK_ENTRY:
+                    out.tracks[entry.number] = entry
+                    out.codecs[entry.number] = entry.codec
+                elif eid == CUE_POINT:
+                    out.cues += [(cue_time, track, at) for track, at in positions]
+                elif eid == BLOCK_GROUP and refers:
+                    for own in block_sizes[before:]:
+                        for p in own:
+                            p.keyframe = False
+
+    visit(0, len(data), 0, 0)
+    for n, own in enumerate(block_sizes):
+        when = own[0].timestamp_ns * out.scale if own else 0
+        share = out.durations.get(n, 0) * out.scale // max(1, len(own))
+        for p in own:
+            p.timestamp_ns = when
+            when += out.tracks.get(p.track, _UNKNOWN).lasts(p.size, share)
     return out
 
 
+_UNKNOWN = Track()
+
+
 def read_back(data: bytes, media: Media, track: int = 1) -> bytes:
     """The track's bytes in time order."""
     own = sorted((p for p in media.packets if p.track == track), key=lambda p: (p.timestamp_ns, p.offset))
@@ -268,7 +334,8 @@ def features(samples: bytes, media: Media) -> str:
     """Counts of the packet table and the waveform's mean, power and sign changes about the mid level."""
     wave = np.frombuffer(samples, np.uint8).astype(np.float64) - 128.0
     changes = int(np.count_nonzero(np.diff(np.signbit(wave))))
-    cued = sum(at in set(media.clusters) for _, _, at in media.cues) if len(media.cues) < 64 else len({at for _, _, at in media.cues} & set(media.clusters))
+    clusters = set(media.clusters)
+    cued = sum(at in clusters for _, _, at in media.cues)
     spans = [(p.timestamp_ns, p.size) for p in media.packets]
     end = max(t + n * 1_000_000_000 // RATE for t, n in spans) // 1_000_000
     return f"packets={len(spans)};clusters={len(media.clusters)};cued={cued};duration_ms={end};mean={wave.mean():.6f};rms={np.sqrt(np.mean(wave * wave)):.6f};changes={changes}"

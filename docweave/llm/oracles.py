@@ -21,15 +21,15 @@ FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
 """
 
 OP1 = r"""
-WITH r AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '<\|') AS text FROM conversations),
-s AS (SELECT *, coalesce(CAST(floor(turn / 256) AS BIGINT), -1) AS segment FROM r),
+WITH r AS (SELECT conv_id, turn, replace(replace(coalesce(role, 'unknown'), '<|', '<\|'), chr(10), '\n') AS role, replace(coalesce(text, ''), '<|', '<\|') AS text FROM conversations),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM r),
 p AS (SELECT DISTINCT conv_id, role AS perspective FROM r WHERE role <> 'system'),
-h AS (SELECT s.*, perspective, '<|im_start|>' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN role ELSE 'user name=' || role END || chr(10) AS head
-      FROM s JOIN p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
-o AS (SELECT *, sum(length(head) + length(text) + 11) OVER (PARTITION BY conv_id, segment, perspective ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS hi FROM h)
-SELECT conv_id, segment, perspective, count(*) AS n_messages,
-       string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS rendered,
-       coalesce(string_agg(CAST(hi - length(text) - 11 AS VARCHAR) || '-' || CAST(hi AS VARCHAR), ',' ORDER BY turn NULLS FIRST, role, text) FILTER (role = perspective), '') AS mask,
+h AS (SELECT n.*, perspective, '<|im_start|>' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN role ELSE 'user name=' || role END || chr(10) AS head
+      FROM n JOIN p ON n.conv_id IS NOT DISTINCT FROM p.conv_id),
+o AS (SELECT *, sum(length(head) + length(text) + 11) OVER (PARTITION BY conv_id, perspective ORDER BY k ROWS UNBOUNDED PRECEDING) AS hi FROM h)
+SELECT conv_id, perspective, count(*) AS n_messages,
+       string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY k) AS rendered,
+       coalesce(string_agg(CAST(hi - length(text) - 11 AS VARCHAR) || '-' || CAST(hi AS VARCHAR), ',' ORDER BY k) FILTER (role = perspective), '') AS mask,
        CAST(coalesce(sum(length(text) + 11) FILTER (role = perspective), 0) AS BIGINT) AS n_masked
-FROM o GROUP BY conv_id, segment, perspective
+FROM o GROUP BY conv_id, perspective
 """

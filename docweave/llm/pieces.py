@@ -14,8 +14,11 @@ the vocabulary file gives; theta is a parameter (larger: closer to the most
 frequent pieces).
 
 Defined results: null text has null pieces, empty text none; spaces, line feeds
-and U+2581 come back as they were; a null key samples as key 0; rows that
-repeat a key and text repeat the pieces; other columns are ignored.
+and U+2581 come back as they were, also where the vocabulary lacks a piece for them;
+a null key samples as key 0; rows that repeat a key and text repeat the pieces;
+an empty table gives no row; very long texts are encoded whole, a block of
+``BLOCK_CHARS`` or one text at a time; other columns, whatever their names, are
+ignored. Keys are whole numbers; others raise Spark's cast error.
 """
 
 from __future__ import annotations
@@ -43,6 +46,8 @@ OWN_MARK = 0x110000
 CHUNK = re.compile(r"\n| *[^ \n]+| +")
 U64 = np.uint64
 MASK = (1 << 64) - 1
+#: Shares and draws stay so far below 1: more than doubles of the size of a node's number can tell apart.
+SHARE_GAP = 1e-9
 BITMAP_BITS = 22
 
 
@@ -54,6 +59,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def draws(stream: np.ndarray, step: int) -> np.ndarray:
+    """Uniform numbers in [0, 1), one for each stream."""
+    return (mix(stream + U64(step * 0xD1B54A32D192ED03 & MASK)) >> U64(11)).astype(np.float64) * 2.0**-53
+
+
 class Ranges:
     """Hashes of any range of a sequence of 64-bit values in constant time: (S[b] - S[a]) times a power of an inverse."""
 
@@ -186,7 +196,7 @@ class Codec:
             total[lo:hi] = top + np.log(mass)
             running = np.cumsum(e) - e
             share[a:b] = (running - np.repeat(running[groups], count)) / np.repeat(mass, count)
-        return nodes, start, piece, end + np.clip(share, 0.0, 1 - 1e-9), lens
+        return nodes, start, piece, end + np.clip(share, 0.0, 1 - SHARE_GAP), lens
 
     def encode(self, texts: list[str], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's ids end."""
@@ -209,7 +219,7 @@ class Codec:
         n_pieces = np.zeros(len(slot), np.int64)
         drawn: list[tuple[np.ndarray, np.ndarray]] = []
         while len(who):
-            u = (mix(stream[who] + U64(len(drawn) * 0xD1B54A32D192ED03 & MASK)) >> U64(11)).astype(np.float64) * 2.0**-53
+            u = np.minimum(draws(stream[who], len(drawn)), 1 - SHARE_GAP)  # nearer to 1, node + u would round to the next node
             edge = np.searchsorted(key_of_edge, node + u, side="right") - 1
             drawn.append((who, piece[edge]))
             n_pieces[who] += 1
@@ -233,7 +243,7 @@ class Codec:
         wide = bare[~small]
         if not len(wide):
             return ids, ends
-        spelled = [chr(SPACE_MARK if c == OWN_MARK else c).encode() for c in cps[~small].tolist()]
+        spelled = [chr({OWN_MARK: SPACE_MARK, SPACE_MARK: 32}.get(c, c)).encode() for c in cps[~small].tolist()]
         width = np.ones(len(ids), np.int64)
         width[wide] = [len(s) for s in spelled]
         at = np.cumsum(width)
@@ -299,5 +309,10 @@ def encode_report(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame
     )
 
 
+def encode_ids(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
+    """What is trained on: doc_id, pieces (array of ids; null for a null text), their number, and text_sha256 of the text that they spell."""
+    return encode_rows(docs, model_path).select("doc_id", "pieces", F.coalesce(F.size("pieces"), F.lit(0)).cast("bigint").alias("n_pieces"), F.sha2(F.col("decoded").cast("binary"), 256).alias("text_sha256"))
+
+
 def load(spark: SparkSession, model_path: str = DEFAULT_MODEL) -> Codec:
     return Codec(vocabulary(model_path))

@@ -5,8 +5,12 @@ that passes its check. The method adds kinds (iban by mod-97, ssn by its number
 rules) which stay only if their score, raised or lowered by words nearby,
 reaches ``THRESHOLD``. Offsets count code points, ends are exclusive.
 
-Defined results: null text is empty and has no spans; whole texts are searched
-in time linear in their length; other columns are ignored.
+Defined results: null text is empty and has no spans; very long texts are searched
+whole, in time linear in their length; spans of equal start are ordered as the
+kinds are listed; rows that repeat a document each have its result; an empty
+table gives no row; other columns, whatever their names, are ignored, and
+``redact_documents`` hands them on. Ids are whole numbers; others raise Spark's
+cast error.
 """
 
 from __future__ import annotations

@@ -1,27 +1,30 @@
 """SimHash near-duplicates by multi-index hashing.
 
 Fingerprints are 64 bits wide and link at ``RADIUS`` (2) or fewer differing
-bits. A fingerprint is cut into two 32-bit segments. By the pigeonhole
-principle two fingerprints at distance 2 or less can meet half way: flipping at
-most one bit of a segment on either side gives the same value. So each distinct
-fingerprint enumerates the ball of radius 1 within each segment, the other
-segment unchanged (1 + 32 + 32 values); these are the table's keys. Entries
-fetched under one key are at most 65 distinct fingerprints, and every two of
-them lie within distance 2 of each other, so a link from each entry to the
-smallest keeps the component whole and no pairs are listed. The complete
-distance of each link is verified. Copies share one fingerprint, hence one entry.
+bits. A fingerprint is cut into two segments of 32 bits, each with a table keyed
+by its value. Two fingerprints within distance 2 have high segments within
+distance 1, or else equal low ones: so a fingerprint looks up the ball of radius
+1 around its high segment and the ball of radius 0, the value itself, around its
+low one. Of a ball only the values with one more bit set are enumerated, as the
+other fingerprint of such a pair finds this one's value in its own. What the
+tables hold there are candidates; the complete distance of each is verified
+within the join, so only links become rows. Copies share one fingerprint, hence
+one entry, and a segment's bucket holds distinct fingerprints alone.
 
 Defined results: null or wordless text has fingerprint zero, linked like any
 other; rows that repeat a doc_id each keep their own fingerprint; a null doc_id
 has the component of its fingerprint's other rows (null if all their ids are
-null); other columns are ignored.
+null); an empty table gives no row; very long texts are read whole, their hashes
+counted in blocks; other columns, whatever their names, are ignored, and
+``keep_one_of_each`` hands them on. Ids are whole numbers; others raise Spark's
+cast error.
 
 Fingerprints of 3 words and 2 bits are op9's contract. The pipeline's stage asks for
 more (``near_duplicates``): documents whose sets of 5-word shingles have a
 Jaccard similarity of ``SIMILARITY`` or more. Their fingerprints differ in up to 11
 bits and more, so candidates come from MinHash bands instead, and each is
 confirmed on the whole sets. A pair at the threshold shares none of the bands
-with a chance of 3e-10, a closer pair with less.
+with a chance of 5e-9, a closer pair with less.
 """
 
 from __future__ import annotations
@@ -34,9 +37,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from docweave.llm.common import documents, drop_path, each_batch, rows_out, slices, written
+from docweave.llm.common import documents, drop_path, each_batch, mark, rows_out, slices, written
 from docweave.llm.components import components
 
 SHINGLE = 3
@@ -48,8 +50,8 @@ COUNT_BLOCK = 1 << 14
 #: The stage's shingles, and its least similarity as a fraction.
 STAGE_SHINGLE = 5
 SIMILARITY = (4, 5)
-#: Of each set so many keys, each of so many least values: 1 - (1 - 0.8 ** 6) ** 72 is the chance that a pair at 0.8 shares one.
-BANDS, BAND_ROWS = 72, 6
+#: Of each set so many keys, each of so many least values: (1 - 0.8 ** 5) ** 48 is the chance that a pair at 0.8 shares none.
+BANDS, BAND_ROWS = 48, 5
 _DRAW = np.random.default_rng(SEED)
 #: Odd factors permute the 64-bit hashes; a band's key is a sum of products with its own factors.
 PERMUTE = _DRAW.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -58,9 +60,6 @@ BAND_KEY = _DRAW.integers(0, 1 << 63, (BANDS, BAND_ROWS), dtype=np.uint64) * np.
 PERMUTE_BLOCK, STAGE_ROWS = 256, 128
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
-#: The radius-1 balls of both segments: nothing, or one flipped bit of either.
-FLIPS = [0, *(1 << k for k in range(SEGMENT_BITS)), *(1 << (SEGMENT_BITS + k) for k in range(SEGMENT_BITS))]
-
 
 def shingle_hashes(text: bytes | None, shingle: int = SHINGLE) -> list[int]:
     words = text.translate(LOWER).split() if text else []
@@ -87,24 +86,34 @@ def fingerprint(text: bytes | None) -> int:
 PRINTS = pa.schema([("doc_id", pa.int64()), ("mark", pa.binary()), ("fp", pa.int64())])
 
 
-def mark() -> F.Column:
-    """A digest of the text: with the id it names a row whose id others have too."""
-    return F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256))
-
-
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, mark and fp, the fingerprint's bits as a signed long."""
     run = lambda b: rows_out({"doc_id": b.column("doc_id"), "mark": b.column("mark"), "fp": np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)}, PRINTS)
     return documents(docs).withColumn("mark", mark()).mapInArrow(each_batch(run), "doc_id bigint, mark binary, fp bigint")
 
 
+def segment_tables(distinct: DataFrame) -> DataFrame:
+    """The entries of both tables: segment (0 high, 1 low), value, fp and node."""
+    high, low = F.shiftrightunsigned("fp", SEGMENT_BITS), F.col("fp").bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))
+    return distinct.select("fp", "node", F.posexplode(F.array(high, low)).alias("segment", "value"))
+
+
+def balls(distinct: DataFrame) -> DataFrame:
+    """What each fingerprint looks up, in the same columns and ``near``: whether the value is one bit away."""
+    entries = segment_tables(distinct)
+    bit = F.explode(F.sequence(F.lit(0), F.lit(SEGMENT_BITS - 1)))
+    flipped = F.col("value").bitwiseOR(F.expr("shiftleft(1L, bit)"))
+    around = entries.where("segment = 0").select("*", bit.alias("bit")).select("fp", "node", "segment", F.col("value").alias("own"), flipped.alias("value")).where("own <> value")
+    return entries.select("fp", "node", "segment", "value", F.lit(False).alias("near")).unionByName(around.select("fp", "node", "segment", "value", F.lit(True).alias("near")))
+
+
 def links(distinct: DataFrame) -> DataFrame:
-    """Links (u, v) between nodes of a table (fp, node) with distinct fp; all nodes of a component stay connected."""
-    flips = F.array(*[F.lit(f - (1 << 64) if f >> 63 else f).cast("bigint") for f in FLIPS])
-    probes = distinct.select("fp", "node", F.explode(flips).alias("flip")).select("fp", "node", F.col("fp").bitwiseXOR(F.col("flip")).alias("key"))
-    bucket = Window.partitionBy("key").orderBy("node", "fp")
-    near = probes.select("fp", "node", F.first("node").over(bucket).alias("v"), F.first("fp").over(bucket).alias("fp_v"))
-    return near.where((F.col("node") != F.col("v")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_v"))) <= RADIUS)).select(F.col("node").alias("u"), "v")
+    """Links (u, v) between the nodes of a table (fp, node) with distinct fp: all pairs within RADIUS."""
+    ask, held = balls(distinct).alias("a"), segment_tables(distinct).alias("b")
+    once = F.col("a.near") | (F.col("a.fp") < F.col("b.fp"))
+    close = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= RADIUS
+    met = ask.join(held, (F.col("a.segment") == F.col("b.segment")) & (F.col("a.value") == F.col("b.value")) & once & close)
+    return met.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
 
 
 def fingerprint_groups(docs: DataFrame) -> DataFrame:
@@ -113,7 +122,7 @@ def fingerprint_groups(docs: DataFrame) -> DataFrame:
     # A class whose ids are all null has no id to be known by: it links to nothing.
     nodes, _ = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
     known = nodes.where(F.col("node").isNotNull())
-    roots = components(links(known))
+    roots, _ = components(links(known))
     labels = known.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return prints.join(labels, "fp", "left").select("doc_id", "mark", "fp", F.col("fp").alias("group"), "component_id")
 
@@ -142,7 +151,7 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return (least.reshape(BANDS, BAND_ROWS) * BAND_KEY).sum(axis=1, dtype=np.uint64)
 
 
-BANDED = pa.schema([("doc_id", pa.int64()), ("mark", pa.binary()), ("fp", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64()))])
+BANDED = pa.schema([("doc_id", pa.int64()), ("mark", pa.binary()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
 SETS = pa.schema([("fp", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 signed = lambda values: np.array(values, np.uint64).view(np.int64)
 
@@ -150,7 +159,7 @@ signed = lambda values: np.array(values, np.uint64).view(np.int64)
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, STAGE_ROWS):
         sets = [shingle_set(t) for t in b.column("text").to_pylist()]
-        yield rows_out({"doc_id": b.column("doc_id"), "mark": b.column("mark"), "fp": signed([set_print(s) for s in sets]), "n": [len(s) for s in sets], "keys": [signed(band_keys(s)) for s in sets]}, BANDED)
+        yield rows_out({"doc_id": b.column("doc_id"), "mark": b.column("mark"), "fp": signed([set_print(s) for s in sets]), "keys": [signed(band_keys(s)) for s in sets]}, BANDED)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,45 +177,81 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where((part + whole) * common >= part * (F.size("of_u") + F.size("of_v"))).select("u", "v")
 
 
-def set_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links (u, v) between the sets of a table (fp, n, keys, node); all sets of a component stay connected.
+def met_least(rows: DataFrame, by: str) -> DataFrame:
+    """The rows whose value of ``by`` others share, with their number (size) and the least fp of them (least).
 
-    First each set meets the least one of each of its buckets. Where that leaves
-    a bucket in several components, its sets of different components meet each
-    other, so a large group of copies is never listed pair by pair and no pair is
-    left out.
+    Values are counted where they are and then joined: a hot value's rows are
+    never gathered, and Spark can split the join. Its smaller side is hashed, so
+    the rows aren't sorted.
+    """
+    least = rows.groupBy(by).agg(F.count("*").alias("size"), F.min("fp").alias("least")).where("size > 1")
+    return rows.join(least.hint("shuffle_hash"), by)
+
+
+def rare_shingles(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """fp, n, shingle and at: of each wanted set's n shingles, from the rarest on, those in its prefix that other wanted sets have too.
+
+    Two sets that are similar enough share a shingle of their prefixes, whose
+    length is n - ceil(SIMILARITY n) + 1 (prefix filtering). Passages that many
+    documents have are not rare, so they lead nobody together, and a set with
+    more shingles of its own than its prefix is long meets no other set.
+    """
+    part, whole = SIMILARITY
+    rows = sets.join(wanted, "fp", "left_semi").select("fp", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    own = rows.join(shared, "shingle").groupBy("fp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"))
+    alone = F.col("n") - F.size("s")
+    length = (F.col("n") - F.ceil(F.col("n") * part / whole) + 1 - alone).cast("int")
+    prefix = own.where(length > 0).select("fp", "n", alone.alias("alone"), F.posexplode(F.slice("s", 1, length)).alias("k", "s"))
+    return prefix.select("fp", "n", F.col("s.shingle").alias("shingle"), (F.col("alone") + F.col("k")).alias("at"))
+
+
+def set_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (u, v) between the sets of a table (fp, keys, node); all sets of a component stay connected.
+
+    First each set meets the least one of each of its buckets. Sets of a bucket
+    that this leaves in several components go on to an exact join by rare
+    shingles: there again each set meets the least set of each of its shingles,
+    and then those of other components that share a shingle of the prefix and
+    can still reach the similarity from its place. So a large group of copies is
+    never listed pair by pair and no pair is left out.
     """
     part, whole = SIMILARITY
-    bucket = Window.partitionBy("key")
-    keyed = nodes.select("fp", "n", "node", F.explode("keys").alias("key"))
-    shared = keyed.select("*", F.count("*").over(bucket).alias("size"), F.min(F.struct("fp", "n")).over(bucket).alias("least")).where("size > 1")
-    shared, shared_path = written(shared, "buckets")
-    wanted = shared.select(F.col("node").alias("doc_id")).distinct()
+    keyed = nodes.select("fp", F.explode("keys").alias("key"))
+    shared, shared_path = written(met_least(keyed, "key"), "buckets")
+    wanted = shared.select("fp").distinct().join(nodes, "fp").select(F.col("node").alias("doc_id")).distinct()
     sets, sets_path = written(documents(docs).join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "fp bigint, shingles array<bigint>").dropDuplicates(["fp"]), "sets")
-    alike = lambda a, b: whole * F.least(a, b) >= part * F.greatest(a, b)
-    first = shared.where((F.col("fp") != F.col("least.fp")) & alike(F.col("n"), F.col("least.n"))).select(F.col("fp").alias("u"), F.col("least.fp").alias("v"))
-    first, _ = written(confirmed(first, sets), "links")
-    roots = components(first).withColumnRenamed("node", "fp")
-    left = shared.where("size > 2").join(roots, "fp", "left").select("key", "fp", "n", F.col("least.fp").alias("met"), F.coalesce("root", "fp").alias("root"))
-    left = left.select("*", F.min("root").over(bucket).alias("lo"), F.max("root").over(bucket).alias("hi")).where("lo <> hi and fp <> met")
-    left, left_path = written(left.select("key", "fp", "n", "root"), "buckets")
-    a, b = left.alias("a"), left.alias("b")
-    meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") > F.col("b.fp")) & (F.col("a.root") != F.col("b.root")) & alike(F.col("a.n"), F.col("b.n"))
+    first = shared.where("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v"))
+    first, first_path = written(confirmed(first, sets), "links")
+    roots, roots_path = components(first)
+    left = shared.where("size > 2").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+    mixed = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    left = left.join(mixed, "key", "left_semi").select("fp").distinct()
+    rare, rare_path = written(rare_shingles(sets, left), "rare")
+    star = met_least(rare, "shingle").where("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v"))
+    star, star_path = written(confirmed(star, sets), "links")
+    joined, joined_path = components(first.unionByName(star))
+    open_ = rare.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    open_, open_path = written(open_, "open")
+    a, b = open_.alias("a"), open_.alias("b")
+    reach = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))  # shingles from here on, if this is the first in common
+    meet = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.fp") > F.col("b.fp")) & (F.col("a.root") != F.col("b.root")) & ((part + whole) * reach >= part * (F.col("a.n") + F.col("b.n")))
     rest = a.join(b, meet).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
-    more, _ = written(confirmed(rest, sets), "links")
-    for path in (shared_path, sets_path, left_path):
+    links, _ = written(first.unionByName(star).unionByName(confirmed(rest, sets)), "links")
+    for path in (shared_path, sets_path, first_path, roots_path, rare_path, star_path, joined_path, open_path):
         drop_path(docs.sparkSession, path)
-    return first.unionByName(more)
+    return links
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, mark, fp (of the shingle set), group and component_id by the stage's similarity, a row for each row of docs; components that share an id are several groups."""
-    prints, _ = written(documents(docs).withColumn("mark", mark()).mapInArrow(_banded, "doc_id bigint, mark binary, fp bigint, n bigint, keys array<bigint>"), "bands")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    prints, _ = written(documents(docs).withColumn("mark", mark()).mapInArrow(_banded, "doc_id bigint, mark binary, fp bigint, keys array<bigint>"), "bands")
+    nodes, nodes_path = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "nodes")
     # Sets are linked under their own names, as ids may repeat; the component's id is its least document's.
-    roots = components(set_links(docs, nodes.where(F.col("node").isNotNull())))
+    roots, _ = components(set_links(docs, nodes.where(F.col("node").isNotNull())))
     labels = nodes.select("fp", "node").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "node", F.coalesce("root", "fp").alias("root"))
-    labels = labels.select("fp", F.col("root").alias("group"), F.min("node").over(Window.partitionBy("root")).alias("component_id"))
+    least = labels.groupBy("root").agg(F.min("node").alias("component_id"))
+    labels = labels.join(least, "root").select("fp", F.col("root").alias("group"), "component_id")
     return prints.select("doc_id", "mark", "fp").join(labels, "fp", "left").select("doc_id", "mark", "fp", "group", "component_id")
 
 

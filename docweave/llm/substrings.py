@@ -31,7 +31,9 @@ from docweave.llm.windows import (
     HISTORY,
     JUDGED,
     JUDGED_DDL,
+    KIND_AT,
     MARK,
+    PLACE_AT,
     REQUEST,
     SENT_DDL,
     Spec,
@@ -87,7 +89,7 @@ class FingerprintIndex:
     def history(self) -> list[DataFrame]:
         """The runs' entries in the form that map tasks send: fingerprints, and marks of hot keys."""
         kind = F.when(F.col("kind") == MARK, MARK).otherwise(HISTORY)
-        meta = F.shiftleft(F.col("place"), 12).bitwiseOR(F.shiftleft(kind.cast("bigint"), 8)).bitwiseOR(F.col("run").cast("bigint"))
+        meta = F.shiftleft(F.col("place"), PLACE_AT).bitwiseOR(F.shiftleft(kind.cast("bigint"), KIND_AT)).bitwiseOR(F.col("run").cast("bigint"))
         return [run.where(F.col("kind").isin(ANCHOR, MARK)).select("key", "ctx", "doc", meta.alias("meta")) for run, _ in self.runs]
 
     def ingest(self, docs: DataFrame) -> DataFrame:

@@ -44,6 +44,8 @@ HOT_LOCAL, HOT = 32, 64
 VERIFY_ROWS = 20_000
 
 ANCHOR, MARK, COVERED, REQUEST, HISTORY = range(5)
+#: Bits of a sent row's meta: the run's length below, then its kind, then its place.
+KIND_AT, PLACE_AT = 16, 20
 
 Texts = list[tuple[int, bytes]]
 
@@ -61,6 +63,10 @@ class Spec:
     #: Digits of windows for the radix passes: from contexts, the digit reader and each context's first place.
     digits: Callable[[list[bytes]], tuple[Callable[[np.ndarray, int], np.ndarray], np.ndarray, int]]
 
+    def __post_init__(self) -> None:
+        if not 1 <= self.gram <= self.window or self.reach >= 1 << KIND_AT:
+            raise ValueError(f"a window of {self.window} tokens with grams of {self.gram}: runs would be longer than {(1 << KIND_AT) - 1} windows, or none")
+
     @property
     def reach(self) -> int:
         return self.window - self.gram + 1
@@ -156,13 +162,13 @@ def spread(rows: Rows) -> Rows:
 
 
 def packed(rows: Rows, kind: int) -> pa.RecordBatch:
-    meta = (rows["place"] << 12) | (kind << 8) | rows["run"]
+    meta = (rows["place"] << PLACE_AT) | (kind << KIND_AT) | rows["run"]
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (rows["key"], rows["ctx"], rows["doc"], meta)], schema=SENT)
 
 
 def unpacked(batch: pa.RecordBatch) -> Rows:
     key, ctx, doc, meta = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-    return {"key": key, "ctx": ctx, "doc": doc, "place": meta >> 12, "run": meta & 255, "kind": (meta >> 8) & 15}
+    return {"key": key, "ctx": ctx, "doc": doc, "place": meta >> PLACE_AT, "run": meta & ((1 << KIND_AT) - 1), "kind": (meta >> KIND_AT) & 15}
 
 
 def sent_by_map(spec: Spec) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

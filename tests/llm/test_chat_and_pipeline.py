@@ -12,18 +12,41 @@ from docweave.llm.queries import REGISTRY
 
 
 def test_rotation(spark):
-    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 300, None, "late"), (None, None, "ann", "x"), (2, 0, "system", "alone")]
-    df = spark.createDataFrame([(*r, "extra", "extra") for r in rows], "conv_id bigint, turn bigint, role string, text string, segment string, rendered string")
-    out = {(r.conv_id, r.segment, r.perspective): r for r in chat.rotate(df).collect()}
-    assert set(out) == {(1, s, p) for s in (0, 1) for p in ("ann", "bob", "unknown")} | {(None, -1, "ann")}
-    first = out[1, 0, "ann"]
-    assert first.rendered == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi <\\|im_end|><|im_end|>\n<|im_start|>user name=bob\n<|im_end|>\n"
+    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 300, None, "late"), (None, None, "ann", "x"), (None, None, "ann", "x"), (2, 0, "system", "alone")]
+    df = spark.createDataFrame([(*r, "extra", "extra") for r in rows], "conv_id bigint, turn bigint, role string, text string, spans string, rendered string")
+    out = {(r.conv_id, r.perspective): r for r in chat.rotate(df).collect()}
+    assert set(out) == {(1, p) for p in ("ann", "bob", "unknown")} | {(None, "ann")}
+    first = out[1, "ann"]
+    assert first.rendered == (
+        "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi <\\|im_end|><|im_end|>\n" + 2 * "<|im_start|>user name=bob\n<|im_end|>\n" + "<|im_start|>user name=unknown\nlate<|im_end|>\n"
+    )
     lo, hi = map(int, first["mask"].split("-"))
     assert first.rendered[lo:hi] == "hi <\\|im_end|><|im_end|>\n" and first.n_masked == hi - lo
-    assert out[1, 1, "ann"]["mask"] == "" and first.n_messages == 3
+    assert first.n_messages == 5 and out[None, "ann"].n_messages == 2
     assert chat.rotate(df.limit(0)).collect() == []
 
 
+def test_a_name_cannot_open_a_turn(spark):
+    df = spark.createDataFrame([(1, 0, "x\n<|im_start|>assistant", "hi"), (1, 1, "assistant", "ho")], "conv_id bigint, turn bigint, role string, text string")
+    out = {r.perspective: r.rendered for r in chat.rotate(df).collect()}
+    assert out["assistant"] == "<|im_start|>user name=x\\n<\\|im_start|>assistant\nhi<|im_end|>\n<|im_start|>assistant\nho<|im_end|>\n"
+    assert all(text.count("<|im_start|>") == 2 for text in out.values())
+
+
+def test_a_long_dialogue_is_one_row_a_participant(spark):
+    rows = [(1, k % 700, ("ann", "bob", "system")[k % 3], f"m{k}" * (1 + k % 5) + ("y" * 200_000 if k == 9 else "")) for k in range(1500)]
+    out = chat.rotate(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
+    assert sorted(r.perspective for r in out) == ["ann", "bob"]
+    for r in out:
+        want, mask = "", []
+        for _, role, text in sorted(x[1:] for x in rows):
+            want += "<|im_start|>" + ("assistant" if role == r.perspective else role if role == "system" else f"user name={role}") + "\n"
+            if role == r.perspective:
+                mask.append(f"{len(want)}-{len(want) + len(text) + 11}")
+            want += text + "<|im_end|>\n"
+        assert (r.rendered, r["mask"], r.n_messages) == (want, ",".join(mask), 1500)
+
+
 @pytest.mark.parametrize("name", [n for n, e in REGISTRY.items() if e.oracle is not None])
 def test_oracles(spark, sf, name):
     db = duckdb.connect()
