@@ -71,10 +71,7 @@ class Engine:
         """One row: whether the descriptor is valid, and the first rule it breaks."""
         d = self.provider.descriptor()
         row = self.spark.createDataFrame([(d.provider_id, d.engine, list(d.stages))], "provider_id string, engine string, stages array<string>")
-        tags = F.transform("stages", S.stage_tag)
-        violation = V.first_violation(
-            ("provider_id", T.matches(F.col("provider_id"), T.PROVIDER_ID)), ("engine", F.octet_length("engine").between(1, 128) & F.col("engine").rlike(r"\S")), ("stages", (F.size("stages") > 0) & (F.array_sort(F.array_distinct(tags)) == tags))
-        )
+        violation = V.provider_violation(F.col("provider_id"), F.col("engine"), F.col("stages"))
         return row.withColumn("violation", violation).withColumn("ready", F.col("violation").isNull())
 
     def admit(self, slots: DataFrame) -> DataFrame:

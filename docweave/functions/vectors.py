@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FLT_MAX = 3.4028234663852886e38
@@ -29,11 +31,20 @@ def top_k(a: Column, k: int) -> Column:
     return F.transform(F.slice(F.array_sort(pairs), 1, k), lambda p: p["i"].cast("bigint"))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once a row: an expression named in a lambda would be computed for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def softmax(a: Column) -> Column:
-    top = F.array_max(a)
-    exps = F.transform(a, lambda x: F.exp(x.cast("double") - top))
-    total = F.aggregate(exps, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(exps, lambda x: x / total)
+    exps = once(F.array_max(a), lambda top: F.transform(a, lambda x: F.exp(x.cast("double") - top)))
+    shares = lambda e: once(F.aggregate(e, F.lit(0.0), lambda s, x: s + x), lambda total: F.transform(e, lambda x: x / total))
+    return once(exps, shares)
+
+
+def with_softmax(df: DataFrame, name: str, out: str) -> DataFrame:
+    """df with the softmax of an array column beside it. As one element of an explode it is computed once, however often it is used."""
+    return df.withColumn(out, F.explode(F.array(softmax(F.col(name)))))
 
 
 def sigmoid(x: Column) -> Column:
@@ -42,9 +53,8 @@ def sigmoid(x: Column) -> Column:
 
 def rank_of(a: Column, index: Column) -> Column:
     """1-based rank of an element: larger values come before it, and equal ones at smaller indices."""
-    own = F.get(a, index)
-    before = F.filter(a, lambda x, i: (x > own) | ((x == own) & (i < index)))
-    return (F.size(before) + 1).cast("bigint")
+    before = lambda e: once(F.get(e, index), lambda own: F.size(F.filter(e, lambda x, i: (x > own) | ((x == own) & (i < index)))))
+    return (once(a, before) + 1).cast("bigint")
 
 
 def banned_tokens(tokens: Column, n: int, window: int) -> Column:

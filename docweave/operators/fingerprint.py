@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions.binary import byte, digest, fold, optional, prefixed, u64_le
@@ -29,3 +29,9 @@ def model(models: Column) -> Column:
 def ordered(domain: str, parts: Column) -> Column:
     """Of strings in the order given."""
     return digest(prefixed(F.lit(domain)), u64_le(F.size(parts)), fold(F.transform(parts, prefixed)))
+
+
+def determinism(runs: DataFrame, keys: list[str], print_: Column, other: Column) -> DataFrame:
+    """Runs, distinct prints and distinct values of ``other`` by key; stable where all runs of a key have one print."""
+    g = runs.select(*keys, print_.alias("__print"), other.alias("__other")).groupBy(*keys).agg(F.count("*").alias("runs"), F.countDistinct("__print").alias("prints"), F.countDistinct("__other").alias("others"))
+    return g.withColumn("stable", F.col("prints") == 1)

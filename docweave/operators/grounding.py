@@ -12,20 +12,36 @@ REF = ("<|ref|>", "<|/ref|>")
 DET = ("<|det|>", "<|/det|>")
 MAX_BOXES, MAX_MARKERS, MAX_TEXT = 128, 10_000, 1_048_576
 SCALE = 999
-BOX = r"\[[0-9]{1,9},[0-9]{1,9},[0-9]{1,9},[0-9]{1,9}\]"
-ONE_OR_LIST = rf"^({BOX}|\[{BOX}(,{BOX})*\])$"
+#: White space may stand around numbers and marks, never within a number.
+GAP = r"[ \t\n\f\r]*"
+NUMBER = rf"{GAP}[0-9]+{GAP}"
+BOX = rf"{GAP}\[{NUMBER},{NUMBER},{NUMBER},{NUMBER}\]{GAP}"
+ONE_OR_LIST = rf"^({BOX}|{GAP}\[{BOX}(,{BOX})*\]{GAP})$"
 MARKER = r"(<\|ref\|>([^<]*)<\|/ref\|>)?<\|det\|>([^<\[]*)(\[[^<]*\])<\|/det\|>"
 
 
 def boxes(coordinates: Column) -> Column:
-    """Boxes (l, t, r, b) of a coordinate list, or null: digits up to 999, left of right, top above bottom, at most 128."""
-    flat = F.regexp_replace(coordinates, r"\s+", "")
-    numbers = F.regexp_extract_all(flat, F.lit(r"([0-9]+)"), F.lit(1))
+    """Boxes (l, t, r, b) of a coordinate list, or null: numbers up to 999, left of right, top above bottom, at most 128 (see ``over_limit``)."""
+    numbers = _numbers(coordinates)
     count = F.floor(F.size(numbers) / 4).cast("int")
     at = lambda k, j: F.get(numbers, k * 4 + j).cast("bigint")
     each = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.struct(at(k, 0).alias("l"), at(k, 1).alias("t"), at(k, 2).alias("r"), at(k, 3).alias("b")))
     fine = F.forall(each, lambda b: (b["r"] <= SCALE) & (b["b"] <= SCALE) & (b["l"] < b["r"]) & (b["t"] < b["b"]))
-    return F.when(flat.rlike(ONE_OR_LIST) & (count <= MAX_BOXES), F.when(fine, each))
+    return F.when(coordinates.rlike(ONE_OR_LIST) & (count <= MAX_BOXES), F.when(fine, each))
+
+
+def _numbers(coordinates: Column) -> Column:
+    """Without leading zeros; what is longer than nine digits is out of range in any case and stands as such."""
+    long = F.lit(str(10**9 - 1))
+    return F.transform(F.regexp_extract_all(coordinates, F.lit(r"0*([0-9]+)"), F.lit(1)), lambda n: F.when(F.length(n) > 9, long).otherwise(n))
+
+
+def over_limit(coordinates: Column) -> Column:
+    """Whether a list in good form is an error, not just unusable: its first 128 boxes are right and there are more."""
+    numbers = _numbers(coordinates)
+    first = F.transform(F.sequence(F.lit(0), F.lit(MAX_BOXES)), lambda k: F.transform(F.array(*map(F.lit, range(4))), lambda j: F.get(numbers, k * 4 + j).cast("bigint")))
+    fine = F.forall(first, lambda b: (b[2] <= SCALE) & (b[3] <= SCALE) & (b[0] < b[2]) & (b[1] < b[3]))
+    return F.coalesce(coordinates.rlike(ONE_OR_LIST) & (F.size(numbers) > 4 * MAX_BOXES) & fine, F.lit(False))
 
 
 def scaled(box: Column, width: Column, height: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import geometry as G
 from docweave.functions import text as T
+from docweave.operators.stages import stage_tag
 
 #: Fixed limits.
 MAX_SLOTS = 256
@@ -31,10 +32,12 @@ def confidence_ok(c: Column) -> Column:
 
 
 def provider_violation(provider_id: Column, engine: Column, stages: Column) -> Column:
+    """Stages are known, distinct and in canonical order (that of their tags, not of their names)."""
+    tags = F.transform(stages, stage_tag)
     return first_violation(
         ("provider_id", T.matches(provider_id, T.PROVIDER_ID)),
         ("engine", F.octet_length(engine).between(1, 128) & engine.rlike(r"\S")),
-        ("stages", (F.size(stages) > 0) & (F.array_sort(F.array_distinct(stages)) == stages)),
+        ("stages", (F.size(stages) > 0) & F.forall(tags, lambda t: t.isNotNull()) & (F.array_sort(F.array_distinct(tags)) == tags)),
     )
 
 

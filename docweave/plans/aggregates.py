@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docweave.functions import geometry as G
 from docweave.functions import vectors as X
@@ -67,6 +68,28 @@ def join_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("conv_id", F.array_join(F.transform("rows", lambda r: r["text"]), "\n").alias("joined"), F.array_join(F.transform("rows", lambda r: collapsed(r["text"])), " ").alias("cell"))
 
 
+def nearest_ranks(rows: DataFrame, key: str, value: str, ranks: dict[str, float], bucket: int = 1 << 16) -> DataFrame:
+    """Exact nearest-rank percentiles, lo, hi, n and total of a long column by key, without gathering a key's values.
+
+    Counts by value bucket find the bucket that holds each rank; only those
+    buckets' values are then counted one by one. Both counts combine before their
+    shuffle, and a bucket holds at most ``bucket`` distinct values.
+    """
+    b = F.floor(F.col(value) / bucket)
+    counts = rows.groupBy(key, b.alias("b")).agg(F.count("*").alias("c"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.sum(value).alias("s"))
+    w = Window.partitionBy(key).orderBy("b")
+    whole = counts.groupBy(key).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("c").alias("n"), F.sum("s").alias("total"))
+    upto = counts.select(key, "b", F.sum("c").over(w).alias("upto"), "c").join(whole.select(key, "n"), key)
+    targets = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.greatest(F.ceil(F.col("n") * p), F.lit(1)).alias("rank")) for name, p in ranks.items()]))
+    held = upto.select("*", targets.alias("t")).where((F.col("t.rank") <= F.col("upto")) & (F.col("t.rank") > F.col("upto") - F.col("c")))
+    held = held.select(key, "b", F.col("t.name").alias("name"), (F.col("t.rank") - F.col("upto") + F.col("c")).alias("rank"))
+    values = rows.withColumn("b", b).join(held.select(key, "b").distinct(), [key, "b"], "left_semi").groupBy(key, "b", value).agg(F.count("*").alias("c"))
+    values = values.withColumn("upto", F.sum("c").over(Window.partitionBy(key, "b").orderBy(value)))
+    found = values.join(held, [key, "b"]).where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("c")))
+    out = found.groupBy(key).agg(*[F.max(F.when(F.col("name") == name, F.col(value))).alias(name) for name in ranks])
+    return out.join(whole, key)
+
+
 @REGISTRY.query(
     "latency_percentiles",
     """WITH s AS (SELECT event_type, CAST(round(value * 1000000) AS BIGINT) AS ns FROM events)
@@ -74,19 +97,18 @@ def join_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "events").select("event_type", F.round(F.col("value") * 1_000_000).cast("bigint").alias("ns"))
-    rank = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY ns)").cast("bigint")
-    g = s.groupBy("event_type").agg(rank(0.5).alias("p50"), rank(0.95).alias("p95"), F.min("ns").alias("lo"), F.max("ns").alias("hi"), F.count("*").alias("n"), F.sum("ns").alias("total"))
+    g = nearest_ranks(s, "event_type", "ns", {"p50": 0.5, "p95": 0.95})
     return g.select("event_type", "p50", "p95", "lo", "hi", F.expr("cast(n * 1000000000000 div total as bigint)").alias("milli_per_s"))
 
 
 @REGISTRY.query(
     "determinism",
-    """SELECT o_orderpriority, o_orderstatus, count(DISTINCT sha256(o_orderstatus)) = 1 AND count(DISTINCT length(o_orderpriority)) = 1 AS stable, count(DISTINCT o_custkey % 2) = 2 AS two_prints FROM orders GROUP BY o_orderpriority, o_orderstatus""",
+    """SELECT o_custkey, count(*) AS runs, count(DISTINCT sha256(o_orderstatus || ':' || o_orderpriority)) AS prints, count(DISTINCT sha256(o_orderstatus || ':' || o_orderpriority)) = 1 AS stable, count(DISTINCT o_orderstatus) = 2 AS two_prints FROM orders GROUP BY o_custkey""",
 )
 def determinism(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = lambda c: F.countDistinct(c)
-    g = table(spark, sf_dir, "orders").groupBy("o_orderpriority", "o_orderstatus")
-    return g.agg(((one(F.sha2(F.col("o_orderstatus").cast("binary"), 256)) == 1) & (one(F.length("o_orderpriority")) == 1)).alias("stable"), (one(F.col("o_custkey") % 2) == 2).alias("two_prints"))
+    """A customer's orders as runs of one input: whether all have the same digest, and whether two statuses make two prints."""
+    print_ = F.sha2(F.concat_ws(":", "o_orderstatus", "o_orderpriority").cast("binary"), 256)
+    return P.determinism(table(spark, sf_dir, "orders"), ["o_custkey"], print_, F.col("o_orderstatus")).select("o_custkey", "runs", "prints", "stable", (F.col("others") == 2).alias("two_prints"))
 
 
 @REGISTRY.query(
@@ -125,7 +147,7 @@ def image_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query(
     "token_f1",
-    r"""WITH d AS (SELECT doc_id, doc_id % 40 AS item_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents), b AS (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM benchmark),
+    r"""WITH d AS (SELECT doc_id, doc_id % (SELECT count(*) FROM benchmark) AS item_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents), b AS (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM benchmark),
     dc AS (SELECT doc_id, item_id, lower(w) AS w, count(*) AS n FROM d GROUP BY ALL), bc AS (SELECT item_id, lower(w) AS w, count(*) AS n FROM b GROUP BY ALL),
     hit AS (SELECT doc_id, sum(least(dc.n, bc.n)) AS h FROM dc JOIN bc USING (item_id, w) GROUP BY doc_id), dn AS (SELECT doc_id, item_id, sum(n) AS n FROM dc GROUP BY ALL), bn AS (SELECT item_id, sum(n) AS n FROM bc GROUP BY item_id)
     SELECT dn.doc_id, CAST(coalesce(h, 0) AS BIGINT) AS shared, round(2.0 * coalesce(h, 0) / (dn.n + bn.n), 9) AS f1 FROM dn JOIN bn USING (item_id) LEFT JOIN hit USING (doc_id)""",
@@ -133,7 +155,8 @@ def image_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multiset token overlap of each document with the benchmark item that its id points at."""
     words = lambda df, *keys: df.select(*keys, F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).groupBy(*keys, F.lower("w").alias("w")).agg(F.count("*").alias("n"))
-    d = words(table(spark, sf_dir, "documents").withColumn("item_id", F.col("doc_id") % 40), "doc_id", "item_id")
+    n_items = table(spark, sf_dir, "benchmark").agg(F.count("*").alias("n_items"))  # one row
+    d = words(table(spark, sf_dir, "documents").join(F.broadcast(n_items)).withColumn("item_id", F.col("doc_id") % F.col("n_items")), "doc_id", "item_id")
     b = words(table(spark, sf_dir, "benchmark"), "item_id").withColumnRenamed("n", "m")
     size = b.groupBy("item_id").agg(F.sum("m").alias("bn"))
     # least() ignores nulls, so words the item lacks must not count.
@@ -169,9 +192,8 @@ def ctc_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT vec_id, round(list_max(e) / list_sum(e), 9) AS top, round(list_sum(list_transform(list_zip(e, v), lambda p: p[1] * p[2])) / list_sum(e), 7) AS context FROM s""",
 )
 def softmax_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = X.softmax(F.col("embedding"))
     context = F.aggregate(F.zip_with("p", "embedding", lambda a, b: a * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return table(spark, sf_dir, "embeddings").select("vec_id", p.alias("p"), "embedding").select("vec_id", F.round(F.array_max("p"), 9).alias("top"), F.round(context, 7).alias("context"))
+    return X.with_softmax(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", "p").select("vec_id", F.round(F.array_max("p"), 9).alias("top"), F.round(context, 7).alias("context"))
 
 
 @REGISTRY.query(

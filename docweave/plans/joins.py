@@ -56,14 +56,14 @@ def text_only_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query(
     "canonical_stages",
-    """WITH s AS (SELECT conv_id, list_distinct(list(CASE WHEN role = 'user' THEN 'text' WHEN role = 'system' THEN 'seal' ELSE 'layout' END)) AS l FROM conversations GROUP BY conv_id)
-    SELECT conv_id, array_to_string(list_sort(l), ',') AS stages FROM s""",
+    f"""WITH s AS (SELECT conv_id, list_distinct(list(CASE WHEN role = 'user' THEN 'text' WHEN role = 'system' THEN 'seal' ELSE 'layout' END)) AS l FROM conversations GROUP BY conv_id)
+    SELECT conv_id, string_agg(stage, ',' ORDER BY tag) AS stages FROM (SELECT conv_id, unnest(l) AS stage FROM s) JOIN {_STAGES_SQL} USING (stage) GROUP BY conv_id""",
 )
 def canonical_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     stage = F.when(F.col("role") == "user", "text").when(F.col("role") == "system", "seal").otherwise("layout")
     g = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_set(stage).alias("s"))
-    # layout < text < table < seal by tag; these three sort like layout, seal, text by name.
-    return g.select("conv_id", F.array_join(F.array_sort(S.canonical(F.col("s"))), ",").alias("stages"))
+    # By tag, text comes before seal; by name it would come after.
+    return g.select("conv_id", F.array_join(S.canonical(F.col("s")), ",").alias("stages"))
 
 
 @REGISTRY.query(
@@ -96,9 +96,8 @@ def branch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos, event_id, event_type FROM events""",
 )
 def order_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    pos = e.select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("bigint").alias("pos"))
-    return e.join(pos, "event_id").select("user_id", "pos", "event_id", "event_type")
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("bigint")
+    return table(spark, sf_dir, "events").select("user_id", place.alias("pos"), "event_id", "event_type")
 
 
 _SEGMENTS = "SELECT l_orderkey AS page, CAST(l_partkey % 40 AS BIGINT) AS fixed, CAST(l_suppkey % 40 AS BIGINT) AS lo, CAST(l_suppkey % 40 + l_quantity AS BIGINT) AS hi, l_linenumber % 2 AS axis FROM lineitem"

@@ -53,10 +53,11 @@ def cluster_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query(
     "line_components",
     f"""WITH RECURSIVE s AS (SELECT page, axis, fixed, lo, hi, row_number() OVER (PARTITION BY page ORDER BY axis, fixed, lo, hi) AS line FROM (SELECT DISTINCT * FROM ({_SEGMENTS}))),
-    x AS (SELECT h.page, h.line AS h, v.line AS v FROM s h JOIN s v ON h.page = v.page AND h.axis = 0 AND v.axis = 1 AND v.fixed BETWEEN h.lo - 3 AND h.hi + 3 AND h.fixed BETWEEN v.lo - 3 AND v.hi + 3),
+    x AS (SELECT h.page, h.line AS h, v.line AS v, v.fixed AS px, h.fixed AS py FROM s h JOIN s v ON h.page = v.page AND h.axis = 0 AND v.axis = 1 AND v.fixed BETWEEN h.lo - 3 AND h.hi + 3 AND h.fixed BETWEEN v.lo - 3 AND v.hi + 3),
     arcs AS (SELECT page, h AS a, v AS b FROM x UNION SELECT page, v, h FROM x), reach AS (SELECT page, a, a AS b FROM arcs UNION SELECT reach.page, reach.a, arcs.b FROM reach JOIN arcs ON arcs.page = reach.page AND arcs.a = reach.b),
     root AS (SELECT page, a AS line, min(b) AS root FROM reach GROUP BY page, a)
-    SELECT s.page, root, count(*) FILTER (axis = 0) AS horizontal, count(*) FILTER (axis = 1) AS vertical FROM root JOIN s ON s.page = root.page AND s.line = root.line GROUP BY s.page, root HAVING count(*) FILTER (axis = 0) >= 2 AND count(*) FILTER (axis = 1) >= 2""",
+    SELECT x.page, root, count(DISTINCT h) AS horizontal, count(DISTINCT v) AS vertical, count(*) AS crossings, min(px) AS "left", min(py) AS top, max(px) AS "right", max(py) AS bottom
+    FROM x JOIN root ON x.page = root.page AND x.h = root.line GROUP BY x.page, root HAVING count(DISTINCT h) >= 2 AND count(DISTINCT v) >= 2 AND count(*) >= 4""",
 )
 def line_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = segments(spark, sf_dir).distinct()
@@ -302,5 +303,5 @@ def candidate_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def distinct_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     m = F.concat(F.lit("f"), (k % 4).cast("string"), F.lit(":r"), (k % 3).cast("string"))
-    g = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.collect_list(m).alias("m"))
-    return g.select("s_nationkey", F.array_join(F.array_sort(F.array_distinct("m")), ",").alias("models"))
+    g = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_set(m)).alias("m"))
+    return g.select("s_nationkey", F.array_join("m", ",").alias("models"))

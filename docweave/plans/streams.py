@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -22,7 +24,11 @@ REGISTRY = Registry()
 
 
 def _scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/docweave-shared"
+    """A folder that the driver and all executors see. Only a local master may do without spark.checkpoint.dir."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    base = base or "/tmp/docweave-shared"
     return f"{base.rstrip('/')}/docweave-stream-{uuid.uuid4().hex}"
 
 
@@ -74,8 +80,9 @@ def detection_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("slot", "ordinal", F.round("score", 6).alias("score"), F.array_join("quad", ",").alias("quad"))
 
 
-def bitmap(content: bytes, side: int = 16) -> bytes:
-    """A BMP of side by side pixels that shows the content's bytes."""
+def bitmap(content: bytes, least: int = 16) -> bytes:
+    """A square BMP that shows all the content's bytes, repeated to fill it; its side is a multiple of 4, so rows need no padding."""
+    side = max(least, 4 * math.ceil(math.sqrt(len(content) / 3) / 4))
     body = (content * (3 * side * side // max(1, len(content)) + 1))[: 3 * side * side]
     head = b"BM" + struct.pack("<IHHIIiiHHIIiiII", 54 + len(body), 0, 0, 54, 40, side, side, 1, 24, 0, len(body), 0, 0, 0, 0)
     return head + body

@@ -32,14 +32,15 @@ def slot_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     "provider_descriptors",
     r"""WITH s AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_name ELSE lower(replace(s_name, '#', '-')) END AS pid,
         CASE WHEN s_suppkey % 7 = 0 THEN '  ' ELSE 'engine ' || s_nationkey END AS engine,
-        CASE WHEN s_suppkey % 5 = 0 THEN [] WHEN s_suppkey % 5 = 1 THEN ['text', 'table'] WHEN s_suppkey % 5 = 2 THEN ['table', 'table'] ELSE ['seal', 'text'] END AS stages FROM supplier)
+        CASE WHEN s_suppkey % 5 = 0 THEN [] WHEN s_suppkey % 5 = 1 THEN ['text', 'table'] WHEN s_suppkey % 5 = 2 THEN ['table', 'table'] WHEN s_suppkey % 5 = 3 THEN ['seal', 'text'] WHEN s_suppkey % 2 = 0 THEN ['layout', 'table', 'seal'] ELSE ['text', 'vision'] END AS stages FROM supplier)
     SELECT s_suppkey, pid, CASE WHEN NOT regexp_full_match(pid, '[a-z0-9][a-z0-9._-]{0,63}') THEN 'provider_id'
         WHEN NOT (strlen(engine) BETWEEN 1 AND 128 AND regexp_matches(engine, '\S')) THEN 'engine'
-        WHEN NOT (len(stages) > 0 AND list_sort(list_distinct(stages)) = stages) THEN 'stages' END AS violation FROM s""",
+        WHEN NOT (len(tags) > 0 AND len(list_filter(tags, lambda t: t IS NULL)) = 0 AND list_sort(list_distinct(tags)) = tags) THEN 'stages' END AS violation
+    FROM (SELECT *, list_transform(stages, lambda s: list_position(['orientation', 'preprocessing', 'layout', 'text', 'table', 'formula', 'seal'], s)) AS tags FROM s)""",
 )
 def provider_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
-    stages = F.when(k % 5 == 0, F.array().cast("array<string>")).when(k % 5 == 1, F.array(F.lit("text"), F.lit("table"))).when(k % 5 == 2, F.array(F.lit("table"), F.lit("table"))).otherwise(F.array(F.lit("seal"), F.lit("text")))
+    stages = F.when(k % 5 == 0, F.array().cast("array<string>")).when(k % 5 == 1, F.array(F.lit("text"), F.lit("table"))).when(k % 5 == 2, F.array(F.lit("table"), F.lit("table"))).when(k % 5 == 3, F.array(F.lit("seal"), F.lit("text"))).when(k % 2 == 0, F.array(F.lit("layout"), F.lit("table"), F.lit("seal"))).otherwise(F.array(F.lit("text"), F.lit("vision")))
     pid = F.when(k % 3 == 0, F.col("s_name")).otherwise(F.lower(F.replace("s_name", F.lit("#"), F.lit("-"))))
     engine = F.when(k % 7 == 0, F.lit("  ")).otherwise(F.concat(F.lit("engine "), F.col("s_nationkey").cast("string")))
     return table(spark, sf_dir, "supplier").select("s_suppkey", pid.alias("pid"), V.provider_violation(pid, engine, stages).alias("violation"))
