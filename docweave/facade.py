@@ -10,8 +10,8 @@ from typing import Protocol
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from docweave.functions import text as T
 from docweave.functions.binary import media_type
 from docweave.operators import planning
 from docweave.operators import stages as S
@@ -58,7 +58,7 @@ class EchoProvider:
         return [(hashlib.sha256(content).hexdigest()[:16], 1.0)]
 
 
-BLOCKS = pa.schema([("batch_id", pa.int64()), ("slot_pos", pa.int64()), ("text", pa.string()), ("confidence", pa.float64()), ("error", pa.string())])
+BLOCKS = pa.schema([("batch_id", pa.int64()), ("slot_pos", pa.int64()), ("ordinal", pa.int64()), ("text", pa.string()), ("confidence", pa.float64()), ("error", pa.string())])
 
 
 class Engine:
@@ -74,10 +74,26 @@ class Engine:
         violation = V.provider_violation(F.col("provider_id"), F.col("engine"), F.col("stages"))
         return row.withColumn("violation", violation).withColumn("ready", F.col("violation").isNull())
 
+    def violations(self, slots: DataFrame) -> DataFrame:
+        """(batch_id, slots, violation): the first rule that a batch breaks, or null.
+
+        A batch has 1 to 256 slots, each with an id of its own (slot_id, or else its
+        place); a slot that names a predecessor names the slot just before it.
+        """
+        own = F.col("slot_id" if "slot_id" in slots.columns else "slot_pos").cast("string").alias("slot_id")
+        named = (F.col("predecessor") if "predecessor" in slots.columns else F.lit(None)).cast("string").alias("predecessor")
+        before = F.lag("slot_id").over(Window.partitionBy("batch_id").orderBy("slot_pos"))
+        rows = slots.select("batch_id", "slot_pos", own, named).withColumn("adjacent", F.col("predecessor").isNull() | F.col("predecessor").eqNullSafe(before))
+        g = rows.groupBy("batch_id").agg(F.count("*").alias("slots"), F.countDistinct("slot_id").alias("ids"), F.bool_and("adjacent").alias("adjacent"))
+        broken = V.first_violation(("slots", F.col("slots").between(1, V.MAX_SLOTS)), ("slot_ids", F.col("ids") == F.col("slots")), ("predecessor", F.col("adjacent")))
+        return g.select("batch_id", "slots", broken.alias("violation"))
+
     def admit(self, slots: DataFrame) -> DataFrame:
-        """slots (batch_id, slot_pos, content) with size, media_type, sha256 and error_code: each slot by itself, then the batch's byte budget in order."""
+        """slots (batch_id, slot_pos, content) with size, media_type, sha256 and error_code: the batch's rules, each slot by itself, then the batch's byte budget in order."""
+        broken = self.violations(slots).where("violation is not null").select("batch_id", F.lit("batch_invalid").alias("broken"))
+        slots = slots.select("batch_id", "slot_pos", "content").join(broken, "batch_id", "left")
         size, kind = F.coalesce(F.octet_length("content"), F.lit(0)).cast("bigint"), media_type(F.col("content"))
-        code = F.when(F.col("content").isNull(), "source_unreadable").when(size == 0, "source_invalid").when(size > MAX_SOURCE_BYTES, "source_too_large").when(kind.isNull(), "source_type_unsupported")
+        code = F.when(F.col("broken").isNotNull(), F.col("broken")).when(F.col("content").isNull(), "source_unreadable").when(size == 0, "source_invalid").when(size > MAX_SOURCE_BYTES, "source_too_large").when(kind.isNull(), "source_type_unsupported")
         s = slots.select("batch_id", "slot_pos", "content", size.alias("size"), kind.alias("media_type"), F.sha2("content", 256).alias("sha256"), code.alias("error_code"))
         # The budget needs sizes only: contents don't travel with it.
         fine = s.where("error_code is null").groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct(F.col("slot_pos").alias("pos"), "size"))).alias("slots"))
@@ -94,31 +110,36 @@ class Engine:
                 for b, p, content in zip(*(batch.column(n).to_pylist() for n in ("batch_id", "slot_pos", "content")), strict=True):
                     try:
                         rows = [(t, c, None) for t, c in provider.recognize(content)] or [(None, None, None)]
-                    except ValueError as e:
+                    except ValueError as e:  # the provider's own code
                         rows = [(None, None, str(e))]
-                    for text, confidence, error in rows:
-                        for name, v in zip(out, (b, p, text, confidence, error), strict=True):
+                    except Exception:  # whatever else a provider raises costs its slot, not the task
+                        rows = [(None, None, "runtime_failed")]
+                    for n, (text, confidence, error) in enumerate(rows):
+                        for name, v in zip(out, (b, p, n, text, confidence, error), strict=True):
                             out[name].append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in BLOCKS], schema=BLOCKS)
 
-        return admitted.where("error_code is null").select("batch_id", "slot_pos", "content").mapInArrow(run, "batch_id bigint, slot_pos bigint, text string, confidence double, error string")
+        return admitted.where("error_code is null").select("batch_id", "slot_pos", "content").mapInArrow(run, "batch_id bigint, slot_pos bigint, ordinal bigint, text string, confidence double, error string")
 
     def extract_batch(self, slots: DataFrame, stages: Sequence[str]) -> DataFrame:
-        """A row for each slot and requested stage in canonical order: status, error_code and the slot's text and roll-up."""
+        """A row for each slot and requested stage: status, error_code, the slot's text and roll-up, and stage_tag, which orders the stages. In no order: the caller sorts."""
         wanted = [s for s in S.STAGES if s in set(stages)]
         if not wanted or len(wanted) != len(list(stages)):
             raise ValueError("batch_invalid: stages must be known, distinct and not empty")
         admitted = self.admit(slots)
-        blocks = self.recognized(admitted).groupBy("batch_id", "slot_pos").agg(F.first("error", ignorenulls=True).alias("error"), F.array_join(F.collect_list("text"), "\n").alias("text"))
+        blocks = self.recognized(admitted).groupBy("batch_id", "slot_pos").agg(F.first("error", ignorenulls=True).alias("error"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda b: b["text"]), "\n").alias("text"))
         rows = admitted.drop("content").join(blocks, ["batch_id", "slot_pos"], "left").withColumn("error_code", F.coalesce("error_code", "error")).drop("error")
         able = F.array(*map(F.lit, self.provider.descriptor().stages)).cast("array<string>")
         matrix = S.outcomes(rows, F.array(*map(F.lit, wanted)), able, F.col("error_code").isNotNull())
         status = matrix.groupBy("batch_id", "slot_pos").agg(S.slot_status(F.collect_list("status")).alias("slot_status"))
-        return matrix.join(status, ["batch_id", "slot_pos"]).withColumn("stage_tag", S.stage_tag(F.col("stage"))).orderBy("batch_id", "slot_pos", "stage_tag")
+        return matrix.join(status, ["batch_id", "slot_pos"]).withColumn("stage_tag", S.stage_tag(F.col("stage")))
 
     def extract(self, path: str, stages: Sequence[str] = ("text",)) -> DataFrame:
-        """One batch of the files under a path, in order of path."""
+        """The files under a path in order of path, in batches of as many as one may hold."""
         from docweave.sources.images import read_sources
 
-        files = read_sources(self.spark, path).withColumn("slot_pos", F.xxhash64("path")).withColumn("batch_id", F.lit(0).cast("bigint"))
-        return self.extract_batch(files.select("batch_id", "slot_pos", "content"), stages)
+        files = read_sources(self.spark, path)
+        # Only the names pass through one task, and Spark has listed them on the driver already.
+        place = F.row_number().over(Window.orderBy("path")).cast("bigint") - 1
+        ranked = files.select("path").withColumn("place", place).select("path", F.expr(f"place div {V.MAX_SLOTS}").alias("batch_id"), (F.col("place") % V.MAX_SLOTS).alias("slot_pos"))
+        return self.extract_batch(files.join(ranked, "path").select("batch_id", "slot_pos", "content"), stages)

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docweave.functions.text import canonical_role
+from docweave.functions.vectors import once
 
 #: Fixed values.
 REF = ("<|ref|>", "<|/ref|>")
@@ -17,7 +18,11 @@ GAP = r"[ \t\n\f\r]*"
 NUMBER = rf"{GAP}[0-9]+{GAP}"
 BOX = rf"{GAP}\[{NUMBER},{NUMBER},{NUMBER},{NUMBER}\]{GAP}"
 ONE_OR_LIST = rf"^({BOX}|{GAP}\[{BOX}(,{BOX})*\]{GAP})$"
-MARKER = r"(<\|ref\|>([^<]*)<\|/ref\|>)?<\|det\|>([^<\[]*)(\[[^<]*\])<\|/det\|>"
+#: Up to the first closing mark, whatever stands between.
+_REF_BODY, _DET_BODY = (rf"((?:(?!<\|/{k}\|>)[\s\S])*+)<\|/{k}\|>" for k in ("ref", "det"))
+#: A ref and the det that follows it, a ref alone, a det alone, or a mark that never closes, with all the rest.
+TOKEN = rf"<\|ref\|>{_REF_BODY}(?:<\|det\|>{_DET_BODY}|(?!<\|det\|>))|<\|det\|>{_DET_BODY}|<\|(?:ref|det)\|>[\s\S]*+"
+LABELLED = r"^([^\[]*)(\[[\s\S]*)$"
 
 
 def boxes(coordinates: Column) -> Column:
@@ -51,12 +56,51 @@ def scaled(box: Column, width: Column, height: Column) -> Column:
     return F.when((w > 0) & (h > 0), F.struct(s(box["l"], width).alias("x"), s(box["t"], height).alias("y"), w.alias("width"), h.alias("height")))
 
 
+def scanned(markup: Column) -> Column:
+    """The markup's marks: text (all that is no mark), markers (label, coordinates and the text up to the next marker) and malformed.
+
+    A ref without a det goes, with the mark, and a mark that never closes stays in
+    the text with all that follows it; both count as malformed. Labels and
+    coordinates are null where they are missing.
+    """
+    whole = F.regexp_extract_all(markup, F.lit(TOKEN), F.lit(0))
+    pieces = F.split(markup, TOKEN)
+    group = lambda m, k: F.regexp_extract(m, rf"^(?:{TOKEN})$", k)
+    filled = lambda c: F.nullif(F.trim(c), F.lit(""))
+
+    def read(m: Column, k: Column) -> Column:
+        ref, det = m.startswith(REF[0]), m.startswith(DET[0])
+        pair, direct = ref & m.endswith(DET[1]) & ~_open(m), det & ~_open(m)
+        label = F.when(pair, group(m, 1)).when(direct, F.regexp_extract(group(m, 3), LABELLED, 1))
+        where = F.when(pair, group(m, 2)).when(direct, F.regexp_extract(group(m, 3), LABELLED, 2))
+        after = F.coalesce(F.get(pieces, k + 1), F.lit(""))
+        return F.struct((pair | direct).alias("marker"), filled(label).alias("label"), filled(where).alias("coordinates"), F.concat(F.when(_open(m), m).otherwise(F.lit("")), after).alias("text"), _open(m).alias("open"))
+
+    empty = F.array().cast("array<struct<marker:boolean,label:string,coordinates:string,text:string,open:boolean>>")
+
+    def gather(acc: Column, t: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        longer = F.struct(last["marker"].alias("marker"), last["label"].alias("label"), last["coordinates"].alias("coordinates"), F.concat(last["text"], t["text"]).alias("text"), last["open"].alias("open"))
+        return F.when(t["marker"], F.concat(acc, F.array(t))).when(F.size(acc) == 0, acc).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer)))
+
+    def summed(tokens: Column) -> Column:
+        found = F.aggregate(tokens, empty, gather)
+        said = F.concat(F.coalesce(F.get(pieces, F.lit(0)), F.lit("")), F.array_join(F.transform(tokens, lambda t: t["text"]), ""))
+        return F.struct(said.alias("text"), found.alias("markers"), F.exists(tokens, lambda t: ~t["marker"]).alias("malformed"))
+
+    return once(F.transform(whole, read), summed)
+
+
+def _open(m: Column) -> Column:
+    """A mark that never closes: a ref's or a det's opening without its end."""
+    ref = m.startswith(REF[0]) & (~m.contains(REF[1]) | (F.regexp_like(m, F.lit(rf"^<\|ref\|>{_REF_BODY}<\|det\|>")) & ~F.regexp_like(m, F.lit(rf"^<\|ref\|>{_REF_BODY}<\|det\|>{_DET_BODY}"))))
+    return ref | (m.startswith(DET[0]) & ~m.contains(DET[1]))
+
+
 def markers(markup: Column) -> Column:
-    """Well-formed markers in order: label (of the ref, or before the coordinates) and coordinates, with the text after each up to the next."""
-    whole = F.regexp_extract_all(markup, F.lit(MARKER), F.lit(0))
-    pieces = F.split(markup, MARKER)
-    label = lambda m: F.trim(F.when(F.regexp_extract(m, MARKER, 1) != "", F.regexp_extract(m, MARKER, 2)).otherwise(F.regexp_extract(m, MARKER, 3)))
-    return F.transform(whole, lambda m, k: F.struct(label(m).alias("label"), F.regexp_extract(m, MARKER, 4).alias("coordinates"), F.regexp_replace(F.get(pieces, k + 1), r"^\s+|\s+$", "").alias("text")))
+    """Markers in order: label and coordinates (null where missing), with the text after each up to the next."""
+    trimmed = lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")
+    return F.transform(scanned(markup)["markers"], lambda m: F.struct(m["label"].alias("label"), m["coordinates"].alias("coordinates"), trimmed(m["text"]).alias("text")))
 
 
 def blocks(markup: Column, width: Column, height: Column) -> Column:
@@ -65,14 +109,19 @@ def blocks(markup: Column, width: Column, height: Column) -> Column:
         markers(markup),
         lambda m: F.struct(m["label"].alias("label"), canonical_role(m["label"]).alias("role"), m["text"].alias("text"), F.transform(boxes(m["coordinates"]), lambda b: scaled(b, width, height)).alias("parts")),
     )
-    usable = lambda b: (b["label"] != "") & (b["label"] != "image") & (b["text"] != "") & (F.octet_length(b["text"]) <= MAX_TEXT) & b["parts"].isNotNull() & ~F.exists(b["parts"], lambda p: p.isNull())
+    usable = lambda b: (F.lower(b["label"]) != "image") & (b["text"] != "") & (F.octet_length(b["text"]) <= MAX_TEXT) & b["parts"].isNotNull() & ~F.exists(b["parts"], lambda p: p.isNull())
     return F.filter(parsed, lambda b: F.coalesce(usable(b), F.lit(False)))
 
 
 def warned(markup: Column, kept: Column) -> Column:
-    """Whether anything in the markup was given up: a marker without a block, or a mark that opens and never closes."""
-    opened = F.size(F.split(markup, r"\Q<|det|>\E")) - 1
-    return opened > F.size(kept)
+    """Whether anything in the markup was given up: no marker at all, a marker without a block, a ref without a det, or a mark that never closes."""
+    return once(scanned(markup), lambda s: s["malformed"] | (F.size(s["markers"]) == 0) | (F.size(s["markers"]) > F.size(kept)))
+
+
+def limit_error(markup: Column) -> Column:
+    """Code of a markup that breaks a limit, which is an error and no warning: marks, or boxes of one marker."""
+    marks = F.size(F.regexp_extract_all(markup, F.lit(r"<\|/(?:ref|det)\|>"), F.lit(0)))
+    return once(scanned(markup)["markers"], lambda m: F.when((marks > 2 * MAX_MARKERS) | F.exists(m, lambda x: over_limit(x["coordinates"])), F.lit("grounding_limit")))
 
 
 def prompt(tokens_before: Column, image_tokens: Column, tokens_after: Column, placeholder: int) -> Column:

@@ -68,7 +68,15 @@ def line_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.admitted_components(x)
 
 
-@REGISTRY.query("reading_order")
+@REGISTRY.query(
+    "reading_order",
+    """WITH RECURSIVE b AS (SELECT page, x, y, seq, row_number() OVER (PARTITION BY page ORDER BY y, x, seq) AS k FROM (SELECT DISTINCT l_orderkey AS page, l_linenumber AS seq, l_partkey % 200 AS x, l_suppkey % 60 AS y FROM lineitem)),
+    f AS (SELECT page, k, [{'y': y, 'x': x, 'seq': seq}] AS o FROM b WHERE k = 1 UNION ALL
+      SELECT b.page, b.k, list_concat(list_concat(o[1:len(o) - m], [{'y': b.y, 'x': b.x, 'seq': b.seq}]), o[len(o) - m + 1:])
+      FROM f JOIN b ON b.page = f.page AND b.k = f.k + 1 CROSS JOIN LATERAL (SELECT coalesce(nullif(list_position(list_transform(list_reverse(o), lambda q: abs(q.y - b.y) <= 10 AND b.x < q.x), false), 0) - 1, len(o)) AS m)),
+    l AS (SELECT page, arg_max(o, k) AS o FROM f GROUP BY page), u AS (SELECT page, unnest(o) AS q, generate_subscripts(o, 1) - 1 AS rank FROM l)
+    SELECT page, q.y AS y, q.x AS x, q.seq AS seq, CAST(rank AS BIGINT) AS rank FROM u""",
+)
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as page", "l_linenumber as seq", "l_partkey % 200 as x", "l_suppkey % 60 as y").distinct()
     return tables.reading_order(blocks, ["page"])
@@ -194,7 +202,19 @@ def grid_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.cell_tokens(structure_tokens(spark, sf_dir), ["tbl"], "pos", "token").select("tbl", "row", "cell", F.col("row_span").cast("bigint").alias("row_span"), F.col("col_span").cast("bigint").alias("col_span"))
 
 
-@REGISTRY.query("grid_placement")
+@REGISTRY.query(
+    "grid_placement",
+    f"""WITH RECURSIVE {_TOKENS}, t AS (SELECT *, count(*) FILTER (token = '<tr>') OVER w - 1 AS r, count(*) FILTER (token IN ('<td></td>', '<td')) OVER w AS c FROM tok WINDOW w AS (PARTITION BY tbl ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+    g AS (SELECT tbl, r, c, string_agg(token, '' ORDER BY pos) AS a FROM t WHERE c > 0 AND r >= 0 AND token NOT IN ('<tr>', '</tr>') GROUP BY ALL),
+    s AS (SELECT tbl, r, c, 1 + c % 2 AS rs, CASE WHEN regexp_extract(a, ' colspan="([0-9]+)"', 1) = '' THEN 1 WHEN CAST(regexp_extract(a, ' colspan="([0-9]+)"', 1) AS BIGINT) BETWEEN 1 AND 20 THEN CAST(regexp_extract(a, ' colspan="([0-9]+)"', 1) AS BIGINT) ELSE 1 END AS cs,
+        row_number() OVER (PARTITION BY tbl ORDER BY r, c) AS k FROM g),
+    f AS (SELECT tbl, k, r, CAST(0 AS BIGINT) AS col, rs, cs, flatten(list_transform(range(rs), lambda d: list_transform(range(cs), lambda q: (r + d) * 10000 + q))) AS taken FROM s WHERE k = 1 UNION ALL
+      SELECT s.tbl, s.k, s.r, p.col, s.rs, s.cs, list_concat(taken, flatten(list_transform(range(s.rs), lambda d: list_transform(range(s.cs), lambda q: (s.r + d) * 10000 + p.col + q))))
+      FROM f JOIN s ON s.tbl = f.tbl AND s.k = f.k + 1 CROSS JOIN LATERAL (SELECT CASE WHEN s.r = f.r THEN f.col + f.cs ELSE 0 END AS lo)
+      CROSS JOIN LATERAL (SELECT list_min(list_filter(range(lo, lo + len(taken) + 1), lambda c: len(list_filter(range(c, c + s.cs), lambda q: list_contains(taken, s.r * 10000 + q))) = 0)) AS col) p),
+    x AS (SELECT tbl, r + d AS r, col + q AS c, f.r AS own FROM f, range(2) u(d), range(20) v(q) WHERE d < rs AND q < cs)
+    SELECT tbl, greatest(max(r) + 1, max(own) + 1) AS rows, max(c) + 1 AS columns, count(*) > count(DISTINCT (r, c)) AS overlap, count(DISTINCT (r, c)) AS slots FROM x GROUP BY tbl""",
+)
 def grid_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = tables.cell_tokens(structure_tokens(spark, sf_dir), ["tbl"], "pos", "token").select("tbl", "row", "cell", F.coalesce("row_span", F.lit(1)).cast("bigint").alias("row_span"), F.coalesce("col_span", F.lit(1)).cast("bigint").alias("col_span"))
     cells = cells.withColumn("row_span", 1 + F.col("cell") % 2)

@@ -68,6 +68,27 @@ def extract_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("batch_id", "slot_pos", "stage", "status", "slot_status", "error_code")
 
 
+@REGISTRY.query(
+    "engine_batches",
+    """WITH d AS (SELECT doc_id, doc_id // 200 AS b FROM documents),
+    s AS (SELECT CASE WHEN b % 5 < 2 THEN b // 5 * 10 ELSE b * 10 + 1 END AS batch_id, doc_id AS slot_pos, CASE WHEN b % 5 = 2 THEN doc_id // 2 ELSE doc_id END AS slot_id, CASE WHEN b % 5 = 3 AND doc_id % 50 = 7 THEN doc_id - 2 WHEN doc_id % 200 > 0 AND b % 5 <> 2 THEN doc_id - 1 END AS predecessor FROM d),
+    a AS (SELECT *, predecessor IS NULL OR predecessor IS NOT DISTINCT FROM lag(slot_id) OVER (PARTITION BY batch_id ORDER BY slot_pos) AS adjacent FROM s)
+    SELECT batch_id, count(*) AS slots, CASE WHEN count(*) > 256 THEN 'slots' WHEN count(DISTINCT slot_id) <> count(*) THEN 'slot_ids' WHEN NOT bool_and(adjacent) THEN 'predecessor' END AS violation,
+    CASE WHEN count(*) > 256 OR count(DISTINCT slot_id) <> count(*) OR NOT bool_and(adjacent) THEN count(*) ELSE 0 END AS rejected FROM a GROUP BY batch_id""",
+)
+def engine_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches that are too long, repeat an id, name a wrong predecessor, or are fine; and the slots that the engine rejects with them."""
+    b, i = F.expr("doc_id div 200"), F.col("doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id", b.alias("b"))
+    s = d.select(
+        F.when(F.col("b") % 5 < 2, F.expr("b div 5 * 10")).otherwise(F.col("b") * 10 + 1).alias("batch_id"), i.alias("slot_pos"), F.when(F.col("b") % 5 == 2, F.expr("doc_id div 2")).otherwise(i).alias("slot_id"),
+        F.when((F.col("b") % 5 == 3) & (i % 50 == 7), i - 2).when((i % 200 > 0) & (F.col("b") % 5 != 2), i - 1).alias("predecessor"), F.lit(b"BM").alias("content"),
+    )
+    engine = Engine(spark, EchoProvider())
+    rejected = engine.admit(s).groupBy("batch_id").agg(F.count_if(F.coalesce(F.col("error_code") == "batch_invalid", F.lit(False))).alias("rejected"))
+    return engine.violations(s).join(rejected, "batch_id").select("batch_id", "slots", "violation", "rejected")
+
+
 @REGISTRY.query("detection_maps")
 def detection_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A 64 by 64 map from each embedding: bright where its value, spread over an 8 by 8 block, exceeds a tenth."""
