@@ -33,3 +33,28 @@ SELECT conv_id, perspective, count(*) AS n_messages,
        CAST(coalesce(sum(length(text) + 11) FILTER (role = perspective), 0) AS BIGINT) AS n_masked
 FROM o GROUP BY conv_id, perspective
 """
+
+OP7 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d WHERE len(w) >= 13)),
+m AS (SELECT s, min(doc_id) AS least FROM x GROUP BY s),
+h AS (SELECT DISTINCT doc_id, k FROM (SELECT x.doc_id, unnest(generate_series(i, i + 12)) AS k FROM x JOIN m USING (s) WHERE least < x.doc_id)),
+t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM d),
+r AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) FILTER (h.k IS NULL) AS kept, count(h.k) AS n FROM t LEFT JOIN h USING (doc_id, k) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)
+"""
+
+OP6 = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, '')) AS n FROM documents),
+x AS (SELECT doc_id, p, b[p:p + 99] AS s FROM (SELECT doc_id, b, unnest(generate_series(1, n - 99)) AS p FROM d WHERE n >= 100)),
+m AS (SELECT s, min((doc_id, p)) AS least FROM x GROUP BY s),
+h AS (SELECT x.doc_id, p FROM x JOIN m USING (s) WHERE (x.doc_id, p) > least),
+g AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS new FROM h)),
+r AS (SELECT doc_id, run, min(p) AS lo, max(p) + 100 AS hi FROM g GROUP BY doc_id, run),
+c AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 1) AS before FROM r),
+e AS (SELECT doc_id, max(hi) AS last, sum(hi - lo) AS removed, count(*) AS spans FROM r GROUP BY doc_id),
+k AS (SELECT c.doc_id, string_agg(CASE WHEN lo > before THEN hex(b[before:lo - 1]) ELSE '' END, '' ORDER BY lo) AS head FROM c JOIN d USING (doc_id) GROUP BY c.doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(head, '') || CASE WHEN coalesce(last, 1) <= n THEN hex(b[coalesce(last, 1):n]) ELSE '' END)) AS kept_sha256
+FROM d LEFT JOIN e USING (doc_id) LEFT JOIN k USING (doc_id)
+"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docweave.llm import chat, decontaminate, langid, matroska, pieces, pii, simhash, substrings, suffixes, toxicity
 from docweave.llm.common import table
-from docweave.llm.oracles import OP1, OP8
+from docweave.llm.oracles import OP1, OP6, OP7, OP8
 from docweave.registry import Registry
 
 REGISTRY = Registry()
@@ -37,12 +37,12 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_report(table(spark, sf_dir, "documents"))
 
 
-@REGISTRY.query("op6_suffixes")
+@REGISTRY.query("op6_suffixes", OP6)
 def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.cut_report(table(spark, sf_dir, "documents"))
 
 
-@REGISTRY.query("op7_substrings")
+@REGISTRY.query("op7_substrings", OP7)
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.cut_report(table(spark, sf_dir, "documents"))
 
