@@ -38,9 +38,9 @@ def test_little_endian_with_high_bytes(spark):
 
 
 def test_identifiers(spark):
-    ids = ["target-a:surface-1", "-invalid", "a" * 128, "a" * 129, ""]
+    ids = ["page.7:left_2", ".hidden", "z" * 128, "z" * 129, ""]
     assert one(spark, *(T.matches(F.lit(i), T.SLOT_ID) for i in ids)) == (True, False, True, False, False)
-    assert one(spark, *(T.matches(F.lit(i), T.PROVIDER_ID) for i in ("tesseract", "Azure OCR", "-leading"))) == (True, False, False)
+    assert one(spark, *(T.matches(F.lit(i), T.PROVIDER_ID) for i in ("_reader", "reader.v2", "reader v2", "Reader"))) == (False, True, False, False)
 
 
 def test_ctc_collapse(spark):
@@ -299,3 +299,61 @@ def test_components_need_four_crossings(spark):
     grid, chain = [(1, 1, 3, 10, 5), (1, 1, 4, 30, 5), (1, 2, 3, 10, 25), (1, 2, 4, 30, 25)], [(2, 1, 3, 10, 5), (2, 1, 4, 30, 5), (2, 2, 4, 30, 25)]
     x = spark.createDataFrame(grid + chain, "page bigint, h bigint, v bigint, x bigint, y bigint")
     assert [tuple(r) for r in tables.admitted_components(x).collect()] == [(1, 1, 2, 2, 4, 10, 5, 30, 25)]
+
+
+def test_regions_by_flooding():
+    """Runs give the regions that a flood from each pixel gives, in the same order."""
+    rng = np.random.default_rng(4)
+    for share in (0.1, 0.4, 0.6, 1.0):
+        mask = rng.random((23, 31)) < share
+        left = {(int(x), int(y)) for y, x in np.argwhere(mask)}
+        want = []
+        for y, x in np.argwhere(mask):
+            if (int(x), int(y)) not in left:
+                continue
+            region, todo = set(), [(int(x), int(y))]
+            while todo:
+                p = todo.pop()
+                if p in left:
+                    left.remove(p)
+                    region.add(p)
+                    todo += [(p[0] + a, p[1] + b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+            want.append(region)
+        assert [set(map(tuple, r.tolist())) for r in detect.components(mask)] == want
+
+
+def test_nearest_ranks(spark):
+    from docweave.plans.aggregates import nearest_ranks
+
+    rng = np.random.default_rng(6)
+    rows = [(k, int(v)) for k in ("a", "b") for v in rng.integers(-500, 10**6, 501 if k == "a" else 7)] + [("c", 5)]
+    got = {r.k: (r.p50, r.p95, r.n) for r in nearest_ranks(spark.createDataFrame(rows, "k string, v bigint"), "k", "v", {"p50": 0.5, "p95": 0.95}, bucket=1000).collect()}
+    for k in "abc":
+        v = sorted(x for n, x in rows if n == k)
+        assert got[k] == (v[-(-len(v) // 2) - 1], v[-(-len(v) * 95 // 100) - 1], len(v))
+
+
+def test_batches_that_break_a_rule(spark):
+    engine = Engine(spark, EchoProvider())
+    good = b"\xff\xd8\xff1"
+    rows = [(1, k, f"s{k}", None, good) for k in range(257)] + [(2, 0, "a", None, good), (2, 1, "a", None, good)] + [(3, 0, "a", None, good), (3, 1, "b", "b", good)] + [(4, 0, "a", None, good), (4, 1, "b", "a", good)] + [(5, 0, "a", "z", good)]
+    slots = spark.createDataFrame(rows, "batch_id bigint, slot_pos bigint, slot_id string, predecessor string, content binary")
+    assert {r.batch_id: r.violation for r in engine.violations(slots).collect()} == {1: "slots", 2: "slot_ids", 3: "predecessor", 4: None, 5: "predecessor"}
+    out = engine.extract_batch(slots, ["text"]).groupBy("batch_id", "error_code").count().collect()
+    assert {(r.batch_id, r.error_code, r["count"]) for r in out} == {(1, "batch_invalid", 257), (2, "batch_invalid", 2), (3, "batch_invalid", 2), (4, None, 2), (5, "batch_invalid", 1)}
+
+
+def test_slots_fail_alone_and_lines_keep_their_order(spark, tmp_path):
+    class Faulty(EchoProvider):
+        def recognize(self, content):
+            if content.endswith(b"boom"):
+                raise KeyError("no such weight")
+            return [(f"line {k}", 1.0) for k in range(12)]
+
+    engine = Engine(spark, Faulty())
+    for k in range(300):
+        (tmp_path / f"{k:03}.jpg").write_bytes(b"\xff\xd8\xff" + (b"boom" if k == 299 else b"%03d" % k))
+    out = {(r.batch_id, r.slot_pos): (r.error_code, r.text) for r in engine.extract(str(tmp_path)).collect()}
+    assert sorted(out) == [(k // 256, k % 256) for k in range(300)]
+    assert out.pop((1, 43))[0] == "runtime_failed"
+    assert set(out.values()) == {(None, "\n".join(f"line {k}" for k in range(12)))}
