@@ -58,10 +58,10 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(FREE_SHUFFLES, before)
 
 
-def written(df: DataFrame, label: str, by: str | None = None) -> tuple[DataFrame, str]:
-    """Write df as Parquet in the shared folder, in a folder for each value of ``by``, and read it back: a lost executor costs no recomputation beyond it."""
+def written(df: DataFrame, label: str, by: str | None = None, folder: str | None = None) -> tuple[DataFrame, str]:
+    """Write df as Parquet in the shared folder (or another), in a folder for each value of ``by``, and read it back: a lost executor costs no recomputation beyond it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{folder or shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     with shuffles_freed(spark):
         (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path

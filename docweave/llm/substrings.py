@@ -1,21 +1,31 @@
 """Substring deduplication by a log-structured index of window fingerprints.
 
-Documents arrive in batches, in order of doc_id. The index is a list of sorted
+Documents arrive in batches, in order of doc_id. The index is a folder of sorted
 immutable runs: tables of the fingerprints (anchor key and run hash, see
 windows.py) that no earlier document had. A batch is fingerprinted, merged with
 the runs in key order, and judged: what an earlier document has is a repeat,
 what several versions have is verified word by word, and what is new becomes
 the next run. When the runs reach ``FANOUT`` they are merged into one that holds
-each fingerprint once, by its smallest doc_id.
+each fingerprint once, by its smallest doc_id. A manifest names the runs that
+count; it is replaced last, so a job that dies leaves the index as it was, and
+any later session opens it and goes on.
+
+What the hashes decide: rows of one key are one group, and in it runs with the
+same 64-bit run hash count as equal without a look at their words. Groups with
+several run hashes are verified word by word.
 
 Defined results: null text has no words; fewer words than a window keep all;
 rows that share a doc_id are one document, whose marks apply to each of them;
-rows with a null doc_id are compared with nothing and keep all; other columns
-are ignored.
+rows with a null doc_id are compared with nothing and keep all; an empty table
+gives no row; very long texts are read whole, in stretches that overlap by a
+window less a word; other columns, whatever their names, are ignored. Ids are
+whole numbers; others raise Spark's cast error.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -24,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.common import documents, drop_path, each_batch, rows_out, written
+from docweave.llm.common import documents, drop_path, each_batch, rows_out, shared_dir, written
 from docweave.llm.windows import (
     ANCHOR,
     COVERED,
@@ -80,11 +90,47 @@ def word_spec(window: int = WINDOW, gram: int = GRAM) -> Spec:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of fingerprints in the shared folder."""
+    """Sorted immutable runs of fingerprints in a folder that the driver and all executors see."""
 
-    def __init__(self, spark: SparkSession, spec: Spec, fanout: int = FANOUT) -> None:
-        self.spark, self.spec, self.fanout = spark, spec, fanout
+    def __init__(self, spark: SparkSession, spec: Spec, folder: str, fanout: int = FANOUT) -> None:
+        """A new index, which must not exist yet; see ``open`` for one that does."""
+        self.spark, self.spec, self.folder, self.fanout = spark, spec, folder.rstrip("/"), fanout
         self.runs: list[tuple[DataFrame, str]] = []
+        self.asked: list[str] = []
+        self.highest: int | None = None
+        self.version = 0
+        if self._versions():
+            raise ValueError(f"{folder} holds an index already")
+
+    @classmethod
+    def open(cls, spark: SparkSession, spec: Spec, folder: str, fanout: int = FANOUT) -> FingerprintIndex:
+        """The index as its last complete manifest has it."""
+        index = cls.__new__(cls)
+        index.spark, index.spec, index.folder, index.fanout = spark, spec, folder.rstrip("/"), fanout
+        versions = index._versions()
+        if not versions:
+            raise ValueError(f"{folder} holds no index")
+        index.version = versions[-1]
+        said = json.loads(spark.read.text(f"{index.folder}/manifest-{index.version}").first()[0])
+        if said["window"] != spec.window or said["gram"] != spec.gram:
+            raise ValueError(f"the index was made with windows of {said['window']} and grams of {said['gram']}")
+        index.highest, index.asked = said["highest"], said["asked"]
+        index.runs = [(spark.read.schema(JUDGED_DDL).parquet(f"{index.folder}/{name}"), f"{index.folder}/{name}") for name in said["runs"]]
+        return index
+
+    def _versions(self) -> list[int]:
+        """Numbers of the complete manifests, in order."""
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifest-*/_SUCCESS")
+        found = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at) or []
+        return sorted(int(f.getPath().getParent().getName().split("-")[1]) for f in found)
+
+    def _commit(self, runs: list[tuple[DataFrame, str]], highest: int | None) -> None:
+        said = json.dumps({"runs": [path.rsplit("/", 1)[1] for _, path in runs], "asked": self.asked, "highest": highest, "window": self.spec.window, "gram": self.spec.gram})
+        self.spark.createDataFrame([(said,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/manifest-{self.version + 1}")
+        before, self.version = self.version, self.version + 1
+        self.runs, self.highest = runs, highest
+        drop_path(self.spark, f"{self.folder}/manifest-{before}")
 
     def history(self) -> list[DataFrame]:
         """The runs' entries in the form that map tasks send: fingerprints, and marks of hot keys."""
@@ -93,14 +139,34 @@ class FingerprintIndex:
         return [run.where(F.col("kind").isin(ANCHOR, MARK)).select("key", "ctx", "doc", meta.alias("meta")) for run, _ in self.runs]
 
     def ingest(self, docs: DataFrame) -> DataFrame:
-        """Judge a batch (doc_id, text), all of whose ids are beyond those ingested; returns repeats and verification requests."""
+        """Judge a batch (doc_id, text; ids not null), all of whose ids are beyond those ingested; returns repeats and verification requests."""
+        ids = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+        if ids[0] is not None and self.highest is not None and ids[0] <= self.highest:
+            raise ValueError(f"the batch starts at {ids[0]}, but ids up to {self.highest} are in the index")
         if len(self.runs) >= self.fanout:
             self.compact()
         rows = reduce(DataFrame.unionByName, self.history(), docs.mapInArrow(sent_by_map(self.spec), SENT_DDL))
         run = self._run(by_key(rows).mapInArrow(judged_by_key(self.spec, keep_new=True), JUDGED_DDL))
-        self.runs.append(run)
+        self.asked = [*self.asked, run[1].rsplit("/", 1)[1]]
+        self._commit([*self.runs, run], self.highest if ids[1] is None else ids[1])
         return run[0].where(F.col("kind").isin(COVERED, REQUEST)).drop("ctx")
 
+    def append(self, docs: DataFrame, corpus: DataFrame) -> DataFrame:
+        """Ingest a batch and resolve its requests: (doc, lo, hi), the word ranges that repeat an earlier document. corpus: the texts of all ingested documents and these.
+
+        Windows of hot keys are in no run, as they were dealt one by one: earlier
+        batches' requests for them stay in the index and are compared again.
+        """
+        before, asked = self.highest, self.asked
+        verdict = self.ingest(docs)
+        requests = verdict.where(F.col("kind") == REQUEST)
+        for name in asked:
+            earlier = self.spark.read.schema(JUDGED_DDL).parquet(f"{self.folder}/{name}").where((F.col("kind") == REQUEST) & F.col("hot"))
+            requests = requests.unionByName(earlier.drop("ctx"))
+        covered = ranges_of(verdict.where(F.col("kind") == COVERED), self.spec.window)
+        verified = compare(requests, corpus, self.spec)
+        return covered.unionByName(verified if before is None else verified.where(F.col("doc") > before))
+
     def compact(self) -> None:
         """Merge all runs into one: each fingerprint once, by its smallest document."""
         rows = by_key(reduce(DataFrame.unionByName, (run.where(F.col("kind").isin(ANCHOR, MARK)) for run, _ in self.runs)))
@@ -118,19 +184,23 @@ class FingerprintIndex:
                 keep = head | (rows["doc"] == rows["doc"][lead]) & (rows["kind"] != MARK)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[n][keep], JUDGED.field(n).type) for n in names], schema=JUDGED)
 
-        compacted = self._run(rows.mapInArrow(once, JUDGED_DDL))
-        self.drop()
-        self.runs = [compacted]
+        old = self.runs
+        self._commit([self._run(rows.mapInArrow(once, JUDGED_DDL))], self.highest)
+        self._forget(old)
 
     def drop(self) -> None:
-        """Delete the entries of all runs; the verdicts on past batches stay."""
-        for _, path in self.runs:
+        """Delete the index; the verdicts on past batches stay."""
+        self._forget(self.runs)
+        self.runs, self.asked = [], []
+        drop_path(self.spark, f"{self.folder}/manifest-{self.version}")
+
+    def _forget(self, runs: list[tuple[DataFrame, str]]) -> None:
+        for _, path in runs:
             for kind in (ANCHOR, MARK):
                 drop_path(self.spark, f"{path}/kind={kind}")
-        self.runs = []
 
     def _run(self, rows: DataFrame) -> tuple[DataFrame, str]:
-        return written(rows.sortWithinPartitions("kind", "key"), "run", by="kind")
+        return written(rows.sortWithinPartitions("kind", "key"), "run", by="kind", folder=self.folder)
 
 
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
@@ -141,7 +211,7 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches
     rows = documents(docs)
     known = rows.where("doc_id is not null")
     spec = word_spec(window, gram)
-    index = FingerprintIndex(docs.sparkSession, spec, fanout)
+    index = FingerprintIndex(docs.sparkSession, spec, f"{shared_dir(docs.sparkSession)}/index-{uuid.uuid4().hex}", fanout)
     cuts = known.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
     edges = sorted({int(c) for c in cuts})
     verdicts = []

@@ -1,16 +1,20 @@
 """Suffix-array deduplication: passages of ``WINDOW`` bytes or more that also stand earlier are cut.
 
-Suffixes are ordered only to the threshold depth, most significant digit first.
-The first two digits are distributed: a suffix is dealt by the anchor of its
-first ``WINDOW`` bytes and then ordered by the hash of the run around it, and a
-group of one is dropped. Where that doesn't decide, radix passes over 8-byte
-digits go on to the threshold depth; the groups left are exactly the repeated
-windows (see windows.py).
+The method's plain form orders all suffixes by their first ``WINDOW`` bytes, most
+significant digit first. Dealing every suffix out by its leading bytes would
+shuffle a row for each byte of the corpus, so here only suffixes that can still
+be equal are sorted: those whose first ``WINDOW`` bytes have the same anchor
+(windows.py). Where the runs around an anchor have one hash, that 64-bit hash
+decides; all others go through the radix passes, 8 bytes a pass to the depth of
+``WINDOW`` bytes, where a group of one is dropped and the groups left are exactly
+the repeated windows.
 
 Defined results: null text is empty; a text shorter than the window keeps all;
 rows that share a doc_id are one document, whose marks apply to each of them;
-rows with a null doc_id are compared with nothing and keep all; other columns
-are ignored.
+rows with a null doc_id are compared with nothing and keep all; an empty table
+gives no row; very long texts are read whole, in stretches that overlap by a
+window less a byte; other columns, whatever their names, are ignored. Ids are
+whole numbers; others raise Spark's cast error.
 """
 
 from __future__ import annotations

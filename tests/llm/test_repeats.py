@@ -104,3 +104,39 @@ def test_index_in_batches_equals_one_batch(spark, sf, fanout):
     docs = table(spark, sf, "documents")
     pick = lambda df: sorted((r.doc_id, r.n_removed) for r in df.collect())
     assert pick(substrings.cut_repeats(docs, batches=4, fanout=fanout)) == pick(substrings.cut_repeats(docs, batches=1))
+
+
+def test_a_second_session_goes_on_with_the_index(spark, sf, tmp_path):
+    """Batches by objects that only share the folder, across a compaction, equal one whole run; an interrupted batch leaves no trace."""
+    docs = table(spark, sf, "documents").selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as binary) as text")
+    spec, folder = substrings.word_spec(), str(tmp_path / "index")
+    edges = [-1, 60, 90, 130, 10**9]
+    ranges = []
+    for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
+        index = substrings.FingerprintIndex.open(spark, spec, folder) if k else substrings.FingerprintIndex(spark, spec, folder)
+        ranges += index.append(docs.where(f"doc_id > {lo} and doc_id <= {hi}"), docs).collect()
+        if k == 1:  # a run that no manifest names
+            index._run(index.runs[0][0])
+    covered: dict[int, set[int]] = {}
+    for r in ranges:
+        covered.setdefault(r.doc, set()).update(range(r.lo, r.hi))
+    want = brute_words(texts_of(table(spark, sf, "documents")))
+    assert {i: len(covered.get(i, ())) for i in want} == {i: n for i, (_, n, _) in want.items()}
+    with pytest.raises(ValueError):
+        substrings.FingerprintIndex.open(spark, spec, folder).ingest(docs.where("doc_id = 5"))
+    with pytest.raises(ValueError):
+        substrings.FingerprintIndex(spark, spec, folder)
+
+
+@pytest.mark.parametrize("window, gram", [(400, 32), (100, 8)])
+def test_long_windows(spark, window, gram):
+    """Runs of more than 255 windows."""
+    base = "".join(chr(97 + (k * k * 7 + k) % 26) for k in range(1500))
+    docs = spark.createDataFrame([(1, base), (2, "#" + base[100:1300] + "#")], "doc_id bigint, text string")
+    got = {r.doc_id: r.n_removed for r in suffixes.cut_repeats(docs, window=window, gram=gram).collect()}
+    assert got == {i: n for i, (_, n, _, _) in brute_bytes(texts_of(docs), window).items()}
+
+
+def test_a_run_that_does_not_fit_is_refused():
+    with pytest.raises(ValueError):
+        suffixes.byte_spec(window=70_000, gram=32)
