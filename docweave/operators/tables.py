@@ -118,12 +118,12 @@ def admitted_components(crossings: DataFrame) -> DataFrame:
 
 
 def stopped(tokens: DataFrame, keys: list[str], position: str, token: str) -> DataFrame:
-    """Tokens up to the end mark or the end of the 96th identical token in a row; the start mark is skipped."""
+    """Tokens before the end mark and before the 96th identical token in a row, which ends the stream; the start mark is skipped, but counts in a row."""
     w = Window.partitionBy(*keys).orderBy(position)
     new = F.coalesce(F.col(token) != F.lag(token).over(w), F.lit(True)).cast("int")
     t = tokens.withColumn("__new", new).withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     t = t.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys, "__run").orderBy(position)))
-    stop = F.min(F.when((F.col(token) == END_TOKEN) | (F.col("__nth") > MAX_REPEAT), F.col(position))).over(Window.partitionBy(*keys))
+    stop = F.min(F.when((F.col(token) == END_TOKEN) | (F.col("__nth") >= MAX_REPEAT), F.col(position))).over(Window.partitionBy(*keys))
     t = t.withColumn("__stop", stop).where((F.col("__stop").isNull() | (F.col(position) < F.col("__stop"))) & (F.col(token) != START))
     return t.drop("__new", "__run", "__nth", "__stop")
 

@@ -235,13 +235,18 @@ def grid_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query(
     "stop_rules",
-    """WITH t AS (SELECT user_id, event_id, CASE event_type WHEN 'signup' THEN 'sos' WHEN 'error' THEN 'eos' ELSE event_type END AS token FROM events), s AS (SELECT user_id, min(event_id) AS stop FROM t WHERE token = 'eos' GROUP BY user_id)
-    SELECT t.user_id, count(*) AS n FROM t LEFT JOIN s USING (user_id) WHERE (stop IS NULL OR event_id < stop) AND token <> 'sos' GROUP BY t.user_id""",
+    """WITH t AS (SELECT user_id % 6 AS stream, event_id, CASE WHEN user_id % 6 < 3 THEN CASE WHEN event_id % 4 = 0 AND user_id % 6 = 0 THEN 'sos' ELSE 'click' END WHEN event_type = 'signup' THEN 'sos' WHEN event_type = 'error' AND event_id > 300 THEN 'eos' ELSE event_type END AS token FROM events),
+    n AS (SELECT *, CASE WHEN token IS DISTINCT FROM lag(token) OVER (PARTITION BY stream ORDER BY event_id) THEN 1 ELSE 0 END AS new FROM t), r AS (SELECT *, sum(new) OVER (PARTITION BY stream ORDER BY event_id) AS run FROM n),
+    k AS (SELECT *, row_number() OVER (PARTITION BY stream, run ORDER BY event_id) AS nth FROM r), s AS (SELECT stream, min(event_id) AS stop FROM k WHERE token = 'eos' OR nth >= 96 GROUP BY stream)
+    SELECT k.stream, count(*) AS n, max(event_id) AS last FROM k LEFT JOIN s USING (stream) WHERE (stop IS NULL OR event_id < stop) AND token <> 'sos' GROUP BY k.stream""",
 )
 def stop_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    token = F.when(F.col("event_type") == "signup", "sos").when(F.col("event_type") == "error", "eos").otherwise(F.col("event_type"))
-    t = table(spark, sf_dir, "events").select("user_id", "event_id", token.alias("token"))
-    return tables.stopped(t, ["user_id"], "event_id", "token").groupBy("user_id").agg(F.count("*").alias("n"))
+    """Streams that end at an end mark, and streams of one token that end with the 96th in a row, which is not kept; in one of them start marks break the run."""
+    stream = F.col("user_id") % 6
+    same = F.when((F.col("event_id") % 4 == 0) & (stream == 0), "sos").otherwise("click")
+    token = F.when(stream < 3, same).when(F.col("event_type") == "signup", "sos").when((F.col("event_type") == "error") & (F.col("event_id") > 300), "eos").otherwise(F.col("event_type"))
+    t = table(spark, sf_dir, "events").select(stream.alias("stream"), "event_id", token.alias("token"))
+    return tables.stopped(t, ["stream"], "event_id", "token").groupBy("stream").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
 
 
 @REGISTRY.query(

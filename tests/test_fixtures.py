@@ -357,3 +357,9 @@ def test_slots_fail_alone_and_lines_keep_their_order(spark, tmp_path):
     assert sorted(out) == [(k // 256, k % 256) for k in range(300)]
     assert out.pop((1, 43))[0] == "runtime_failed"
     assert set(out.values()) == {(None, "\n".join(f"line {k}" for k in range(12)))}
+
+
+def test_the_96th_repeat_ends_a_stream(spark):
+    rows = [(1, k, "a") for k in range(200)] + [(2, k, "a") for k in range(95)] + [(2, 95, "b"), (2, 96, "eos"), (2, 97, "a")] + [(3, 0, "sos"), (3, 1, "a")]
+    out = tables.stopped(spark.createDataFrame(rows, "s int, at int, token string"), ["s"], "at", "token").groupBy("s").count().collect()
+    assert {r.s: r["count"] for r in out} == {1: 95, 2: 96, 3: 1}
