@@ -27,26 +27,35 @@ LABELLED = r"^([^\[]*)(\[[\s\S]*)$"
 
 def boxes(coordinates: Column) -> Column:
     """Boxes (l, t, r, b) of a coordinate list, or null: numbers up to 999, left of right, top above bottom, at most 128 (see ``over_limit``)."""
-    numbers = _numbers(coordinates)
-    count = F.floor(F.size(numbers) / 4).cast("int")
-    at = lambda k, j: F.get(numbers, k * 4 + j).cast("bigint")
-    each = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.struct(at(k, 0).alias("l"), at(k, 1).alias("t"), at(k, 2).alias("r"), at(k, 3).alias("b")))
-    fine = F.forall(each, lambda b: (b["r"] <= SCALE) & (b["b"] <= SCALE) & (b["l"] < b["r"]) & (b["t"] < b["b"]))
-    return F.when(coordinates.rlike(ONE_OR_LIST) & (count <= MAX_BOXES), F.when(fine, each))
+
+    def read(numbers: Column) -> Column:
+        fine = F.forall(_quads(numbers, MAX_BOXES), lambda b: (b["r"] <= SCALE) & (b["b"] <= SCALE) & (b["l"] < b["r"]) & (b["t"] < b["b"]))
+        return F.when((F.size(numbers) <= 4 * MAX_BOXES) & fine, _quads(numbers, MAX_BOXES))
+
+    return F.when(coordinates.rlike(ONE_OR_LIST), once(_numbers(coordinates), read))
+
+
+def _quads(numbers: Column, most: int) -> Column:
+    """The first so many boxes of a list of numbers."""
+    at = lambda k, j: F.get(numbers, k * 4 + j)
+    count = F.least(F.floor(F.size(numbers) / 4).cast("int"), F.lit(most))
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.struct(at(k, 0).alias("l"), at(k, 1).alias("t"), at(k, 2).alias("r"), at(k, 3).alias("b")))
 
 
 def _numbers(coordinates: Column) -> Column:
     """Without leading zeros; what is longer than nine digits is out of range in any case and stands as such."""
-    long = F.lit(str(10**9 - 1))
-    return F.transform(F.regexp_extract_all(coordinates, F.lit(r"0*([0-9]+)"), F.lit(1)), lambda n: F.when(F.length(n) > 9, long).otherwise(n))
+    return F.transform(F.regexp_extract_all(coordinates, F.lit(r"0*([0-9]+)"), F.lit(1)), lambda n: F.when(F.length(n) > 9, F.lit(10**9)).otherwise(n.cast("bigint")))
 
 
 def over_limit(coordinates: Column) -> Column:
     """Whether a list in good form is an error, not just unusable: its first 128 boxes are right and there are more."""
-    numbers = _numbers(coordinates)
-    first = F.transform(F.sequence(F.lit(0), F.lit(MAX_BOXES)), lambda k: F.transform(F.array(*map(F.lit, range(4))), lambda j: F.get(numbers, k * 4 + j).cast("bigint")))
-    fine = F.forall(first, lambda b: (b[2] <= SCALE) & (b[3] <= SCALE) & (b[0] < b[2]) & (b[1] < b[3]))
-    return F.coalesce(coordinates.rlike(ONE_OR_LIST) & (F.size(numbers) > 4 * MAX_BOXES) & fine, F.lit(False))
+
+    def read(numbers: Column) -> Column:
+        fine = F.forall(_quads(numbers, MAX_BOXES + 1), lambda b: (b["r"] <= SCALE) & (b["b"] <= SCALE) & (b["l"] < b["r"]) & (b["t"] < b["b"]))
+        return (F.size(numbers) > 4 * MAX_BOXES) & fine
+
+    # A list this long has more than 8 characters a box; shorter ones need no second look.
+    return F.coalesce((F.length(coordinates) > 9 * MAX_BOXES) & coordinates.rlike(ONE_OR_LIST) & once(_numbers(coordinates), read), F.lit(False))
 
 
 def scaled(box: Column, width: Column, height: Column) -> Column:
@@ -68,19 +77,19 @@ def scanned(markup: Column) -> Column:
     group = lambda m, k: F.regexp_extract(m, rf"^(?:{TOKEN})$", k)
     filled = lambda c: F.nullif(F.trim(c), F.lit(""))
 
-    def read(m: Column, k: Column) -> Column:
-        ref, det = m.startswith(REF[0]), m.startswith(DET[0])
-        pair, direct = ref & m.endswith(DET[1]) & ~_open(m), det & ~_open(m)
+    def read(token: Column, k: Column) -> Column:
+        m, unclosed = token["m"], token["open"]
+        pair, direct = m.startswith(REF[0]) & m.endswith(DET[1]) & ~unclosed, m.startswith(DET[0]) & ~unclosed
         label = F.when(pair, group(m, 1)).when(direct, F.regexp_extract(group(m, 3), LABELLED, 1))
         where = F.when(pair, group(m, 2)).when(direct, F.regexp_extract(group(m, 3), LABELLED, 2))
         after = F.coalesce(F.get(pieces, k + 1), F.lit(""))
-        return F.struct((pair | direct).alias("marker"), filled(label).alias("label"), filled(where).alias("coordinates"), F.concat(F.when(_open(m), m).otherwise(F.lit("")), after).alias("text"), _open(m).alias("open"))
+        return F.struct((pair | direct).alias("marker"), filled(label).alias("label"), filled(where).alias("coordinates"), F.concat(F.when(unclosed, m).otherwise(F.lit("")), after).alias("text"))
 
-    empty = F.array().cast("array<struct<marker:boolean,label:string,coordinates:string,text:string,open:boolean>>")
+    empty = F.array().cast("array<struct<marker:boolean,label:string,coordinates:string,text:string>>")
 
     def gather(acc: Column, t: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
-        longer = F.struct(last["marker"].alias("marker"), last["label"].alias("label"), last["coordinates"].alias("coordinates"), F.concat(last["text"], t["text"]).alias("text"), last["open"].alias("open"))
+        longer = F.struct(last["marker"].alias("marker"), last["label"].alias("label"), last["coordinates"].alias("coordinates"), F.concat(last["text"], t["text"]).alias("text"))
         return F.when(t["marker"], F.concat(acc, F.array(t))).when(F.size(acc) == 0, acc).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer)))
 
     def summed(tokens: Column) -> Column:
@@ -88,7 +97,8 @@ def scanned(markup: Column) -> Column:
         said = F.concat(F.coalesce(F.get(pieces, F.lit(0)), F.lit("")), F.array_join(F.transform(tokens, lambda t: t["text"]), ""))
         return F.struct(said.alias("text"), found.alias("markers"), F.exists(tokens, lambda t: ~t["marker"]).alias("malformed"))
 
-    return once(F.transform(whole, read), summed)
+    opened = F.transform(whole, lambda m: F.struct(m.alias("m"), _open(m).alias("open")))
+    return once(F.transform(opened, read), summed)
 
 
 def _open(m: Column) -> Column:

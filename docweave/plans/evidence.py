@@ -130,5 +130,5 @@ def grounding_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     m = F.array(*forms)[(F.col("doc_id") % 8).cast("int")]
     d = table(spark, sf_dir, "documents").select("doc_id", m.alias("m"))
-    b = grounding.blocks(F.col("m"), F.lit(1000), F.lit(1000))
-    return d.select("doc_id", grounding.scanned(F.col("m"))["text"].alias("said"), F.size(b).cast("bigint").alias("blocks"), grounding.warned(F.col("m"), b).alias("warned"), grounding.limit_error(F.col("m")).alias("error"))
+    d = d.select("doc_id", "m", F.explode(F.array(grounding.blocks(F.col("m"), F.lit(1000), F.lit(1000)))).alias("b"))
+    return d.select("doc_id", grounding.scanned(F.col("m"))["text"].alias("said"), F.size("b").cast("bigint").alias("blocks"), grounding.warned(F.col("m"), F.col("b")).alias("warned"), grounding.limit_error(F.col("m")).alias("error"))
