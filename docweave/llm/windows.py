@@ -40,6 +40,8 @@ BLOCK_TOKENS = 1 << 18
 LOCAL_ROWS = 1 << 20
 #: Different runs of one key, in one map task or altogether, beyond which the key is hot.
 HOT_LOCAL, HOT = 32, 64
+#: Windows of hot keys that a task resolves among themselves before it sends them.
+LOCAL_WINDOWS = 1 << 16
 #: Runs whose windows are compared in one go.
 VERIFY_ROWS = 20_000
 
@@ -333,6 +335,9 @@ def fetched(spec: Spec) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
         columns = zip(*out, strict=True) if out else ([] for _ in FETCHED)
         return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, FETCHED, strict=True)], schema=FETCHED)
 
+    def settled(windows: dict[bytes, tuple[int, int]], covered: set[tuple[int, int]]) -> pa.RecordBatch:
+        return sent([(_signed(piece), doc, at, 1, piece) for piece, (doc, at) in windows.items()] + [(doc, doc, at, 1, None) for doc, at in covered])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             windows: dict[bytes, tuple[int, int]] = {}
@@ -360,7 +365,11 @@ def fetched(spec: Spec) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                                 else:
                                     out.append((_signed(piece), *here, 1, piece))
                 yield sent(out)
-            yield sent([(_signed(piece), doc, at, 1, piece) for piece, (doc, at) in windows.items()] + [(doc, doc, at, 1, None) for doc, at in covered])
+                if len(windows) + len(covered) >= LOCAL_WINDOWS:
+                    yield settled(windows, covered)
+                    windows.clear()
+                    covered.clear()
+            yield settled(windows, covered)
 
     return run
 

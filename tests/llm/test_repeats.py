@@ -58,6 +58,7 @@ def test_against_brute_force(spark, sf, monkeypatch, operator, brute, hot):
     if hot:
         monkeypatch.setattr(windows, "HOT_LOCAL", 1)
         monkeypatch.setattr(windows, "HOT", 2)
+        monkeypatch.setattr(windows, "LOCAL_WINDOWS", 100)
     docs = table(spark, sf, "documents")
     got = {r.doc_id: tuple(r)[1:] for r in operator(docs).collect()}
     assert got == brute(texts_of(docs))
