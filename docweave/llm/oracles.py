@@ -58,3 +58,27 @@ SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGI
        sha256(unhex(coalesce(head, '') || CASE WHEN coalesce(last, 1) <= n THEN hex(b[coalesce(last, 1):n]) ELSE '' END)) AS kept_sha256
 FROM d LEFT JOIN e USING (doc_id) LEFT JOIN k USING (doc_id)
 """
+
+
+def _op13(rounds: int = 4) -> str:
+    """Every round as two tables: parts assigned to their nearest entry (whole numbers in doubles, exact), then entries as floored means."""
+    assigned = """a{k} AS MATERIALIZED (SELECT p, r, min((d, e)) AS best FROM (SELECT x.p, x.r, b.e, x.q + b.q - 2 * list_dot_product(x.v, b.v) AS d FROM x JOIN b{k} b USING (p)) GROUP BY p, r)"""
+    moved = """m{k} AS MATERIALIZED (SELECT p, e, list(m ORDER BY i) AS v FROM (SELECT p, e, i, floor(sum(c) / count(*)) AS m FROM (SELECT a.p, a.best[2] AS e, unnest(x.v) AS c, generate_subscripts(x.v, 1) AS i FROM a{k} a JOIN x USING (p, r)) GROUP BY p, e, i) GROUP BY p, e),
+b{n} AS MATERIALIZED (SELECT p, e, v, list_dot_product(v, v) AS q FROM (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM b{k} b LEFT JOIN m{k} m USING (p, e)))"""
+    steps = ",\n".join(f"{assigned.format(k=k)},\n{moved.format(k=k, n=k + 1)}" for k in range(rounds))
+    return rf"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS r, vec_id, label, v FROM (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+     WHERE embedding IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: coalesce(abs(CAST(x AS DOUBLE)) < 65536, false))))),
+s AS (SELECT len(v) AS n FROM k WHERE r = 0 AND len(v) % 4 = 0),
+x AS MATERIALIZED (SELECT p, r, v, list_dot_product(v, v) AS q FROM (SELECT p, r, v[p * n // 4 + 1:(p + 1) * n // 4] AS v FROM k JOIN s ON len(v) = n CROSS JOIN generate_series(0, 3) g(p))),
+o AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY r) - 1 AS e, v, q FROM x),
+b0 AS MATERIALIZED (SELECT p, e, v, q FROM o WHERE e < 256),
+{steps},
+{assigned.format(k=rounds)},
+h AS (SELECT sha256(string_agg(CAST(CAST(c AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (SELECT p, e, unnest(v) AS c, generate_subscripts(v, 1) AS i FROM b{rounds})),
+c AS (SELECT r, string_agg(printf('%02x', best[2]), '' ORDER BY p) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c JOIN k USING (r) CROSS JOIN h
+"""
+
+
+OP13 = _op13()

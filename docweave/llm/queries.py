@@ -1,12 +1,12 @@
-"""The ten operators' queries over their whole tables, with SQL where DuckDB can say the same."""
+"""The operators' queries over their whole tables, with SQL where DuckDB can say the same."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.llm import chat, decontaminate, langid, matroska, pieces, pii, simhash, substrings, suffixes, toxicity
+from docweave.llm import chat, codes, decontaminate, langid, matroska, pieces, pii, simhash, substrings, suffixes, toxicity
 from docweave.llm.common import table
-from docweave.llm.oracles import OP1, OP6, OP7, OP8
+from docweave.llm.oracles import OP1, OP13, OP6, OP7, OP8
 from docweave.registry import Registry
 
 REGISTRY = Registry()
@@ -60,3 +60,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("op10_toxicity")
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@REGISTRY.query("op13_codes", OP13)
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.code_report(table(spark, sf_dir, "embeddings"))
