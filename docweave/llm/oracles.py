@@ -82,3 +82,23 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 
 
 OP13 = _op13()
+
+OP11 = r"""
+WITH t AS (SELECT list(c ORDER BY i) AS crc FROM (SELECT i, list_reduce([i] || generate_series(1, 8), lambda a, k: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END)) AS c FROM generate_series(0, 255) g(i))),
+r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(strlen(role) || ':' || role || text)) AS k, strlen(role) || ':' || role || text AS s, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM r),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, (xor(4294967295, list_reduce([4294967295] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT)), lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1])))) % 4 AS h
+      FROM (SELECT DISTINCT conv_id FROM r) CROSS JOIN t),
+b AS (SELECT c.conv_id, k.k AS pos, s, words FROM c JOIN k ON k.conv_id = c.base AND k.k <= h),
+n AS (SELECT c.conv_id, h, count(b.pos) AS took FROM c LEFT JOIN b USING (conv_id) GROUP BY ALL),
+p AS (SELECT * FROM b UNION ALL SELECT conv_id, k - h + took, s, words FROM k JOIN n USING (conv_id) WHERE k > h),
+q AS MATERIALIZED (SELECT conv_id, pos AS depth, sha256(string_agg(strlen(s) || ':' || s, '') OVER w) AS key, coalesce(sha256(string_agg(strlen(s) || ':' || s, '') OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 'root') AS up, words FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY pos)
+      UNION ALL SELECT conv_id, 0, 'root', NULL, 0 FROM c),
+l AS (SELECT conv_id, max(depth) AS depth FROM q GROUP BY 1),
+e AS (SELECT key, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM q JOIN l USING (conv_id, depth) GROUP BY key),
+m AS (SELECT key, min(conv_id) AS conv_id, min(depth) AS depth, min(up) AS up, count(*) AS n_convs, min(words) AS words FROM q GROUP BY key),
+d AS (SELECT up AS key, count(*) AS n_children FROM m WHERE depth > 0 GROUP BY 1),
+u AS (SELECT q.key, sum(CASE WHEN n_children IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * m.words) AS saved FROM m LEFT JOIN d USING (key) JOIN q ON q.conv_id = m.conv_id AND q.depth <= m.depth GROUP BY q.key)
+SELECT m.conv_id, m.depth, pm.conv_id AS parent_conv_id, m.n_convs, coalesce(n_children, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM m LEFT JOIN m pm ON pm.key = m.up LEFT JOIN d ON d.key = m.key JOIN u ON u.key = m.key LEFT JOIN e ON e.key = m.key
+"""

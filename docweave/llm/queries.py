@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.llm import chat, codes, decontaminate, langid, matroska, pieces, pii, simhash, substrings, suffixes, toxicity
+from docweave.llm import chat, codes, decontaminate, langid, matroska, pieces, pii, simhash, substrings, suffixes, toxicity, trie
 from docweave.llm.common import table
-from docweave.llm.oracles import OP1, OP13, OP6, OP7, OP8
+from docweave.llm.oracles import OP1, OP11, OP13, OP6, OP7, OP8
 from docweave.registry import Registry
 
 REGISTRY = Registry()
@@ -62,6 +62,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@REGISTRY.query("op11_trie", OP11)
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie_report(table(spark, sf_dir, "conversations"))
+
+
 @REGISTRY.query("op13_codes", OP13)
 def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.code_report(table(spark, sf_dir, "embeddings"))
