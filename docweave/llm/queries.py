@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.llm import chat, codes, decontaminate, langid, matroska, pieces, pii, simhash, substrings, suffixes, toxicity, trie
+from docweave.llm import chat, codes, decontaminate, graph, langid, matroska, pieces, pii, simhash, substrings, suffixes, toxicity, trie
 from docweave.llm.common import table
 from docweave.llm.oracles import OP1, OP11, OP13, OP6, OP7, OP8
 from docweave.registry import Registry
@@ -67,6 +67,11 @@ def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie_report(table(spark, sf_dir, "conversations"))
 
 
+@REGISTRY.query("op12_vectors")
+def op12_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.near_duplicate_report(table(spark, sf_dir, "embeddings"))
+
+
 @REGISTRY.query("op13_codes", OP13)
 def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.code_report(table(spark, sf_dir, "embeddings"))
