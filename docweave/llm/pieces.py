@@ -46,11 +46,19 @@ OWN_MARK = 0x110000
 CHUNK = re.compile(r"\n| *[^ \n]+| +")
 U64 = np.uint64
 MASK = (1 << 64) - 1
-#: Shares and draws stay so far below 1: more than doubles of the size of a node's number can tell apart.
-SHARE_GAP = 1e-9
 BITMAP_BITS = 22
 
 
+def last_at_most(share: np.ndarray, lo: np.ndarray, hi: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """For each draw u the last edge of lo .. hi - 1 whose share is at most u. Shares rise within a range; the first edge's is 0."""
+    wide = hi - lo
+    while int(wide.max(initial=1)) > 1:
+        half = wide >> 1
+        up = (half > 0) & (share[lo + half] <= u)
+        lo, wide = np.where(up, lo + half, lo), np.where(up, wide - half, np.maximum(half, 1))
+    return lo
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finalizer of SplitMix64 (public domain)."""
     x = x + U64(0x9E3779B97F4A7C15)
@@ -141,7 +149,7 @@ class Codec:
         self.bitmap = np.zeros(1 << BITMAP_BITS, bool)
         self.bitmap[(self.hashes >> U64(64 - BITMAP_BITS)).astype(np.int64)] = True
 
-    def lattice(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def lattice(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The lattices of chunks, which stand in order of falling length.
 
         Nodes are numbered by position and then by chunk. Returns each position's
@@ -196,7 +204,7 @@ class Codec:
             total[lo:hi] = top + np.log(mass)
             running = np.cumsum(e) - e
             share[a:b] = (running - np.repeat(running[groups], count)) / np.repeat(mass, count)
-        return nodes, start, piece, end + np.clip(share, 0.0, 1 - SHARE_GAP), lens
+        return nodes, start, piece, share, edge_of, lens
 
     def encode(self, texts: list[str], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's ids end."""
@@ -208,7 +216,7 @@ class Codec:
             return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
         distinct = list(slots)
         by_length = np.argsort([-len(c) for c in distinct], kind="stable")
-        nodes, start, piece, key_of_edge, lens = self.lattice([distinct[i] for i in by_length])
+        nodes, start, piece, share, edge_of, lens = self.lattice([distinct[i] for i in by_length])
         rank = np.empty(len(distinct), np.int64)
         rank[by_length] = np.arange(len(distinct))
         chunk = rank[slot]
@@ -219,8 +227,7 @@ class Codec:
         n_pieces = np.zeros(len(slot), np.int64)
         drawn: list[tuple[np.ndarray, np.ndarray]] = []
         while len(who):
-            u = np.minimum(draws(stream[who], len(drawn)), 1 - SHARE_GAP)  # nearer to 1, node + u would round to the next node
-            edge = np.searchsorted(key_of_edge, node + u, side="right") - 1
+            edge = last_at_most(share, edge_of[node], edge_of[node + 1], draws(stream[who], len(drawn)))
             drawn.append((who, piece[edge]))
             n_pieces[who] += 1
             node = start[edge]
