@@ -42,10 +42,15 @@ BATCH = 64
 #: Windows go through the network in batches of so many.
 INFER_BATCH = 512
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
+#: Letters and numerals that aren't digits, such as fractions: what of it is a letter, str.isalpha says.
+ALPHANUMERIC = re.compile(r"[^\W\d_]")
 Params = dict[str, np.ndarray]
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in ALPHANUMERIC.finditer(text))
+
+
 def windows_of(text: bytes) -> np.ndarray:
     count = -(-len(text) // WINDOW)
     return np.frombuffer(text.ljust(count * WINDOW, b"\0"), np.uint8).reshape(count, WINDOW)
@@ -173,7 +178,7 @@ def training_rows(docs: DataFrame, per_lang: int = DOCS_PER_LANG, sample_docs: i
     few = few.select("lang", "draw", "doc_id", F.array_distinct(pieces).alias("pieces"))
     few = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))).where(F.col("k") <= per_lang)
     chosen = sorted(few.collect(), key=lambda r: (r["draw"], r["lang"], r["k"]))
-    return [(bytes(x), r["lang"]) for r in chosen for x in r["pieces"] if LETTER.search(bytes(x).decode(errors="ignore"))]
+    return [(bytes(x), r["lang"]) for r in chosen for x in r["pieces"] if has_letter(bytes(x).decode(errors="ignore"))]
 
 
 def fit(rows: list[tuple[bytes, str]]) -> tuple[list[str], Params] | None:
@@ -197,7 +202,7 @@ def identify(docs: DataFrame, model: tuple[list[str], Params] | None) -> DataFra
         network = Network(model[1]) if model else None
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
-            sure = [bool(t) and LETTER.search(t) is not None and network is not None for t in texts]
+            sure = [bool(t) and has_letter(t) and network is not None for t in texts]
             data = [t.encode() if ok else b"" for t, ok in zip(texts, sure, strict=True)]
             pred, score, count = [], [], []
             lo = 0
