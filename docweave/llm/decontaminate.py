@@ -9,9 +9,10 @@ rules it out. Buckets of patterns by the hash of their last block (the suffix)
 are rows of a table; candidates are joined with their bucket, where the window
 and the test string are compared whole, byte by byte.
 
-Only the shift tables and the bitmap travel to every worker. Their size is fixed
-by ``SLOTS`` and ``BITS``, whatever the benchmark's: more patterns make jumps
-shorter and candidates more, never other results. The items themselves are
+Only the shift tables and the bitmap travel to every worker. Their size follows
+the number of windows, from ``SLOTS`` and ``BITS`` to ``GROWTH`` times as much: beyond that jumps
+get shorter and candidates more, never other results. A jump is at most
+``LONGEST``, so windows may be of any length. The items themselves are
 joined, not broadcast or gathered, except where Spark measures them to be small.
 
 Defined results: null or wordless text has no words and is clean; an item
@@ -37,9 +38,15 @@ from docweave.llm.common import documents, mark, rows_out, slices, written
 
 WINDOW = 13
 BLOCK = 2
-#: Entries of a shift table, one table for each length of patterns, and bits of the patterns' bitmap. Both are powers of 2.
+#: Least entries of a shift table, one table for each length of patterns, and least bits of the patterns' bitmap, and how often as large they get. Powers of 2.
 SLOTS = 1 << 18
 BITS = 1 << 24
+GROWTH = 16
+#: Entries and bits for each window, between those bounds.
+SLOTS_EACH, BITS_EACH = 8, 32
+#: The longest jump that a table's byte holds; a shorter one misses nothing.
+LONGEST = 255
+LOW32 = (1 << 32) - 1
 
 #: A-Z are lowered, and the word class is [0-9a-z] after lowering plus everything beyond ASCII.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -51,39 +58,44 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 def block_hash(words: list[bytes], length: int) -> int:
-    """Of the block that ends a sequence."""
-    return xxhash.xxh64_intdigest(b" ".join(words[-min(BLOCK, length) :]), length)
+    """Of the block that ends a sequence; its low bits are the place in a shift table."""
+    return xxhash.xxh64_intdigest(b" ".join(words[-min(BLOCK, length) :]), length) & LOW32
 
 
 def window_hash(window: bytes, length: int) -> int:
-    return xxhash.xxh64_intdigest(window, 1000 + length)
+    return xxhash.xxh64_intdigest(window, 1000 + length) & LOW32
+
+
+def sized(windows: int, each: int, least: int) -> int:
+    """The power of 2 that gives each window its share, from least to GROWTH times least."""
+    return min(max(least, 1 << max(0, windows * each - 1).bit_length()), least * GROWTH)
 
 
 class Searcher:
     """The shift tables by pattern length and the bitmap, as bytes."""
 
     def __init__(self, shifts: dict[int, bytes], bitmap: bytes) -> None:
-        self.shifts, self.bitmap = sorted(shifts.items()), bitmap
+        self.shifts, self.bitmap, self.bits = sorted(shifts.items()), bitmap, len(bitmap) * 8 - 1
 
     def candidates(self, words: list[bytes]) -> Iterator[tuple[int, int, int, bytes]]:
         """(start, length, bucket, window) wherever a pattern may stand."""
-        bitmap, count, digest, space = self.bitmap, len(words), xxhash.xxh64_intdigest, b" "
+        bitmap, bits, count, digest, space = self.bitmap, self.bits, len(words), xxhash.xxh64_intdigest, b" "
         for length, shift in self.shifts:
-            block, end = min(BLOCK, length), length
+            block, end, slots = min(BLOCK, length), length, len(shift) - 1
             while end <= count:
-                bucket = digest(space.join(words[end - block : end]), length) & (SLOTS - 1)
-                if jump := shift[bucket]:
+                bucket = digest(space.join(words[end - block : end]), length) & LOW32
+                if jump := shift[bucket & slots]:
                     end += jump
                     continue
                 window = space.join(words[end - length : end])
-                bit = window_hash(window, length) & (BITS - 1)
+                bit = window_hash(window, length) & bits
                 if bitmap[bit >> 3] >> (bit & 7) & 1:
                     yield end - length, length, bucket, window
                 end += 1
 
 
-PATTERNS = pa.schema([("item_id", pa.int64()), ("length", pa.int32()), ("bucket", pa.int32()), ("window", pa.binary()), ("bit", pa.int32())])
-JUMPS = pa.schema([("length", pa.int32()), ("slot", pa.int32()), ("jump", pa.int32())])
+PATTERNS = pa.schema([("item_id", pa.int64()), ("length", pa.int32()), ("bucket", pa.int64()), ("window", pa.binary()), ("bit", pa.int64())])
+JUMPS = pa.schema([("length", pa.int32()), ("bucket", pa.int64()), ("jump", pa.int32())])
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
@@ -91,7 +103,7 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 
 
 def pattern_rows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """A row for each window of each item: item_id, length, bucket, window (its words, joined) and its bit of the bitmap."""
+    """A row for each window of each item: item_id, length, bucket, window (its words, joined) and its hash, whose low bits are its bit of the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
@@ -102,15 +114,15 @@ def pattern_rows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
                 for start in range(len(words) - size + 1 if size else 0):
                     own = words[start : start + size]
                     said = b" ".join(own)
-                    for name, value in (("item_id", item_id), ("length", size), ("bucket", block_hash(own, size) & (SLOTS - 1)), ("window", said), ("bit", window_hash(said, size) & (BITS - 1))):
+                    for name, value in (("item_id", item_id), ("length", size), ("bucket", block_hash(own, size)), ("window", said), ("bit", window_hash(said, size))):
                         out[name].append(value)
             yield rows_out(out, PATTERNS)
 
-    return items_of(benchmark).mapInArrow(run, "item_id bigint, length int, bucket int, window binary, bit int")
+    return items_of(benchmark).mapInArrow(run, "item_id bigint, length int, bucket bigint, window binary, bit bigint")
 
 
 def jump_rows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """length, slot and jump of each block of each item: in a run of windows, a block beyond the first window ends one of them."""
+    """length, bucket and jump of each block of each item: in a run of windows, a block beyond the first window ends one of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
@@ -120,25 +132,28 @@ def jump_rows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
                 size = min(window, len(words))
                 for end in range(min(BLOCK, size), len(words) + 1) if size else ():
                     out["length"].append(size)
-                    out["slot"].append(block_hash(words[max(0, end - BLOCK) : end], size) & (SLOTS - 1))
-                    out["jump"].append(max(0, size - end))
+                    out["bucket"].append(block_hash(words[max(0, end - BLOCK) : end], size))
+                    out["jump"].append(min(LONGEST, max(0, size - end)))
             yield rows_out(out, JUMPS)
 
-    return items_of(benchmark).mapInArrow(run, "length int, slot int, jump int")
+    return items_of(benchmark).mapInArrow(run, "length int, bucket bigint, jump int")
 
 
 def searcher_tables(jumps: DataFrame, patterns: DataFrame) -> tuple[dict[int, bytes], bytes]:
-    """The shift tables and the bitmap. At most SLOTS rows a length and BITS / 64 rows come to the driver."""
+    """The shift tables and the bitmap. At most a table's entries a length and a row for 64 bits come to the driver."""
+    windows = patterns.count()
+    slots, n_bits = sized(windows, SLOTS_EACH, SLOTS), sized(windows, BITS_EACH, BITS)
     shifts: dict[int, np.ndarray] = {}
-    found = jumps.groupBy("length", "slot").agg(F.min("jump").alias("jump")).toArrow()
+    found = jumps.groupBy("length", F.col("bucket").bitwiseAND(F.lit(slots - 1)).alias("slot")).agg(F.min("jump").alias("jump")).toArrow()
     length, slot, jump = (found.column(n).to_numpy() for n in ("length", "slot", "jump"))
     for size in np.unique(length).tolist():
         own = length == size
-        table = np.full(SLOTS, size - min(BLOCK, size) + 1, np.uint8)
+        table = np.full(slots, min(LONGEST, size - min(BLOCK, size) + 1), np.uint8)
         table[slot[own]] = jump[own]
         shifts[size] = table
-    bits = patterns.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bit & 63)")).alias("mask")).toArrow()
-    bitmap = np.zeros(BITS // 64, "<u8")
+    place = patterns.select(F.col("bit").bitwiseAND(F.lit(n_bits - 1)).cast("int").alias("bit"))
+    bits = place.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bit & 63)")).alias("mask")).toArrow()
+    bitmap = np.zeros(n_bits // 64, "<u8")
     bitmap[bits.column("word").to_numpy()] = bits.column("mask").to_numpy().view(np.uint64)
     return {size: table.tobytes() for size, table in shifts.items()}, bitmap.tobytes()
 
@@ -162,7 +177,7 @@ def _with_merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 SCANNED = pa.schema(
     [("doc_id", pa.int64()), ("mark", pa.binary()), ("n_words", pa.int64())]
-    + [("found", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int32()), ("bucket", pa.int32()), ("window", pa.binary())])))]
+    + [("found", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int32()), ("bucket", pa.int64()), ("window", pa.binary())])))]
 )
 
 
@@ -186,7 +201,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
                 found.append([{"start": s, "length": n, "bucket": b, "window": w} for s, n, b, w in searcher.candidates(words)])
             yield rows_out({"doc_id": batch.column("doc_id"), "mark": batch.column("mark"), "n_words": n_words, "found": found}, SCANNED)
 
-    rows = documents(docs).withColumn("mark", mark()).mapInArrow(scan, "doc_id bigint, mark binary, n_words bigint, found array<struct<start:bigint,length:int,bucket:int,window:binary>>")
+    rows = documents(docs).withColumn("mark", mark()).mapInArrow(scan, "doc_id bigint, mark binary, n_words bigint, found array<struct<start:bigint,length:int,bucket:bigint,window:binary>>")
     scanned, _ = written(rows.withColumn("row", F.monotonically_increasing_id()), "scanned")
     tests = patterns.groupBy("length", "bucket", "window").agg(F.collect_set("item_id").alias("items"))
     hits = scanned.where(F.size("found") > 0).select("row", F.inline("found")).join(tests, ["length", "bucket", "window"])
