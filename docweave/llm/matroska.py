@@ -3,15 +3,16 @@
 The parser reads EBML elements with variable-length ids and sizes (unknown sizes
 included), clusters with SimpleBlocks and BlockGroups, the three kinds of
 lacing, and cues. A packet has its track, timestamp, key flag and the byte range
-it holds in the file. Frames of a lace follow each other by the duration that the
+it holds in the file. A cluster's time, a block's duration and its references count
+wherever they stand in their cluster or group. Frames of a lace follow each other by the duration that the
 track gives them: its samples' for raw sound, else its default duration, else
 the block's duration in equal parts, else none. A block of a group is a key frame
 unless it refers to another block. Payload bytes are stored as unsigned 8-bit PCM
 at 8 kHz: a frame of 192 samples lasts 24 ms, so every timestamp is exact.
 
 Defined results: null text is empty, null media has no packets; a file that is
-cut short, whose lace sizes don't fit, or that nests deeper than ``DEEPEST``
-raises ``ValueError`` in ``parse`` and gives one row with its message in
+cut short, whose lace sizes don't fit, whose numbers or times exceed a long, or
+that nests deeper than ``DEEPEST`` raises ``ValueError`` in ``parse`` and gives one row with its message in
 ``packet_table``; rows that repeat a document each have its result; an empty table
 gives no row; very long texts are stored whole, a file at a time; other columns,
 whatever their names, are ignored. Keys are whole numbers; others raise Spark's
@@ -48,6 +49,8 @@ MASTERS = {EBML, SEGMENT, INFO, TRACKS, TRACK_ENTRY, CLUSTER, BLOCK_GROUP, CUES,
 TOP_LEVEL = {INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1254C367, 0x1043A770, 0x1941A469}
 REFERENCE_BLOCK, DEFAULT_DURATION, AUDIO, SAMPLING, CHANNELS, BIT_DEPTH = 0xFB, 0x23E383, 0xE1, 0xB5, 0x9F, 0x6264
 XIPH, FIXED, EBML_LACE = 0x02, 0x04, 0x06
+#: Timestamps, numbers of tracks and cues are longs.
+LONGEST_NS = (1 << 63) - 1
 #: Levels of elements within each other; the specification's masters that are read here need six.
 DEEPEST = 16
 
@@ -136,7 +139,10 @@ class Track:
 
     def lasts(self, size: int, share_ns: int) -> int:
         if self.codec.startswith("A_PCM/") and self.depth and self.rate > 0:
-            return round(size * 8 * 1_000_000_000 / (self.rate * self.channels * self.depth))
+            time = size * 8 * 1_000_000_000 / (self.rate * self.channels * self.depth)
+            if not time <= LONGEST_NS:
+                raise ValueError(f"a frame of {size} bytes lasts too long at a sampling rate of {self.rate}")
+            return round(time)
         return self.frame_ns or share_ns
 
 
@@ -221,11 +227,14 @@ def lace_sizes(data: bytes, at: int, end: int, kind: int) -> tuple[list[int], in
 
 
 def parse(data: bytes) -> Media:
-    out, tick, segment = Media(), 0, 0
-    entry, cue_time, positions, refers = Track(), 0, [], False
+    out, segment = Media(), 0
+    ticks: list[int] = []  # each cluster's time, wherever it is stated
+    entry, cue_time, positions, refers, lasts = Track(), 0, [], False, None
     block_sizes: list[list[Packet]] = []  # the packets of each block, whose times are spread when all is known
 
     def number(lo: int, hi: int) -> int:
+        if hi - lo > 8:
+            raise ValueError(f"a number of {hi - lo} bytes at byte {lo}")
         return int.from_bytes(data[lo:hi], "big")
 
     def real(lo: int, hi: int) -> float:
@@ -243,13 +252,13 @@ def parse(data: bytes) -> Media:
         sizes, at = lace_sizes(data, at, hi, lacing) if lacing else ([hi - at], at)
         own = []
         for k, size in enumerate(sizes):
-            own.append(Packet(track, tick + relative, len(out.clusters) - 1, len(block_sizes), k, bool(flags & 0x80) if simple else True, at, size))
+            own.append(Packet(track, relative, len(out.clusters) - 1, len(block_sizes), k, bool(flags & 0x80) if simple else True, at, size))
             at += size
         block_sizes.append(own)
         out.packets += own
 
     def visit(lo: int, hi: int, parent: int, depth: int) -> None:
-        nonlocal tick, segment, entry, cue_time, positions, refers
+        nonlocal segment, entry, cue_time, positions, refers, lasts
         if depth > DEEPEST:
             raise ValueError(f"elements nest deeper than {DEEPEST} levels at byte {lo}")
         for eid, start, a, b in elements(data, lo, hi, parent):
@@ -257,11 +266,11 @@ def parse(data: bytes) -> Media:
                 segment = a
             elif eid == CLUSTER:
                 out.clusters.append(start)
-                tick = 0
+                ticks.append(0)
             elif eid == TRACK_ENTRY:
                 entry = Track()
             elif eid == BLOCK_GROUP:
-                refers = False
+                refers, lasts = False, None
             elif eid == CUE_POINT:
                 cue_time, positions = 0, []
             elif eid == CUE_POSITIONS:
@@ -281,11 +290,11 @@ def parse(data: bytes) -> Media:
             elif eid == TIMESTAMP_SCALE:
                 out.scale = number(a, b)
             elif eid == TIMESTAMP and parent == CLUSTER:
-                tick = number(a, b)
+                ticks[-1] = number(a, b)
             elif eid == SIMPLE_BLOCK or eid == BLOCK:
                 add_block(a, b, simple=eid == SIMPLE_BLOCK)
-            elif eid == BLOCK_DURATION and block_sizes:
-                out.durations[len(block_sizes) - 1] = number(a, b)
+            elif eid == BLOCK_DURATION and parent == BLOCK_GROUP:
+                lasts = number(a, b)
             elif eid == REFERENCE_BLOCK:
                 refers = True
             elif eid == CUE_TIME:
@@ -302,17 +311,21 @@ def parse(data: bytes) -> Media:
                     out.codecs[entry.number] = entry.codec
                 elif eid == CUE_POINT:
                     out.cues += [(cue_time, track, at) for track, at in positions]
-                elif eid == BLOCK_GROUP and refers:
-                    for own in block_sizes[before:]:
-                        for p in own:
-                            p.keyframe = False
+                elif eid == BLOCK_GROUP:  # the group's other elements may stand before its block or after it
+                    for n in range(before, len(block_sizes)):
+                        if lasts is not None:
+                            out.durations[n] = lasts
+                        for p in block_sizes[n]:
+                            p.keyframe = not refers
 
     visit(0, len(data), 0, 0)
     for n, own in enumerate(block_sizes):
-        when = own[0].timestamp_ns * out.scale if own else 0
+        when = ((ticks[own[0].cluster] if own[0].cluster >= 0 else 0) + own[0].timestamp_ns) * out.scale
         share = out.durations.get(n, 0) * out.scale // max(1, len(own))
         for p in own:
             p.timestamp_ns = when
+            if not -LONGEST_NS <= when <= LONGEST_NS:
+                raise ValueError(f"the timestamp of the packet at byte {p.offset} exceeds a long")
             when += out.tracks.get(p.track, _UNKNOWN).lasts(p.size, share)
     return out
 
