@@ -24,6 +24,14 @@ def documents(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that df doesn't have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def mark(text: F.Column | None = None) -> F.Column:
     """A digest of the text: with the id it names a row whose id others have too."""
     text = F.col("text") if text is None else text

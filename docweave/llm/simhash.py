@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import documents, drop_path, each_batch, mark, rows_out, slices, written
+from docweave.llm.common import documents, drop_path, each_batch, free_name, mark, rows_out, slices, written
 from docweave.llm.components import components
 
 SHINGLE = 3
@@ -265,6 +265,7 @@ def keep_one_of_each(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] =
     known = docs.where("doc_id is not null")
     own = groups(known).where("doc_id = component_id").groupBy("group").agg(F.min(F.struct("doc_id", "mark")).alias("own"))
     kept = own.select(F.col("own.doc_id").alias("__kept"), F.col("own.mark").alias("__mark")).distinct()
-    rows = known.withColumn("__text", mark())
-    rows = rows.join(kept, (rows["doc_id"] == kept["__kept"]) & (rows["__text"] == kept["__mark"]), "left_semi").dropDuplicates(["doc_id", "__text"]).drop("__text")
+    said = free_name(docs, "__text")
+    rows = known.withColumn(said, mark())
+    rows = rows.join(kept, (rows["doc_id"] == kept["__kept"]) & (rows[said] == kept["__mark"]), "left_semi").dropDuplicates(["doc_id", said]).drop(said)
     return rows.unionByName(docs.where("doc_id is null"))
