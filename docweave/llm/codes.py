@@ -5,8 +5,8 @@ into ``PARTS`` equal parts, each with a codebook of its own. The nearest entry o
 a part is found from coarse to fine: a block's squared sums and the norms of what
 its mean leaves bound the distance from below (two vectors' block means differ by
 at least as much as the vectors, and so do the lengths of their residuals). One
-block spans the whole part first, then blocks of a quarter; entries whose bound exceeds the
-distance of a first guess are dropped, and only survivors get exact integer
+block spans the whole part first, then come blocks of four and of two components; entries whose
+bound exceeds the distance of the best guess so far are dropped, and only survivors get exact integer
 distances. Bounds are lowered by more than their rounding can reach, so no nearest entry is lost.
 
 A codebook has at most ``ENTRIES`` entries and is all that leaves the tasks: a
@@ -38,8 +38,8 @@ SCALE, PARTS, ENTRIES, ROUNDS = 1024, 4, 256, 4
 #: Largest integer component, so that a distance over 512 components fits a long.
 REACH = 1 << 26
 #: Parts that are compared with a codebook at once, and survivors whose components are fetched at once.
-TILE, GATHER = 2048, 1 << 17
-#: How far float bounds are lowered, relative to the lengths that they are made of: far above their rounding.
+TILE, GATHER = 512, 1 << 14
+#: How far float bounds are lowered, relative to the squared lengths that they are made of: far above their rounding.
 SLACK = 1e-12
 
 
@@ -56,47 +56,47 @@ def integers(embeddings: DataFrame) -> DataFrame:
 
 
 class Blocks:
-    """What the bounds need to know of vectors cut into blocks: sums, and the norm of what the blocks' means leave."""
+    """Vectors cut into blocks: the blocks' means, each times the root of its width, beside the norm of what the means leave.
+
+    Squared distances of these short vectors are the lower bounds; each is as long as the vector that it stands for.
+    """
 
     def __init__(self, rows: np.ndarray, count: int) -> None:
         edges = np.linspace(0, rows.shape[1], count + 1).astype(int)[:-1]
-        self.widths = np.diff(np.append(edges, rows.shape[1]))
+        widths = np.diff(np.append(edges, rows.shape[1]))
         x = rows.astype(np.float64)
         sums = np.add.reduceat(x, edges, axis=1)
-        self.scaled = sums / np.sqrt(self.widths)  # squared differences of these are widths times those of the means
-        left = x - np.repeat(sums / self.widths, self.widths, axis=1)
-        self.residual = np.sqrt(np.einsum("ij,ij->i", left, left))
-        self.length = np.sqrt(np.einsum("ij,ij->i", x, x))
+        left = x - np.repeat(sums / widths, widths, axis=1)
+        self.short = np.column_stack((sums / np.sqrt(widths), np.sqrt(np.einsum("ij,ij->i", left, left))))
+        self.square = np.einsum("ij,ij->i", self.short, self.short)
 
 
 def bounds(parts: Blocks, entries: Blocks) -> np.ndarray:
     """Lower bounds of all squared distances, each lowered beyond its rounding."""
-    out = (parts.residual[:, None] - entries.residual[None, :]) ** 2
-    for b in range(parts.scaled.shape[1]):
-        out += (parts.scaled[:, b, None] - entries.scaled[None, :, b]) ** 2
-    return out - SLACK * (parts.length[:, None] + entries.length[None, :] + 1) ** 2
+    out = parts.short @ (-2 * entries.short.T)
+    out += ((1 - SLACK) * parts.square - 1)[:, None]
+    out += ((1 - SLACK) * entries.square)[None, :]
+    return out
 
 
 def nearest(parts: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each row of parts the index of book's nearest row and the squared distance, exact; ties go to the lower index."""
     index, distance = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
-    levels = [1, 4] if parts.shape[1] >= 8 else [1]
+    levels = sorted({1, -(-parts.shape[1] // 4), -(-parts.shape[1] // 2)})
     known = [Blocks(book, n) for n in levels]
     for at in range(0, len(parts), TILE):
         tile = parts[at : at + TILE]
-        least = bounds(Blocks(tile, levels[0]), known[0])
-        guess = ((tile - book[least.argmin(axis=1)]) ** 2).sum(axis=1)
-        alive = least <= guess[:, None]
-        if len(levels) > 1:
-            least = bounds(Blocks(tile, levels[1]), known[1])
-            closer = ((tile - book[least.argmin(axis=1)]) ** 2).sum(axis=1)
-            alive &= least <= np.minimum(guess, closer)[:, None]
+        guess, alive = np.full(len(tile), np.iinfo(np.int64).max), np.ones((len(tile), len(book)), bool)
+        for n, entries in zip(levels, known, strict=True):
+            least = bounds(Blocks(tile, n), entries)
+            guess = np.minimum(guess, ((tile - book[least.argmin(axis=1)]) ** 2).sum(axis=1))
+            alive &= least <= guess[:, None]
         i, j = np.nonzero(alive)
         exact = np.empty(len(i), np.int64)
         for k in range(0, len(i), GATHER):
             gap = tile[i[k : k + GATHER]] - book[j[k : k + GATHER]]
             exact[k : k + GATHER] = np.einsum("ij,ij->i", gap, gap)
-        starts = np.searchsorted(i, np.arange(len(tile)))  # the guess survives its own bound, so no row is without one
+        starts = np.searchsorted(i, np.arange(len(tile)))  # the best guess survives its own bounds, so no row is without one
         best = np.minimum.reduceat(exact, starts)
         first = np.flatnonzero(exact == best[i])
         order = first[np.searchsorted(i[first], np.arange(len(tile)))]
