@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docweave.functions.binary import media_type
-from docweave.operators import planning
+from docweave.operators import planning, recognition
 from docweave.operators import stages as S
 from docweave.operators import validate as V
 from docweave.sources.images import MAX_SOURCE_BYTES
@@ -36,7 +35,10 @@ class Descriptor:
 
 
 class Provider(Protocol):
-    """Recognition of one source's bytes: (text, confidence) pairs. It runs on executors, so it must pickle."""
+    """Recognition of one source's bytes: (text, confidence) pairs. It runs on executors, so it must pickle.
+
+    A provider that also has ``recognize_batch`` (recognition.BatchProvider) is called for whole groups.
+    """
 
     def descriptor(self) -> Descriptor: ...
 
@@ -57,8 +59,31 @@ class EchoProvider:
             raise ValueError("image_invalid")
         return [(hashlib.sha256(content).hexdigest()[:16], 1.0)]
 
+    def recognize_batch(self, contents: Sequence[bytes]) -> list[recognition.Blocks | recognition.ItemFailure]:
+        return Scalar(self).recognize_batch(contents)
+
+
+@dataclass(frozen=True)
+class Scalar:
+    """Shared calls for a provider that has none: an item after the other, each failing alone."""
+
+    provider: Provider
+
+    def recognize_batch(self, contents: Sequence[bytes]) -> list[recognition.Blocks | recognition.ItemFailure]:
+        out: list[recognition.Blocks | recognition.ItemFailure] = []
+        for content in contents:
+            try:
+                out.append(list(self.provider.recognize(content)))
+            except ValueError as e:  # the provider's own code
+                out.append(recognition.ItemFailure(str(e)))
+            except Exception:
+                out.append(recognition.ItemFailure("runtime_failed"))
+        return out
+
 
-BLOCKS = pa.schema([("batch_id", pa.int64()), ("slot_pos", pa.int64()), ("ordinal", pa.int64()), ("text", pa.string()), ("confidence", pa.float64()), ("error", pa.string())])
+def batched(provider: Provider) -> recognition.BatchProvider:
+    """The provider itself if it takes shared calls."""
+    return provider if hasattr(provider, "recognize_batch") else Scalar(provider)
 
 
 class Engine:
@@ -101,25 +126,10 @@ class Engine:
         return s.join(within, ["batch_id", "slot_pos"], "left").withColumn("error_code", F.coalesce("error_code", F.when(~F.col("ok"), "batch_too_large"))).drop("ok")
 
     def recognized(self, admitted: DataFrame) -> DataFrame:
-        """Blocks of admitted slots; a slot that fails is an error row, its neighbours go on."""
-        provider = self.provider
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out: dict[str, list] = {f.name: [] for f in BLOCKS}
-                for b, p, content in zip(*(batch.column(n).to_pylist() for n in ("batch_id", "slot_pos", "content")), strict=True):
-                    try:
-                        rows = [(t, c, None) for t, c in provider.recognize(content)] or [(None, None, None)]
-                    except ValueError as e:  # the provider's own code
-                        rows = [(None, None, str(e))]
-                    except Exception:  # whatever else a provider raises costs its slot, not the task
-                        rows = [(None, None, "runtime_failed")]
-                    for n, (text, confidence, error) in enumerate(rows):
-                        for name, v in zip(out, (b, p, n, text, confidence, error), strict=True):
-                            out[name].append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in BLOCKS], schema=BLOCKS)
-
-        return admitted.where("error_code is null").select("batch_id", "slot_pos", "content").mapInArrow(run, "batch_id bigint, slot_pos bigint, ordinal bigint, text string, confidence double, error string")
+        """(batch_id, slot_pos, error, text) of admitted slots, by shared calls; a slot that fails is an error row, its neighbours go on."""
+        work = admitted.where("error_code is null").select("batch_id", "slot_pos", F.lit(0).alias("ordinal"), F.lit(0).alias("width"), "content")
+        slots = recognition.slot_results(recognition.recognized(work, batched(self.provider)))
+        return slots.select("batch_id", "slot_pos", "error", F.array_join(F.transform("blocks", lambda b: b["text"]), "\n").alias("text"))
 
     def extract_batch(self, slots: DataFrame, stages: Sequence[str]) -> DataFrame:
         """A row for each slot and requested stage: status, error_code, the slot's text and roll-up, and stage_tag, which orders the stages. In no order: the caller sorts."""
@@ -127,12 +137,10 @@ class Engine:
         if not wanted or len(wanted) != len(list(stages)):
             raise ValueError("batch_invalid: stages must be known, distinct and not empty")
         admitted = self.admit(slots)
-        blocks = self.recognized(admitted).groupBy("batch_id", "slot_pos").agg(F.first("error", ignorenulls=True).alias("error"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda b: b["text"]), "\n").alias("text"))
-        rows = admitted.drop("content").join(blocks, ["batch_id", "slot_pos"], "left").withColumn("error_code", F.coalesce("error_code", "error")).drop("error")
+        rows = admitted.drop("content").join(self.recognized(admitted), ["batch_id", "slot_pos"], "left").withColumn("error_code", F.coalesce("error_code", "error")).drop("error")
         able = F.array(*map(F.lit, self.provider.descriptor().stages)).cast("array<string>")
-        matrix = S.outcomes(rows, F.array(*map(F.lit, wanted)), able, F.col("error_code").isNotNull())
-        status = matrix.groupBy("batch_id", "slot_pos").agg(S.slot_status(F.collect_list("status")).alias("slot_status"))
-        return matrix.join(status, ["batch_id", "slot_pos"]).withColumn("stage_tag", S.stage_tag(F.col("stage")))
+        matrix = S.outcomes(rows, F.array(*map(F.lit, wanted)), able, F.col("error_code").isNotNull(), rollup="slot_status")
+        return matrix.withColumn("stage_tag", S.stage_tag(F.col("stage")))
 
     def extract(self, path: str, stages: Sequence[str] = ("text",)) -> DataFrame:
         """The files under a path in order of path, in batches of as many as one may hold."""

@@ -19,8 +19,8 @@ def canonical(stages: Column) -> Column:
     return F.transform(F.array_sort(F.transform(F.array_distinct(stages), stage_tag)), lambda t: F.array(*map(F.lit, STAGES))[t])
 
 
-def outcomes(slots: DataFrame, requested: Column, supported: Column, failed: Column) -> DataFrame:
-    """One row for each slot and requested stage, with its status.
+def outcomes(slots: DataFrame, requested: Column, supported: Column, failed: Column, rollup: str | None = None) -> DataFrame:
+    """One row for each slot and requested stage, with its status; the slot's own status too, under the name of ``rollup``.
 
     Where ``failed`` holds, the first supported stage is failed and the later ones
     are skipped; unsupported stages stay so. The stage list is bounded by the
@@ -34,7 +34,10 @@ def outcomes(slots: DataFrame, requested: Column, supported: Column, failed: Col
             F.when(~F.array_contains(supported, s), "unsupported").when(~failed, "completed").when(s == F.get(able, F.lit(0)), "failed").otherwise("skipped").alias("status"),
         ),
     )
-    return slots.withColumn("outcome", F.explode(matrix)).select("*", "outcome.stage", "outcome.status").drop("outcome")
+    rows = slots.withColumn("outcome", matrix)
+    if rollup:
+        rows = rows.withColumn(rollup, slot_status(F.transform("outcome", lambda o: o["status"])))
+    return rows.withColumn("outcome", F.explode("outcome")).select("*", "outcome.stage", "outcome.status").drop("outcome")
 
 
 def slot_status(statuses: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docweave.plans import admission, aggregates, contracts, evidence, joins, scalars, sequences, streams, validation
+from docweave.plans import admission, aggregates, contracts, evidence, joins, recognition, scalars, sequences, streams, validation
 from docweave.registry import Registry
 
-REGISTRY = Registry().merge(*(m.REGISTRY for m in (admission, validation, contracts, joins, evidence, aggregates, sequences, scalars, streams)))
+REGISTRY = Registry().merge(*(m.REGISTRY for m in (admission, validation, contracts, joins, evidence, aggregates, sequences, scalars, recognition, streams)))
