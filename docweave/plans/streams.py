@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,15 +43,55 @@ def stream_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.run_to_end(slots.admitted(stream), f"{scratch}/out", f"{scratch}/state")
 
 
+_ARRIVALS = """t AS (SELECT conv_id, turn, strlen(coalesce(text, '')) AS size, (conv_id * 3 + turn * 5) % 17 = 5 AS lost, (conv_id + turn) % 3 = 0 AS early, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS nth FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)"""
+
+
+def arrivals(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Turns as they come: most, those that were held up and some once more, a clock that ends the wait, and those that come too late."""
+    t = table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null")
+    turns = t.select("conv_id", "turn", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("size"), F.timestamp_seconds(F.col("turn") * 60 + 1_000_000_000).alias("at"))
+    i, k = F.col("conv_id"), F.col("turn")
+    lost, held, again = (i * 3 + k * 5) % 17 == 5, (i + k) % 3 == 0, (i + k) % 5 == 2
+    clock = spark.range(1).select(F.lit(-1).cast("bigint").alias("conv_id"), F.lit(0).cast("bigint").alias("turn"), F.lit(0).cast("bigint").alias("size"), F.timestamp_seconds(F.lit(4_000_000_000)).alias("at"))
+    return [turns.where(~lost & ~held), turns.where(~lost & (held | again)), clock, turns.where(lost)]
+
+
 @REGISTRY.query(
     "stream_predecessors",
-    "SELECT conv_id, turn, turn = 0 OR coalesce(turn = lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) + 1, false) AS ok FROM conversations",
+    f"""WITH {_ARRIVALS}, k AS (SELECT * FROM t WHERE NOT lost AND nth = 1),
+    o AS (SELECT conv_id, turn, CASE WHEN turn = 0 OR coalesce(turn = lag(turn) OVER w + 1, false) THEN 'followed' ELSE 'orphan' END AS status, CAST(sum(size) OVER (PARTITION BY conv_id ORDER BY turn ROWS 3 PRECEDING) AS BIGINT) AS recent FROM k WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+    SELECT * FROM o UNION ALL SELECT conv_id, turn, 'repeated', NULL FROM t WHERE NOT lost AND (nth > 1 OR ((conv_id + turn) % 5 = 2 AND NOT early))""",
 )
 def stream_predecessors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All files in one microbatch, as the order of rows across files is not that of turns."""
+    """Four arrivals, each a microbatch of a stream that is started anew on the state that the one before has left."""
     scratch = _scratch(spark)
-    stream = slots.files(spark, f"{sf_dir}/conversations.parque[t]", table(spark, sf_dir, "conversations").schema, per_trigger=1_000_000)
-    return slots.run_to_end(slots.followed(stream.select("conv_id", "turn")), f"{scratch}/out", f"{scratch}/state")
+    for batch in arrivals(spark, sf_dir):
+        batch.write.mode("append").parquet(f"{scratch}/in")
+        turns = slots.files(spark, f"{scratch}/in", batch.schema, per_trigger=1_000_000)
+        out = slots.run_to_end(slots.followed(turns, 24 * 3_600_000, "2 days"), f"{scratch}/out", f"{scratch}/state")
+    return out.where("conv_id >= 0")
+
+
+@REGISTRY.query("stream_batches", "SELECT doc_id, doc_id % 4 AS batch, coalesce(strlen(text), 0) AS size_bytes, CASE WHEN coalesce(strlen(text), 0) = 0 THEN 'source_invalid' WHEN strlen(text) > 33554432 THEN 'source_too_large' END AS error_code FROM documents")
+def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in four arrivals, each admitted and committed as a batch; the second breaks off after its write and is played again."""
+    scratch, docs = _scratch(spark), table(spark, sf_dir, "documents")
+    sink = slots.BatchSink(f"{scratch}/out")
+
+    def breaks_off(frame: DataFrame, batch_id: int) -> None:
+        sink(frame, batch_id)
+        raise RuntimeError("lost after the write")
+
+    for k in range(4):
+        docs.where(F.col("doc_id") % 4 == k).write.mode("append").parquet(f"{scratch}/in")
+        stream = slots.admitted(slots.files(spark, f"{scratch}/in", docs.schema, per_trigger=1_000_000))
+        if k == 1:
+            try:
+                slots.microbatches(stream, breaks_off, f"{scratch}/state")
+            except StreamingQueryException:
+                pass
+        slots.microbatches(stream, sink, f"{scratch}/state")
+    return sink.read(spark, stream.schema)
 
 
 @REGISTRY.query(
