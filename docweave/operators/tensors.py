@@ -51,6 +51,42 @@ def resampled(values: Column, source: int, target: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(target - 1)), at)
 
 
+def cubic(x: float) -> float:
+    """The cubic kernel of A = -0.5, which is 0 from 2 on."""
+    x, a = abs(x), -0.5
+    if x < 1:
+        return (a + 2) * x**3 - (a + 3) * x**2 + 1
+    return a * (x**3 - 5 * x**2 + 8 * x - 4) if x < 2 else 0.0
+
+
+def cubic_weights(source: int, target: int) -> list[list[float]]:
+    """For each target the weights of all sources: the kernel, widened when it shrinks, over those within reach, that sum to 1."""
+    scale = source / target
+    wide = max(scale, 1.0)
+    out = []
+    for t in range(target):
+        center = scale * (t + 0.5)
+        first, end = max(0, int(center - 2 * wide + 0.5)), min(source, int(center + 2 * wide + 0.5))
+        row = [cubic((s + 0.5 - center) / wide) if first <= s < end else 0.0 for s in range(source)]
+        total = sum(row)
+        out.append([w / total for w in row] if total else row)
+    return out
+
+
+def resized(values: Column, side: int, target: int) -> Column:
+    """A square grid, row by row, as one of side ``target``: antialiased cubic along its rows, then its columns. Sides are a model's, so the weights are literals."""
+    if min(side, target) < 1:
+        raise ValueError("sides must be positive")
+    if side == target:
+        return F.transform(values, lambda v: v.cast("double"))
+    taps = F.array(*(F.array(*(F.struct(F.lit(s).alias("s"), F.lit(w).alias("w")) for s, w in enumerate(row) if w)) for row in cubic_weights(side, target)))
+    total = lambda of, value: F.aggregate(of, F.lit(0.0), lambda a, p: a + p["w"] * value(p["s"]))
+    across = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda y: F.transform(taps, lambda of: total(of, lambda s: F.get(values, y * side + s).cast("double")))))
+    column = lambda grid: F.flatten(F.transform(taps, lambda of: F.transform(F.sequence(F.lit(0), F.lit(target - 1)), lambda x: total(of, lambda s: F.get(grid, s * target + x)))))
+    # One grid, bound once: the second pass reads it many times.
+    return F.get(F.transform(F.array(across), column), 0)
+
+
 def rope_angle(position: Column, pair: Column, dim: int, base: float = 10_000.0) -> Column:
     return position / F.pow(F.lit(base), F.lit(2) * pair / dim)
 
