@@ -153,3 +153,23 @@ def test_cubic_against_matrices(spark, side, target):
     got = spark.createDataFrame([(grid.reshape(-1).tolist(),)], "v array<double>").select(tensors.resized(F.col("v"), side, target)).first()[0]
     assert np.allclose(np.array(got).reshape(target, target), want)
     assert np.allclose(m.sum(axis=1), 1)
+
+
+# Image headers
+
+
+def test_headers_cut_anywhere_never_raise():
+    from docweave.plans.images import KINDS, made
+    from docweave.sources import images
+
+    for kind in KINDS:
+        data = made(5, kind, 20, 9, 6)
+        assert images.geometry(data) == (20, 9)
+        for n in range(len(data)):
+            assert images.geometry(data[:n]) in (None, (20, 9)) and images.orientation(data[:n]) in (1, 6)
+            try:
+                images.decode(data[:n])
+            except ValueError:
+                pass
+    assert images.directory(b"II*\0" + struct.pack("<IH", 8, 500) + b"\x01") == {}
+    assert images.exif_orientation(b"MM\0*" + struct.pack(">IH", 8, 1) + struct.pack(">HHII", 0x0112, 4, 1, 99)) == 1
