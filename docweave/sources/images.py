@@ -198,6 +198,8 @@ def _decode_bmp(data: bytes, w: int, h: int) -> np.ndarray:
 
 
 def _decode_png(data: bytes, w: int, h: int) -> np.ndarray:
+    if len(data) < 29:
+        raise ValueError("image_invalid: short header")
     depth, colour, interlace = data[24], data[25], data[28]
     channels = {0: 1, 2: 3, 4: 2, 6: 4}.get(colour)
     if depth != 8 or channels is None or interlace:
