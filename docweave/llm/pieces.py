@@ -49,14 +49,16 @@ MASK = (1 << 64) - 1
 BITMAP_BITS = 22
 
 
-def last_at_most(share: np.ndarray, lo: np.ndarray, hi: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """For each draw u the last edge of lo .. hi - 1 whose share is at most u. Shares rise within a range; the first edge's is 0."""
-    wide = hi - lo
-    while int(wide.max(initial=1)) > 1:
-        half = wide >> 1
-        up = (half > 0) & (share[lo + half] <= u)
-        lo, wide = np.where(up, lo + half, lo), np.where(up, wide - half, np.maximum(half, 1))
-    return lo
+def last_at_most(share: np.ndarray, lo: np.ndarray, hi: np.ndarray, u: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """For each draw u the last edge of lo .. hi - 1 whose share is at most u, looked for from ``near``. Shares rise within a range; the first edge's is 0."""
+    at = np.clip(near, lo, hi - 1)
+    while (off := np.flatnonzero(share[at] > u)).size:
+        at[off] -= 1
+    ahead = np.flatnonzero(at + 1 < hi)
+    while (ahead := ahead[share[at[ahead] + 1] <= u[ahead]]).size:
+        at[ahead] += 1
+        ahead = ahead[at[ahead] + 1 < hi[ahead]]
+    return at
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -149,7 +151,7 @@ class Codec:
         self.bitmap = np.zeros(1 << BITMAP_BITS, bool)
         self.bitmap[(self.hashes >> U64(64 - BITMAP_BITS)).astype(np.int64)] = True
 
-    def lattice(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def lattice(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The lattices of chunks, which stand in order of falling length.
 
         Nodes are numbered by position and then by chunk. Returns each position's
@@ -204,7 +206,7 @@ class Codec:
             total[lo:hi] = top + np.log(mass)
             running = np.cumsum(e) - e
             share[a:b] = (running - np.repeat(running[groups], count)) / np.repeat(mass, count)
-        return nodes, start, piece, share, edge_of, lens
+        return nodes, start, piece, end, share, edge_of, lens
 
     def encode(self, texts: list[str], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's ids end."""
@@ -216,18 +218,21 @@ class Codec:
             return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
         distinct = list(slots)
         by_length = np.argsort([-len(c) for c in distinct], kind="stable")
-        nodes, start, piece, share, edge_of, lens = self.lattice([distinct[i] for i in by_length])
+        nodes, start, piece, end, share, edge_of, lens = self.lattice([distinct[i] for i in by_length])
         rank = np.empty(len(distinct), np.int64)
         rank[by_length] = np.arange(len(distinct))
         chunk = rank[slot]
         ordinal = np.arange(len(slot)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
         row = mix(np.array([k & MASK for k in keys], U64) ^ U64(self.seed * 0x9E3779B97F4A7C15 & MASK))
         stream = mix(np.repeat(row, per_text) + ordinal.astype(U64))
+        key_of_edge = end + share
         node, who = nodes[lens[chunk]] + chunk, np.arange(len(slot))
         n_pieces = np.zeros(len(slot), np.int64)
         drawn: list[tuple[np.ndarray, np.ndarray]] = []
         while len(who):
-            edge = last_at_most(share, edge_of[node], edge_of[node + 1], draws(stream[who], len(drawn)))
+            u = draws(stream[who], len(drawn))
+            near = np.searchsorted(key_of_edge, node + u, side="right") - 1  # the edge, but for rounding where nodes are many
+            edge = last_at_most(share, edge_of[node], edge_of[node + 1], u, near)
             drawn.append((who, piece[edge]))
             n_pieces[who] += 1
             node = start[edge]

@@ -98,7 +98,8 @@ def test_last_at_most_is_exact():
     u = np.where(rng.random(5000) < 0.3, np.nextafter(1, 0), rng.random(5000))
     u[::9] = share[hi[::9] - 1]
     want = [a + np.searchsorted(share[a:b], x, side="right") - 1 for a, b, x in zip(lo, hi, u, strict=True)]
-    assert (pieces.last_at_most(share, lo, hi, u) == want).all()
+    for near in (lo, hi - 1, rng.integers(-5, len(share) + 5, 5000)):
+        assert (pieces.last_at_most(share, lo, hi, u, near) == want).all()
 
 
 def test_columns_named_like_helpers(spark):
