@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from docweave.llm.common import drop_path, written
 from docweave.llm.components import components
@@ -187,7 +188,9 @@ def comparable() -> Column:
 
 def points(embeddings: DataFrame) -> tuple[DataFrame, DataFrame, str]:
     """(pid, rep, mult, v) of the different vectors that can link, as a written table; (vec_id, v) of all rows that can; the table's path."""
-    rows = embeddings.where(comparable()).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double") + 0.0).alias("v"))
+    single = isinstance(embeddings.schema["embedding"].dataType.elementType, FloatType)  # stored as it comes; sums and products are doubles
+    v = F.transform("embedding", lambda x: x.cast("double") + 0.0).cast("array<float>" if single else "array<double>")
+    rows = embeddings.where(comparable()).select(F.col("vec_id").cast("bigint").alias("vec_id"), v.alias("v"))
     each = rows.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult")).withColumn("pid", F.monotonically_increasing_id())
     out, path = written(each.select("pid", "rep", "mult", "v"), "points")
     return out, rows, path
@@ -244,7 +247,7 @@ def seats(known: DataFrame, overlap: int = OVERLAP) -> tuple[DataFrame, list[str
         rows = at.join(large, "cell").withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), "pid"), salts))
         want = F.least(F.lit(float(PIVOTS)), F.ceil(F.col("n") / TARGET).cast("double"))
         drawn = F.pmod(F.xxhash64(F.lit(level), "pid"), F.lit(1 << 40)) < want / F.col("n") * float(1 << 40)
-        thin = rows.where(drawn).select("cell", "n", "pid", "v").groupBy("cell").applyInArrow(_thin, "cell bigint, n bigint, pid bigint, v array<double>")
+        thin = rows.where(drawn).select("cell", "n", "pid", "v").groupBy("cell").applyInArrow(_thin, f"cell bigint, n bigint, pid bigint, v {known.schema['v'].dataType.simpleString()}")
         pivots = thin.select("cell", "pid", "v", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)).alias("salt"), F.lit(0).cast("bigint").alias("kind"))
         both = rows.select("cell", "salt", F.lit(1).cast("bigint").alias("kind"), "pid", "v").unionByName(pivots)
         dealt = both.repartition("cell", "salt").sortWithinPartitions("cell", "salt", "kind").mapInArrow(_nearest_pivots(overlap), "cell bigint, pid bigint, pivot bigint")
@@ -409,7 +412,8 @@ def near_duplicate_report(embeddings: DataFrame, like: float = LIKE, overlap: in
     grouped = known.join(tree, F.col("pid") == F.col("node"), "left").select("pid", "rep", "mult", F.coalesce("root", "pid").alias("root"), "v")
     least = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
     each = grouped.join(least, "root").join(counts, "pid", "left").select("v", "component_id", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
-    linked = rows.join(each, "v").select("vec_id", "n_links", "component_id")
+    same = lambda df: df.withColumn("h", F.xxhash64("v"))  # noqa: E731  a sort by hashes seldom looks at a vector
+    linked = same(rows).join(same(each), ["h", "v"]).select("vec_id", "n_links", "component_id")
     alone = embeddings.where(~comparable()).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").cast("bigint").alias("component_id"))
     whole = linked.unionByName(alone)
     return whole.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"), F.lit(truth).cast("bigint").alias("audit_links"), F.lit(got).cast("bigint").alias("audit_found"))
