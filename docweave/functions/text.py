@@ -89,3 +89,9 @@ def content_range(c: Column) -> Column:
 
 def retryable(status: Column) -> Column:
     return status.isin(408, 429) | status.between(500, 599)
+
+
+def approved_url(url: Column, hosts: tuple[str, ...]) -> Column:
+    """Whether a download may go there: https, one of the hosts by its whole name, no user or port before or after it."""
+    host = F.regexp_extract(url, r"^https://([^/?#]*)(?:[/?#]|$)", 1)
+    return F.coalesce(F.lower(host).isin(*hosts), F.lit(False))

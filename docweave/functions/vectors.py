@@ -57,11 +57,13 @@ def rank_of(a: Column, index: Column) -> Column:
     return (once(a, before) + 1).cast("bigint")
 
 
-def banned_tokens(tokens: Column, n: int, window: int) -> Column:
-    """Tokens that would complete an n-gram already in the trailing window, once each, in order of first occurrence."""
+def banned_tokens(tokens: Column, n: int, window: int, allowed: Column | None = None) -> Column:
+    """Tokens that would complete an n-gram already in the trailing window, once each, in order of first occurrence; those of the array ``allowed`` never."""
     recent = F.when(F.size(tokens) > window, F.slice(tokens, -window, window)).otherwise(tokens)
     size = F.size(recent)
     tail = F.slice(recent, size - (n - 2), n - 1)
     starts = F.sequence(F.lit(1), size - n + 1)
     hits = F.filter(starts, lambda i: F.slice(recent, i, n - 1) == tail)
-    return F.when(size >= n, F.array_distinct(F.transform(hits, lambda i: F.element_at(recent, i + n - 1)))).otherwise(F.slice(tokens, 1, 0))
+    found = F.transform(hits, lambda i: F.element_at(recent, i + n - 1))
+    found = F.array_distinct(found) if allowed is None else F.array_except(found, allowed)
+    return F.when(size >= n, found).otherwise(F.slice(tokens, 1, 0))

@@ -78,6 +78,11 @@ def cohorts(images: Column, peak: int, cap: int = COHORT_CAP, fill: float = COHO
     return F.aggregate(images, none, add)
 
 
+def merged_passes(first: Column, second: Column) -> Column:
+    """What stays of two passes' boxes: each suppressed by itself, then their union in order once more."""
+    return suppressed(F.array_sort(F.concat(suppressed(first), suppressed(second))))
+
+
 def suppressed(boxes: Column, threshold: float = 0.5, limit: int = 64) -> Column:
     """Greedy non-maximum suppression: array of boxes in order; one stays if it overlaps no kept box by the threshold, up to the limit."""
     from docweave.functions.geometry import iou

@@ -54,9 +54,17 @@ def positional(expected: DataFrame, given: DataFrame, keys: list[str], position:
     return a.join(b, [*keys, position], "full").withColumn("verdict", verdict)
 
 
-def branch_results(slots: DataFrame, branches: dict[str, DataFrame], key: str) -> DataFrame:
-    """Slots left-joined with each branch's (key, status); a branch without a row counts as failed."""
+def isolated(bad_source: Column, bad_batch: Column, with_preprocessing: Column) -> Column:
+    """(preprocessing, text): a bad source fails preprocessing and skips text, or fails text where preprocessing isn't asked for; a failed microbatch fails text alone."""
+    before = F.when(with_preprocessing, F.when(bad_source, "failed").otherwise("completed"))
+    text = F.when(bad_source & with_preprocessing, "skipped").when(bad_source | bad_batch, "failed").otherwise("completed")
+    return F.struct(before.alias("preprocessing"), text.alias("text"))
+
+
+def branch_results(slots: DataFrame, branches: dict[str, DataFrame], key: str, supported: Column | None = None) -> DataFrame:
+    """Slots left-joined with each branch's (key, status). A branch without a row counts as failed, or as unsupported where the array ``supported`` lacks its stage."""
     out = slots
     for name, rows in branches.items():
-        out = out.join(rows.select(key, F.col("status").alias(name)), key, "left").withColumn(name, F.coalesce(name, F.lit("failed")))
+        able = F.lit(True) if supported is None else F.array_contains(supported, F.lit(name))
+        out = out.join(rows.select(key, F.col("status").alias(name)), key, "left").withColumn(name, F.coalesce(name, F.when(able, "failed").otherwise("unsupported")))
     return out

@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,3 +103,13 @@ def structures(tokens: DataFrame, geometry: DataFrame, keys: list[str]) -> DataF
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *values], names=out.names)
 
     return each.mapInArrow(run, out)
+
+
+def cell_quad(logits: Column, x: Column, y: Column, width: Column, height: Column) -> Column:
+    """Eight logits as four corners (x, y, ...) in a crop's page: sigmoid times the longer side, cut to whole pixels, within the crop. Null without area."""
+    sigmoid = lambda v: F.lit(1.0) / (F.lit(1.0) + F.exp(-v.cast("double")))
+    even = lambda i: i % 2 == 0
+    at = lambda v, i: F.least(F.greatest((sigmoid(v) * F.greatest(width, height)).cast("bigint"), F.lit(0)), F.when(even(i), width).otherwise(height)) + F.when(even(i), x).otherwise(y)
+    quad = F.transform(logits, lambda v, i: at(v, i).cast("bigint"))
+    axis = lambda k: F.filter(quad, lambda _, i: i % 2 == k)
+    return F.when((F.array_max(axis(0)) > F.array_min(axis(0))) & (F.array_max(axis(1)) > F.array_min(axis(1))), quad)

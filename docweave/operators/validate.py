@@ -27,6 +27,16 @@ def first_violation(*rules: tuple[str, Column]) -> Column:
     return out
 
 
+def asset_violation(inside: Column, size: Column, limit: int) -> Column:
+    """A file lies under its root, isn't empty and keeps to its size cap."""
+    return first_violation(("containment", inside), ("empty", size > 0), ("too_large", size <= limit))
+
+
+def completed_violation(able: Column, stage: Column, output_bytes: Column) -> Column:
+    """A completed stage is one that the provider has, and comes with output."""
+    return first_violation(("stage_unsupported", F.array_contains(able, stage)), ("text_missing", output_bytes > 0))
+
+
 def confidence_ok(c: Column) -> Column:
     return c.isNull() | (~F.isnan(c) & c.between(0, 1))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import geometry as G
 from docweave.functions import text as T
+from docweave.operators import stages as S
 from docweave.operators import validate as V
 from docweave.registry import Registry, table
 
@@ -21,7 +22,7 @@ def asset_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files must lie under their root, not be empty and keep to a size cap."""
     inside = F.col("url").startswith("http") & ~F.col("url").contains("/../")
     n = F.octet_length("html")
-    return table(spark, sf_dir, "pages").select("page_id", V.first_violation(("containment", inside), ("empty", n > 0), ("too_large", n <= 2000)).alias("violation"))
+    return table(spark, sf_dir, "pages").select("page_id", V.asset_violation(inside, n, 2000).alias("violation"))
 
 
 @REGISTRY.query(
@@ -31,7 +32,7 @@ def asset_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def capability_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A completed stage must be one that the provider has, and completed text must come with output."""
     able = F.array(F.lit("user"), F.lit("assistant"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", V.first_violation(("stage_unsupported", F.array_contains(able, F.col("role"))), ("text_missing", F.octet_length("text") > 0)).alias("violation"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", V.completed_violation(able, F.col("role"), F.octet_length("text")).alias("violation"))
 
 
 @REGISTRY.query(
@@ -62,10 +63,8 @@ def crops_in_canvas(spark: SparkSession, sf_dir: str) -> DataFrame:
 def error_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A bad decode fails preprocessing and skips text, or fails text where preprocessing isn't asked for; a failed microbatch fails text alone."""
     k = F.col("doc_id")
-    bad_decode, bad_batch, asked = k % 5 == 0, k % 7 == 0, k % 2 == 0
-    before = F.when(asked, F.when(bad_decode, "failed").otherwise("completed"))
-    text = F.when(bad_decode & asked, "skipped").when(bad_decode | bad_batch, "failed").otherwise("completed")
-    return table(spark, sf_dir, "documents").select("doc_id", before.alias("preprocessing"), text.alias("text_status"))
+    outcome = S.isolated(k % 5 == 0, k % 7 == 0, k % 2 == 0)
+    return table(spark, sf_dir, "documents").select("doc_id", outcome["preprocessing"].alias("preprocessing"), outcome["text"].alias("text_status"))
 
 
 @REGISTRY.query(
