@@ -1,9 +1,10 @@
-"""Detection maps to boxes: binary mask, components, least-area rectangles, scores and inflation, in numpy."""
+"""Detection maps to boxes: binary mask, borders, least-area rectangles, scores and inflation, in numpy."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,88 @@ def components(mask: np.ndarray) -> list[np.ndarray]:
     return [np.concatenate([np.stack([np.arange(lo[k], hi[k]), np.full(hi[k] - lo[k], row[k])], axis=1) for k in runs]) for runs in out.values()]
 
 
+#: Neighbours (row, column), clockwise from the left one.
+AROUND = ((0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1))
+
+
+@dataclass(frozen=True)
+class Contour:
+    """A border as it is followed from its first pixel by row: (x, y) points, which repeat where the border turns back."""
+
+    points: np.ndarray
+    hole: bool
+
+
+def contours(mask: np.ndarray) -> list[Contour]:
+    """Outer borders of 8-connected regions and the borders of their holes, in order of the pixel where a scan by row meets them.
+
+    Border following after Suzuki and Abe: pixels get the number of the border
+    that passes them, negative where the pixel to the right is background, and a scan starts
+    a border only where none has passed. Start pixels come from numpy; only border pixels are walked.
+    """
+    f = np.pad(mask.astype(np.int32), 1)
+    off, on = f == 0, f != 0
+    outer, inner = np.zeros_like(on), np.zeros_like(on)
+    outer[:, 1:], inner[:, :-1] = on[:, 1:] & off[:, :-1], on[:, :-1] & off[:, 1:]
+    out: list[Contour] = []
+    number = 1
+    for y, x in np.argwhere(outer | inner).tolist():
+        if outer[y, x] and f[y, x] == 1:
+            hole, at = False, 0
+        elif inner[y, x] and f[y, x] >= 1:
+            hole, at = True, 4
+        else:
+            continue
+        number += 1
+        out.append(Contour(np.array(_followed(f, y, x, at, number)) - 1, hole))
+    return out
+
+
+def _followed(f: np.ndarray, y: int, x: int, at: int, number: int) -> list[tuple[int, int]]:
+    """The border that starts at (y, x), whose neighbour ``at`` is background."""
+    first = next((k % 8 for k in range(at, at + 8) if f[y + AROUND[k % 8][0], x + AROUND[k % 8][1]]), None)
+    if first is None:
+        f[y, x] = -number
+        return [(x, y)]
+    end = (y + AROUND[first][0], x + AROUND[first][1])
+    here, back, points = (y, x), first, []
+    while True:
+        right = False
+        for k in range(back - 1, back - 9, -1):  # the other way round, from the one that the border came from
+            dy, dx = AROUND[k % 8]
+            if f[here[0] + dy, here[1] + dx]:
+                break
+            right |= k % 8 == 4
+        points.append((here[1], here[0]))
+        if right:
+            f[here] = -number
+        elif f[here] == 1:
+            f[here] = number
+        there = (here[0] + dy, here[1] + dx)
+        if there == (y, x) and here == end:
+            return points
+        here, back = there, (k + 4) % 8
+
+
+def grown(polygon: list[Point], distance: float, tolerance: float = 0.01) -> list[Point]:
+    """A convex polygon's outline moved out by a distance, with round corners: arcs in chords that leave them by the tolerance at most."""
+    area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(polygon, polygon[1:] + polygon[:1], strict=True))
+    p = polygon if area >= 0 else polygon[::-1]
+    p = [a for a, b in zip(p, p[-1:] + p[:-1], strict=True) if a != b] or p[:1]
+    step = 2 * math.acos(max(0.0, 1 - tolerance / distance)) if distance > tolerance else math.pi / 2
+    out: list[Point] = []
+    for before, here, after in zip(p[-1:] + p[:-1], p, p[1:] + p[:1], strict=True):
+        if len(p) == 1:
+            start, turn = 0.0, 2 * math.pi
+        else:
+            normal = lambda a, b: math.atan2(a[0] - b[0], b[1] - a[1])  # noqa: E731  to the right of the side
+            start = normal(before, here)
+            turn = (normal(here, after) - start) % (2 * math.pi)
+        n = max(1, math.ceil(turn / step))
+        out += [(here[0] + distance * math.cos(start + turn * k / n), here[1] + distance * math.sin(start + turn * k / n)) for k in range(n + 1)]
+    return out
+
+
 def hull(points: np.ndarray) -> list[Point]:
     """Counter-clockwise convex hull (monotone chain)."""
     p = sorted(set(map(tuple, points.tolist())))
@@ -116,13 +199,15 @@ def inflated(quad: list[Point], ratio: float) -> list[Point]:
 
 
 def detect(values: np.ndarray, content: tuple[int, int], source: tuple[int, int], settings: Detection) -> list[tuple[list[tuple[int, int]], float]]:
-    """Quads in source pixels with their scores. content: (width, height) of the map that shows the image."""
+    """Quads in source pixels with their scores, a region's or a hole's border each. content: (width, height) of the map that shows the image."""
     cw, ch = content
     mask = np.zeros(values.shape, bool)
     mask[:ch, :cw] = values[:ch, :cw] > settings.threshold
     out = []
-    for region in components(mask)[: settings.max_candidates]:
-        quad = least_rectangle(hull(region))
+    for border in contours(mask)[: settings.max_candidates]:
+        if len(border.points) < 3:
+            continue
+        quad = least_rectangle(hull(border.points))
         if min(sides(quad)) < MIN_SIDE:
             continue
         score = box_score(values, quad)
@@ -153,3 +238,27 @@ def detected(maps: DataFrame, settings: Detection) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in FOUND], schema=FOUND)
 
     return maps.mapInArrow(run, "slot bigint, ordinal bigint, score double, quad array<bigint>")
+
+
+BORDERS = pa.schema([("slot", pa.int64()), ("ordinal", pa.int64()), ("hole", pa.bool_()), ("points", pa.int64()), ("first_x", pa.int64()), ("first_y", pa.int64()), ("area", pa.float64()), ("grown_area", pa.float64())])
+
+
+def bordered(masks: DataFrame, ratio: float) -> DataFrame:
+    """Every border of masks (slot, width, height, values: 0 or 1): points, first pixel, its hull's area, and that of the hull grown by area * ratio / perimeter."""
+
+    def shoelace(p: list[Point]) -> float:
+        return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, p[1:] + p[:1], strict=True))) / 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {f.name: [] for f in BORDERS}
+            for m in batch.to_pylist():
+                for k, c in enumerate(contours(np.array(m["values"]).reshape(m["height"], m["width"]) != 0)):
+                    h = hull(c.points)
+                    area, around = shoelace(h), sum(math.dist(a, b) for a, b in zip(h, h[1:] + h[:1], strict=True))
+                    wide = shoelace(grown(h, area * ratio / around)) if area else 0.0
+                    for name, v in zip(out, (m["slot"], k, c.hole, len(c.points), int(c.points[0][0]), int(c.points[0][1]), area, wide), strict=True):
+                        out[name].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in BORDERS], schema=BORDERS)
+
+    return masks.mapInArrow(run, "slot bigint, ordinal bigint, hole boolean, points bigint, first_x bigint, first_y bigint, area double, grown_area double")

@@ -142,6 +142,18 @@ def detection_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("slot", "ordinal", F.round("score", 6).alias("score"), F.array_join("quad", ",").alias("quad"))
 
 
+@REGISTRY.query("mask_borders")
+def mask_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Borders and holes of a 24 by 24 mask of each embedding: every other ring of blocks is cut by its values."""
+    cell = lambda i: F.get("embedding", (F.floor(i / 72) * 8 + F.floor(i % 24 / 3)).cast("int"))
+    ring = lambda i: F.least(F.floor(i / 24), i % 24, 23 - F.floor(i / 24), 23 - i % 24) % 4
+    values = F.transform(F.sequence(F.lit(0), F.lit(575)), lambda i: ((ring(i) == 0) | (cell(i) > 0.05)).cast("int"))
+    n = lambda v: F.lit(v).cast("bigint")
+    masks = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("slot"), n(24).alias("width"), n(24).alias("height"), values.alias("values"))
+    found = detect.bordered(masks, 1.5)
+    return found.select("slot", "ordinal", "hole", "points", "first_x", "first_y", "area", F.round("grown_area", 6).alias("grown_area"))
+
+
 def bitmap(content: bytes, least: int = 16) -> bytes:
     """A square BMP that shows all the content's bytes, repeated to fill it; its side is a multiple of 4, so rows need no padding."""
     side = max(least, 4 * math.ceil(math.sqrt(len(content) / 3) / 4))

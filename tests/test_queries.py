@@ -55,8 +55,22 @@ def pixel_tensors(spark, sf, rows):
         assert abs(got[r.item_id].seal - round(float(pixels.seal_tensor(image, 24).mean()), 5)) < 2e-5
 
 
+def mask_borders(spark, sf, rows):
+    """Masks built here, their regions and holes by flooding; the borders themselves are tested in test_borders."""
+    from test_borders import borders
+
+    got: dict[int, list] = {}
+    for r in rows:
+        got.setdefault(r.slot, []).append(r.hole)
+    y, x = np.mgrid[0:24, 0:24]
+    ring = np.minimum(np.minimum(x, y), np.minimum(23 - x, 23 - y)) % 4
+    for e in spark.read.parquet(f"{sf}/embeddings.parquet").collect():
+        want = borders((ring == 0) | (np.kron(np.array(e.embedding).reshape(8, 8), np.ones((3, 3))) > 0.05))
+        assert sorted(got[e.vec_id]) == sorted(h for h, _ in want)
+
+
 #: What SQL can't say: each such query has its own check.
-BY_HAND = {"detection_maps": detection_maps, "pixel_tensors": pixel_tensors}
+BY_HAND = {"detection_maps": detection_maps, "pixel_tensors": pixel_tensors, "mask_borders": mask_borders}
 
 
 @pytest.mark.parametrize("name", list(REGISTRY))
