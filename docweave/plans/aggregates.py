@@ -77,17 +77,17 @@ def nearest_ranks(rows: DataFrame, key: str, value: str, ranks: dict[str, float]
     """
     b = F.floor(F.col(value) / bucket)
     counts = rows.groupBy(key, b.alias("b")).agg(F.count("*").alias("c"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.sum(value).alias("s"))
-    w = Window.partitionBy(key).orderBy("b")
-    whole = counts.groupBy(key).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("c").alias("n"), F.sum("s").alias("total"))
-    upto = counts.select(key, "b", F.sum("c").over(w).alias("upto"), "c").join(whole.select(key, "n"), key)
+    whole = Window.partitionBy(key)
+    of_key = [F.min("lo").over(whole).alias("lo"), F.max("hi").over(whole).alias("hi"), F.sum("c").over(whole).alias("n"), F.sum("s").over(whole).alias("total")]
+    upto = counts.select(key, "b", "c", F.sum("c").over(whole.orderBy("b")).alias("upto"), *of_key)
     targets = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.greatest(F.ceil(F.col("n") * p), F.lit(1)).alias("rank")) for name, p in ranks.items()]))
     held = upto.select("*", targets.alias("t")).where((F.col("t.rank") <= F.col("upto")) & (F.col("t.rank") > F.col("upto") - F.col("c")))
-    held = held.select(key, "b", F.col("t.name").alias("name"), (F.col("t.rank") - F.col("upto") + F.col("c")).alias("rank"))
-    values = rows.withColumn("b", b).join(held.select(key, "b").distinct(), [key, "b"], "left_semi").groupBy(key, "b", value).agg(F.count("*").alias("c"))
-    values = values.withColumn("upto", F.sum("c").over(Window.partitionBy(key, "b").orderBy(value)))
-    found = values.join(held, [key, "b"]).where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("c")))
-    out = found.groupBy(key).agg(*[F.max(F.when(F.col("name") == name, F.col(value))).alias(name) for name in ranks])
-    return out.join(whole, key)
+    held = held.select(key, "b", F.col("t.name").alias("name"), (F.col("t.rank") - F.col("upto") + F.col("c")).alias("rank"), "lo", "hi", "n", "total")
+    values = rows.withColumn("b", b).join(held, [key, "b"]).groupBy(key, "name", "rank", "lo", "hi", "n", "total", value).agg(F.count("*").alias("c"))
+    values = values.withColumn("upto", F.sum("c").over(Window.partitionBy(key, "name").orderBy(value)))
+    found = values.where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("c")))
+    same = [F.first(c).alias(c) for c in ("lo", "hi", "n", "total")]
+    return found.groupBy(key).agg(*[F.max(F.when(F.col("name") == name, F.col(value))).alias(name) for name in ranks], *same)
 
 
 @REGISTRY.query(
