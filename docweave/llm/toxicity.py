@@ -286,15 +286,22 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PE
     drawn = [marks.where(F.col("toxic") == y if y else F.col("toxic") != 1).orderBy("rank", "doc_id").limit(per_class).select("doc_id", "toxic") for y in (1, 0)]
     chosen = F.broadcast(drawn[0].unionByName(drawn[1]))  # at most 2 * per_class rows
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(chosen, "doc_id")
-    # Rows that repeat a chosen id must not widen the sample beyond its bound. They come in an order that a hash draws, so a sample cut at SAMPLE_BYTES is fair.
-    rows = rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(2 * per_class)
-    out, size = [], 0
-    for r in rows.select("text", "toxic").toLocalIterator():
-        out.append((r.text, int(r.toxic == 1)))
-        size += len(r.text)
+    # Rows that repeat a chosen id must not widen the sample beyond its bounds. They come in an order that a hash draws, so a sample cut at SAMPLE_BYTES is fair.
+    # Places and sizes are ranked first; only texts that are within the bounds travel, those of equal rows once.
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "text"))
+    taken: Counter[tuple[int, int]] = Counter()
+    size = 0
+    for r in rows.select("h", "doc_id", F.octet_length("text").alias("n")).orderBy("h", "doc_id").limit(2 * per_class).collect():
+        taken[r.h, r.doc_id] += 1
+        size += r.n
         if size >= SAMPLE_BYTES:
             break
-    return out
+    if not taken:
+        return []
+    last = max(taken)
+    within = rows.where((F.col("h") < last[0]) | ((F.col("h") == last[0]) & (F.col("doc_id") <= last[1])))
+    texts = {(r.h, r.doc_id): (r.text, int(r.toxic == 1)) for r in within.groupBy("h", "doc_id").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).toLocalIterator()}
+    return [texts[key] for key in sorted(taken) for _ in range(taken[key])]
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("passages", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("p_value", pa.float64())])))])

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import struct
+import zlib
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from docweave.llm import decontaminate, langid, matroska, pieces, simhash
+from docweave.llm import decontaminate, langid, matroska, pieces, simhash, toxicity
 from docweave.llm import matroska as m
 from docweave.llm.common import rows_out
 
@@ -114,3 +115,22 @@ def test_columns_named_like_helpers(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns and {r["__text"] for r in out.collect()} <= {f"__text{k}" for k in range(1, 5)}
+
+
+def test_the_toxicity_sample_keeps_to_its_bounds(spark, monkeypatch):
+    """Rows that repeat an id count, equal ones travel once; what is beyond the bytes stays where it is."""
+    rows = [(k, f"text {k} é" * (1 + k % 5), "x") for k in range(200)] + [(7, "again", "x")] * 3 + [(8, None, "x"), (None, "lost", "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, h string")
+    labels = spark.createDataFrame([(k, int(k % 9 == 0)) for k in range(200)] + [(7, 1), (None, 1)], "doc_id bigint, toxic int")
+    whole = toxicity.training_rows(docs, labels)
+    held = {k for k in range(200) if zlib.crc32(str(k).encode()) % 4 == 2}
+    label = {k: int(k % 9 == 0 or k == 7) for k in range(200)}
+    assert sorted(whole) == sorted((t, label[k]) for k, t, _ in rows if k is not None and t is not None and k not in held)
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 500)
+    some = toxicity.training_rows(docs, labels)
+    assert some == whole[: len(some)]
+    sizes = [len(t.encode()) for t, _ in some]
+    assert sum(sizes) >= 500 > sum(sizes[:-1])
+    monkeypatch.undo()
+    assert len(toxicity.training_rows(docs, labels, per_class=5)) <= 10
+    assert toxicity.training_rows(docs, labels.limit(0)) == []
