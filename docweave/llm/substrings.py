@@ -2,8 +2,10 @@
 
 Documents arrive in batches, in order of doc_id. The index is a folder of sorted
 immutable runs: tables of the fingerprints (anchor key and run hash, see
-windows.py) that no earlier document had. A batch is fingerprinted, merged with
-the runs in key order, and judged: what an earlier document has is a repeat,
+windows.py) that no earlier document had, dealt by key to a fixed number of
+buckets. A batch is fingerprinted and its keys are dealt to the same buckets, so
+each run is merge-joined with them where it lies: no run is shuffled. Entries of keys that
+the batch has too go on with it and are judged: what an earlier document has is a repeat,
 what several versions have is verified word by word, and what is new becomes
 the next run. When the runs reach ``FANOUT`` they are merged into one that holds
 each fingerprint once, by its smallest doc_id. A manifest names the runs that
@@ -34,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.common import documents, drop_path, each_batch, rows_out, shared_dir, written
+from docweave.llm.common import documents, drop_path, each_batch, rows_out, shared_dir, shuffles_freed, written
 from docweave.llm.windows import (
     ANCHOR,
     COVERED,
@@ -47,7 +49,6 @@ from docweave.llm.windows import (
     REQUEST,
     SENT_DDL,
     Spec,
-    by_key,
     compare,
     judged_by_key,
     merged,
@@ -92,9 +93,10 @@ def word_spec(window: int = WINDOW, gram: int = GRAM) -> Spec:
 class FingerprintIndex:
     """Sorted immutable runs of fingerprints in a folder that the driver and all executors see."""
 
-    def __init__(self, spark: SparkSession, spec: Spec, folder: str, fanout: int = FANOUT) -> None:
-        """A new index, which must not exist yet; see ``open`` for one that does."""
+    def __init__(self, spark: SparkSession, spec: Spec, folder: str, fanout: int = FANOUT, buckets: int | None = None) -> None:
+        """A new index, which must not exist yet; see ``open`` for one that does. buckets: the session's shuffle partitions unless given."""
         self.spark, self.spec, self.folder, self.fanout = spark, spec, folder.rstrip("/"), fanout
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[tuple[DataFrame, str]] = []
         self.asked: list[str] = []
         self.highest: int | None = None
@@ -114,7 +116,7 @@ class FingerprintIndex:
         said = json.loads(spark.read.text(f"{index.folder}/manifest-{index.version}").first()[0])
         if said["window"] != spec.window or said["gram"] != spec.gram:
             raise ValueError(f"the index was made with windows of {said['window']} and grams of {said['gram']}")
-        index.highest, index.asked = said["highest"], said["asked"]
+        index.highest, index.asked, index.buckets = said["highest"], said["asked"], said["buckets"]
         index.runs = [(spark.read.schema(JUDGED_DDL).parquet(f"{index.folder}/{name}"), f"{index.folder}/{name}") for name in said["runs"]]
         return index
 
@@ -126,17 +128,26 @@ class FingerprintIndex:
         return sorted(int(f.getPath().getParent().getName().split("-")[1]) for f in found)
 
     def _commit(self, runs: list[tuple[DataFrame, str]], highest: int | None) -> None:
-        said = json.dumps({"runs": [path.rsplit("/", 1)[1] for _, path in runs], "asked": self.asked, "highest": highest, "window": self.spec.window, "gram": self.spec.gram})
+        said = json.dumps({"buckets": self.buckets, "runs": [path.rsplit("/", 1)[1] for _, path in runs], "asked": self.asked, "highest": highest, "window": self.spec.window, "gram": self.spec.gram})
         self.spark.createDataFrame([(said,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/manifest-{self.version + 1}")
         before, self.version = self.version, self.version + 1
         self.runs, self.highest = runs, highest
         drop_path(self.spark, f"{self.folder}/manifest-{before}")
 
     def history(self) -> list[DataFrame]:
-        """The runs' entries in the form that map tasks send: fingerprints, and marks of hot keys."""
+        """The runs' entries in the form that map tasks send: fingerprints, and marks of hot keys. Spark knows each as a table in buckets of sorted keys."""
         kind = F.when(F.col("kind") == MARK, MARK).otherwise(HISTORY)
         meta = F.shiftleft(F.col("place"), PLACE_AT).bitwiseOR(F.shiftleft(kind.cast("bigint"), KIND_AT)).bitwiseOR(F.col("run").cast("bigint"))
-        return [run.where(F.col("kind").isin(ANCHOR, MARK)).select("key", "ctx", "doc", meta.alias("meta")) for run, _ in self.runs]
+        return [self._bucketed(path).where(F.col("kind").isin(ANCHOR, MARK)).select("key", "ctx", "doc", meta.alias("meta")) for _, path in self.runs]
+
+    def _bucketed(self, path: str) -> DataFrame:
+        """A run as a bucketed table; a session that hasn't written it makes it known first."""
+        name = path.rsplit("/", 1)[1]
+        if not self.spark.catalog.tableExists(name):
+            columns = ", ".join(c.strip() for c in JUDGED_DDL.split(",") if not c.strip().startswith("kind "))
+            self.spark.sql(f"CREATE TABLE {name} ({columns}, kind TINYINT) USING parquet PARTITIONED BY (kind) CLUSTERED BY (key) SORTED BY (key) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+            self.spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+        return self.spark.table(name)
 
     def ingest(self, docs: DataFrame) -> DataFrame:
         """Judge a batch (doc_id, text; ids not null), all of whose ids are beyond those ingested; returns repeats and verification requests."""
@@ -145,8 +156,14 @@ class FingerprintIndex:
             raise ValueError(f"the batch starts at {ids[0]}, but ids up to {self.highest} are in the index")
         if len(self.runs) >= self.fanout:
             self.compact()
-        rows = reduce(DataFrame.unionByName, self.history(), docs.mapInArrow(sent_by_map(self.spec), SENT_DDL))
-        run = self._run(by_key(rows).mapInArrow(judged_by_key(self.spec, keep_new=True), JUDGED_DDL))
+        rows, sent = docs.mapInArrow(sent_by_map(self.spec), SENT_DDL), None
+        if self.runs:
+            rows, sent = written(rows, "sent")  # read twice: for its keys, and whole
+            keys = rows.select("key").distinct()
+            rows = reduce(DataFrame.unionByName, (known.join(keys, "key", "left_semi") for known in self.history()), rows)
+        run = self._run(self._dealt(rows).mapInArrow(judged_by_key(self.spec, keep_new=True), JUDGED_DDL))
+        if sent:
+            drop_path(self.spark, sent)
         self.asked = [*self.asked, run[1].rsplit("/", 1)[1]]
         self._commit([*self.runs, run], self.highest if ids[1] is None else ids[1])
         return run[0].where(F.col("kind").isin(COVERED, REQUEST)).drop("ctx")
@@ -169,7 +186,7 @@ class FingerprintIndex:
 
     def compact(self) -> None:
         """Merge all runs into one: each fingerprint once, by its smallest document."""
-        rows = by_key(reduce(DataFrame.unionByName, (run.where(F.col("kind").isin(ANCHOR, MARK)) for run, _ in self.runs)))
+        rows = self._dealt(reduce(DataFrame.unionByName, (run.where(F.col("kind").isin(ANCHOR, MARK)) for run, _ in self.runs)))
 
         def once(batches):
             names = [f.name for f in JUDGED]
@@ -196,11 +213,20 @@ class FingerprintIndex:
 
     def _forget(self, runs: list[tuple[DataFrame, str]]) -> None:
         for _, path in runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {path.rsplit('/', 1)[1]}")  # Spark's knowledge of it alone: its verdicts stay
             for kind in (ANCHOR, MARK):
                 drop_path(self.spark, f"{path}/kind={kind}")
 
     def _run(self, rows: DataFrame) -> tuple[DataFrame, str]:
-        return written(rows.sortWithinPartitions("kind", "key"), "run", by="kind", folder=self.folder)
+        name = f"run_{uuid.uuid4().hex}"
+        path = f"{self.folder}/{name}"
+        with shuffles_freed(self.spark):
+            rows.write.format("parquet").partitionBy("kind").bucketBy(self.buckets, "key").sortBy("key").option("path", path).saveAsTable(name)
+        return self.spark.read.schema(JUDGED_DDL).parquet(path), path
+
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """Dealt by key as the buckets are, and sorted."""
+        return rows.repartition(self.buckets, "key").sortWithinPartitions("key")
 
 
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
