@@ -56,7 +56,7 @@ def test_a_long_dialogue_is_one_row_a_participant(spark):
 @pytest.mark.parametrize("name", [n for n, e in REGISTRY.items() if e.oracle is not None])
 def test_oracles(spark, sf, name):
     db = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations", "labels"):
+    for t in ("documents", "benchmark", "conversations", "labels", "embeddings"):
         db.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     df = REGISTRY[name].run(spark, sf)
     want = db.sql(REGISTRY[name].oracle)
