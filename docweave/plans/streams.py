@@ -68,7 +68,7 @@ def stream_predecessors(spark: SparkSession, sf_dir: str) -> DataFrame:
     for batch in arrivals(spark, sf_dir):
         batch.write.mode("append").parquet(f"{scratch}/in")
         turns = slots.files(spark, f"{scratch}/in", batch.schema, per_trigger=1_000_000)
-        out = slots.run_to_end(slots.followed(turns, 24 * 3_600_000, "2 days"), f"{scratch}/out", f"{scratch}/state")
+        out = slots.run_to_end(slots.followed(turns, 24 * 3_600_000, "2 days"), f"{scratch}/out", f"{scratch}/state", partitions=spark.sparkContext.defaultParallelism)
     return out.where("conv_id >= 0")
 
 

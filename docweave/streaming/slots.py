@@ -35,9 +35,13 @@ def files(spark: SparkSession, path: str, schema, per_trigger: int = 8) -> DataF
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
-def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Process what is there now into Parquet under ``path`` and read it back. Exactly once, by the checkpoint."""
-    with setting(stream.sparkSession, STATE_STORE, ROCKS):
+def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", partitions: int | None = None) -> DataFrame:
+    """Process what is there now into Parquet under ``path`` and read it back. Exactly once, by the checkpoint.
+
+    partitions: of the state, fixed by the first run on a checkpoint; the session's shuffle partitions unless given.
+    """
+    spark = stream.sparkSession
+    with setting(spark, STATE_STORE, ROCKS), setting(spark, "spark.sql.shuffle.partitions", str(partitions or spark.conf.get("spark.sql.shuffle.partitions"))):
         query = stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
@@ -64,15 +68,23 @@ class Predecessors(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "turn bigint")
+        self.at = handle.getValueState("at", "last bigint, held bigint, recent array<bigint>")
         self.waiting = handle.getListState("waiting", "turn bigint, size bigint, at_ms bigint")
-        self.sizes = handle.getListState("recent", "size bigint")
 
-    def _let_out(self, key: tuple, turns: list[tuple[int, int, str]]) -> Iterator[pd.DataFrame]:
-        """Rows of turns (turn, size, status) in order; only those that are out count as recent."""
-        if not turns:
-            return
-        sizes = [s for (s,) in self.sizes.get()] if self.sizes.exists() else []
+    def _known(self) -> tuple[int | None, dict[int, tuple[int, int]], list[int]]:
+        """The last turn that is out, the turns that wait, and the sizes of the last turns. Each call to the state store costs a round trip, so the list is read only if it holds something."""
+        last, held, recent = self.at.get() or (None, 0, [])
+        return last, {t: (size, at) for t, size, at in self.waiting.get()} if held else {}, list(recent)
+
+    def _keep(self, before: dict[int, tuple[int, int]], last: int | None, held: dict[int, tuple[int, int]], recent: list[int]) -> None:
+        self.at.update((last, len(held), recent))
+        if held and held != before:
+            self.waiting.put([(t, size, at) for t, (size, at) in sorted(held.items())])
+        elif before and not held:
+            self.waiting.clear()
+
+    def _let_out(self, key: tuple, turns: list[tuple[int, int, str]], sizes: list[int]) -> tuple[pd.DataFrame, list[int]]:
+        """Rows of turns (turn, size, status) in order, and the sizes of the last ones; only those that are out count as recent."""
         recent: list[int | None] = []
         for _, size, status in turns:
             if status == "repeated":
@@ -80,9 +92,7 @@ class Predecessors(StatefulProcessor):
                 continue
             sizes = (sizes + [size])[-self.n_recent :]
             recent.append(sum(sizes))
-        if sizes:
-            self.sizes.put([(s,) for s in sizes])
-        yield pd.DataFrame({"conv_id": key[0], "turn": [t for t, _, _ in turns], "status": [s for _, _, s in turns], "recent": pd.array(recent, dtype="Int64")})
+        return pd.DataFrame({"conv_id": key[0], "turn": [t for t, _, _ in turns], "status": [s for _, _, s in turns], "recent": pd.array(recent, dtype="Int64")}), sizes
 
     def _drain(self, last: int | None, held: dict[int, tuple[int, int]], out: list, force: bool) -> int | None:
         """Let go what follows, and with force whatever waits."""
@@ -94,18 +104,9 @@ class Predecessors(StatefulProcessor):
             last = turn
         return last
 
-    def _keep(self, last: int | None, held: dict[int, tuple[int, int]]) -> None:
-        if last is not None:
-            self.last.update((last,))
-        if held:
-            self.waiting.put([(t, size, at) for t, (size, at) in sorted(held.items())])
-        elif self.waiting.exists():
-            self.waiting.clear()
-
     def handleInputRows(self, key, rows, timerValues):
-        last = self.last.get()[0] if self.last.exists() else None
-        held = {t: (size, at) for t, size, at in self.waiting.get()} if self.waiting.exists() else {}
-        out: list[tuple[int, int, str]] = []
+        last, held, sizes = self._known()
+        before, out = dict(held), []
         frame = pd.concat(list(rows)).sort_values("turn", kind="stable")
         for turn, size, at in zip(frame["turn"], frame["size"], frame["at_ms"], strict=True):
             turn, size, at = int(turn), int(size), int(at)
@@ -113,26 +114,27 @@ class Predecessors(StatefulProcessor):
                 out.append((turn, size, "repeated"))
                 continue
             held[turn] = (size, at)
-            before = len(held)
             last = self._drain(last, held, out, force=False)
             if len(held) > self.n_waiting:
                 first = min(held)
                 out.append((first, held.pop(first)[0], "orphan"))
                 last = self._drain(first, held, out, force=False)
-            elif len(held) == before:
-                self.handle.registerTimer(at + self.wait_ms)
-        self._keep(last, held)
-        yield from self._let_out(key, out)
+        for turn in held.keys() - before.keys():
+            self.handle.registerTimer(held[turn][1] + self.wait_ms)
+        found, sizes = self._let_out(key, out, sizes)
+        self._keep(before, last, held, sizes)
+        if out:
+            yield found
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        held = {t: (size, at) for t, size, at in self.waiting.get()} if self.waiting.exists() else {}
+        last, held, sizes = self._known()
         if not any(at + self.wait_ms <= expiredTimerInfo.getExpiryTimeInMs() for _, at in held.values()):
             return
-        last = self.last.get()[0] if self.last.exists() else None
-        out: list[tuple[int, int, str]] = []
+        before, out = dict(held), []
         last = self._drain(last, held, out, force=True)
-        self._keep(last, held)
-        yield from self._let_out(key, out)
+        found, sizes = self._let_out(key, out, sizes)
+        self._keep(before, last, held, sizes)
+        yield found
 
 
 def followed(turns: DataFrame, wait_ms: int, late: str, recent: int = RECENT) -> DataFrame:
