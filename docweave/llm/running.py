@@ -65,7 +65,7 @@ def running(df: DataFrame, key: str, order: Sequence[str | Column], sums: Sequen
             yield pa.RecordBatch.from_arrays([*held.columns[:-1], pa.array(last)], names=schema.names)
 
     scanned, path = written(df.repartitionByRange(F.col(key), *order).sortWithinPartitions(F.col(key), *order).mapInArrow(scan, schema), label)
-    ends = sorted(tuple(r) for r in scanned.where("edge").select("range_no", key, "place", *(f"sum_{s}" for s in names)).toLocalIterator())
+    ends = sorted(tuple(r) for r in scanned.where("edge").select("range_no", key, "place", *(f"sum_{s}" for s in names)).collect())  # a row a task
     offsets, so_far = [], [0] * (1 + len(names))
     for k, (_, own, *totals) in enumerate(ends[:-1]):
         so_far = [a + b for a, b in zip(so_far, totals, strict=True)] if k and ends[k - 1][1] == own else list(totals)
