@@ -128,7 +128,7 @@ def _round(vectors: DataFrame, books: np.ndarray) -> np.ndarray:
     each = vectors.select("v").mapInArrow(run, "part bigint, entry bigint, n bigint, sums array<bigint>")
     total = lambda i: F.sum(F.get("sums", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}")
     after = books.copy()
-    for r in each.groupBy("part", "entry").agg(F.sum("n").alias("n"), *map(total, range(width))).toLocalIterator():
+    for r in each.groupBy("part", "entry").agg(F.sum("n").alias("n"), *map(total, range(width))).collect():  # at most PARTS * ENTRIES rows
         after[r["part"], r["entry"]] = [int(r[f"s{i}"]) // r["n"] for i in range(width)]
     return after
 
