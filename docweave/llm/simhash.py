@@ -21,10 +21,13 @@ cast error.
 
 Fingerprints of 3 words and 2 bits are op9's contract. The pipeline's stage asks for
 more (``near_duplicates``): documents whose sets of 5-word shingles have a
-Jaccard similarity of ``SIMILARITY`` or more. Their fingerprints differ in up to 11
-bits and more, so candidates come from MinHash bands instead, and each is
-confirmed on the whole sets. A pair at the threshold shares none of the bands
-with a chance of 5e-9, a closer pair with less.
+Jaccard similarity of ``SIMILARITY`` or more. At the threshold one bit in 6.6 differs,
+so the stage's fingerprints are wider: ``STAGE_SEGMENTS`` segments of
+``STAGE_BITS`` bits, each with a table, looked up by the ball of radius 1. What
+they lead to is confirmed on the whole sets. Segments that all differ in two bits
+or more hide a pair, so what the tables leave in several components is met again
+by MinHash bands (a pair at the threshold shares none with a chance of 5e-9, a
+closer pair with less) and then by an exact join.
 """
 
 from __future__ import annotations
@@ -58,6 +61,13 @@ PERMUTE = _DRAW.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.ui
 BAND_KEY = _DRAW.integers(0, 1 << 63, (BANDS, BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Hashes are permuted in blocks of so many, texts taken so many at a time.
 PERMUTE_BLOCK, STAGE_ROWS = 256, 128
+#: The stage's fingerprint: segments, bits of each, and the words of 64 bits that hold them and one further word.
+STAGE_SEGMENTS, STAGE_BITS, STAGE_WORDS = 8, 24, 4
+#: Odd factors give the words their own hashes; byte lanes count so many bits without a carry.
+WORD_HASH = _DRAW.integers(0, 1 << 63, STAGE_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+LANE_BLOCK = 255
+#: Last words, of which no segment is cut, that differ in more bits of 64 are no candidates: a pair at the threshold differs in 10, in more than 20 with a chance of 4e-4.
+WORD_RADIUS = 20
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -151,7 +161,26 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return (least.reshape(BANDS, BAND_ROWS) * BAND_KEY).sum(axis=1, dtype=np.uint64)
 
 
-BANDED = pa.schema([("doc_id", pa.int64()), ("mark", pa.binary()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
+def stage_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """The stage's bits (0 or 1): bit j of a word is 1 if it is set in more than half of the shingles' hashes for that word."""
+    hashes = np.multiply.outer(shingles, WORD_HASH)
+    hashes ^= hashes >> np.uint64(32)
+    hashes *= WORD_HASH
+    counts = np.zeros(64 * STAGE_WORDS, np.int64)
+    for k in range(0, len(hashes), LANE_BLOCK):
+        bits = np.unpackbits(hashes[k : k + LANE_BLOCK].view(np.uint8), axis=1, bitorder="little")
+        counts += bits.view(np.uint64).sum(axis=0, dtype=np.uint64).view(np.uint8)
+    return (2 * counts > len(shingles)).astype(np.uint8)
+
+
+def segment_values(bits: np.ndarray) -> np.ndarray:
+    """Each segment's value, with the segment's number above it."""
+    values = bits[: STAGE_SEGMENTS * STAGE_BITS].reshape(STAGE_SEGMENTS, STAGE_BITS).astype(np.int64) @ (1 << np.arange(STAGE_BITS, dtype=np.int64))
+    return values + (np.arange(STAGE_SEGMENTS) << STAGE_BITS)
+
+
+BANDED = pa.schema([("doc_id", pa.int64()), ("mark", pa.binary()), ("fp", pa.int64()), ("word", pa.int64()), ("segments", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
+BANDED_SQL = "doc_id bigint, mark binary, fp bigint, word bigint, segments array<bigint>, keys array<bigint>"
 SETS = pa.schema([("fp", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 signed = lambda values: np.array(values, np.uint64).view(np.int64)
 
@@ -159,7 +188,11 @@ signed = lambda values: np.array(values, np.uint64).view(np.int64)
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, STAGE_ROWS):
         sets = [shingle_set(t) for t in b.column("text").to_pylist()]
-        yield rows_out({"doc_id": b.column("doc_id"), "mark": b.column("mark"), "fp": signed([set_print(s) for s in sets]), "keys": [signed(band_keys(s)) for s in sets]}, BANDED)
+        bits = [stage_fingerprint(s) for s in sets]
+        words = np.packbits(np.array(bits)[:, -64:], axis=1, bitorder="little").view(np.int64)[:, 0]
+        # The empty set is one entry and similar to no other.
+        segments = [segment_values(f) if len(s) else [] for f, s in zip(bits, sets)]
+        yield rows_out({"doc_id": b.column("doc_id"), "mark": b.column("mark"), "fp": signed([set_print(s) for s in sets]), "word": words, "segments": segments, "keys": [signed(band_keys(s)) for s in sets]}, BANDED)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,6 +201,29 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows_out({"fp": signed([set_print(s) for s in sets]), "shingles": [signed(s) for s in sets]}, SETS)
 
 
+def segment_pairs(nodes: DataFrame) -> DataFrame:
+    """Candidates (u, v) by multi-index hashing of a table (fp, word, segments).
+
+    As in ``links``, but a value's entry in the table is the least set that has it,
+    so that a large group meets one set and not each other.
+    """
+    entries = nodes.select("fp", "word", F.explode("segments").alias("value"))
+    held = entries.groupBy("value").agg(F.min("fp").alias("least"), F.min_by("word", "fp").alias("least_word"))
+    bits = F.sequence(F.lit(0), F.lit(STAGE_BITS - 1))
+    ball = F.transform(bits, lambda k: F.col("value").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), k)))
+    ask = entries.select("fp", "word", F.explode(F.array_distinct(F.concat(F.array("value"), ball))).alias("value"))
+    close = F.bit_count(F.col("word").bitwiseXOR(F.col("least_word"))) <= WORD_RADIUS
+    met = ask.alias("a").join(held.hint("shuffle_hash").alias("b"), (F.col("a.value") == F.col("b.value")) & (F.col("fp") != F.col("least")) & close)
+    return met.select(F.greatest("fp", "least").alias("u"), F.least("fp", "least").alias("v")).distinct()
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose ends lie in different components, by a table (node, root)."""
+    of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    both = pairs.distinct().join(of("u"), "u", "left").join(of("v"), "v", "left")
+    return both.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v) of sets (fp, shingles) that are similar enough, counted on the whole sets."""
     part, whole = SIMILARITY
@@ -207,28 +263,32 @@ def rare_shingles(sets: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def set_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links (u, v) between the sets of a table (fp, keys, node); all sets of a component stay connected.
-
-    First each set meets the least one of each of its buckets. Sets of a bucket
-    that this leaves in several components go on to an exact join by rare
-    shingles: there again each set meets the least set of each of its shingles,
-    and then those of other components that share a shingle of the prefix and
-    can still reach the similarity from its place. So a large group of copies is
-    never listed pair by pair and no pair is left out.
+    """Links (u, v) between the sets of a table (fp, word, segments, keys, node); all sets of a component stay connected.
+
+    First each set meets what its fingerprint's segments lead to. Where that
+    leaves the sets of a MinHash bucket in several components, each meets the
+    bucket's least one. Sets of a bucket that are still in several go on to an
+    exact join by rare shingles: there again each set meets the least set of each
+    of its shingles, and then those of other components that share a shingle of
+    the prefix and can still reach the similarity from its place. So a large group
+    of copies is never listed pair by pair and no pair is left out.
     """
     part, whole = SIMILARITY
+    met, met_path = written(segment_pairs(nodes), "met")
     keyed = nodes.select("fp", F.explode("keys").alias("key"))
     shared, shared_path = written(met_least(keyed, "key"), "buckets")
-    wanted = shared.select("fp").distinct().join(nodes, "fp").select(F.col("node").alias("doc_id")).distinct()
+    wanted = shared.select("fp").union(met.select("u")).union(met.select("v")).distinct().join(nodes, "fp").select(F.col("node").alias("doc_id")).distinct()
     sets, sets_path = written(documents(docs).join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "fp bigint, shingles array<bigint>").dropDuplicates(["fp"]), "sets")
-    first = shared.where("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v"))
-    first, first_path = written(confirmed(first, sets), "links")
+    near, near_path = written(confirmed(met, sets), "links")
+    by_print, by_print_path = components(near)
+    first = apart(shared.where("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v")), by_print)
+    first, first_path = written(near.unionByName(confirmed(first, sets)), "links")
     roots, roots_path = components(first)
     left = shared.where("size > 2").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
     mixed = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     left = left.join(mixed, "key", "left_semi").select("fp").distinct()
     rare, rare_path = written(rare_shingles(sets, left), "rare")
-    star = met_least(rare, "shingle").where("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v"))
+    star = apart(met_least(rare, "shingle").where("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v")), roots)
     star, star_path = written(confirmed(star, sets), "links")
     joined, joined_path = components(first.unionByName(star))
     open_ = rare.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -238,15 +298,15 @@ def set_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     meet = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.fp") > F.col("b.fp")) & (F.col("a.root") != F.col("b.root")) & ((part + whole) * reach >= part * (F.col("a.n") + F.col("b.n")))
     rest = a.join(b, meet).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
     links, _ = written(first.unionByName(star).unionByName(confirmed(rest, sets)), "links")
-    for path in (shared_path, sets_path, first_path, roots_path, rare_path, star_path, joined_path, open_path):
+    for path in (met_path, shared_path, sets_path, near_path, by_print_path, first_path, roots_path, rare_path, star_path, joined_path, open_path):
         drop_path(docs.sparkSession, path)
     return links
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, mark, fp (of the shingle set), group and component_id by the stage's similarity, a row for each row of docs; components that share an id are several groups."""
-    prints, _ = written(documents(docs).withColumn("mark", mark()).mapInArrow(_banded, "doc_id bigint, mark binary, fp bigint, keys array<bigint>"), "bands")
-    nodes, nodes_path = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "nodes")
+    prints, _ = written(documents(docs).withColumn("mark", mark()).mapInArrow(_banded, BANDED_SQL), "bands")
+    nodes, nodes_path = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("word", "segments", "keys"))), "nodes")
     # Sets are linked under their own names, as ids may repeat; the component's id is its least document's.
     roots, _ = components(set_links(docs, nodes.where(F.col("node").isNotNull())))
     labels = nodes.select("fp", "node").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "node", F.coalesce("root", "fp").alias("root"))

@@ -348,6 +348,38 @@ def test_stage_keeps_one_of_each_similar_group(spark, sf):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in root if top(i) == i)
 
 
+def near_copies(seed, n, edits, count):
+    """Texts of n words that differ from one text in so many words each."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{k}" for k in rng.integers(0, 10**6, n)]
+    hits = [set(rng.integers(0, n, edits).tolist()) for _ in range(count)]
+    return [" ".join(w if k not in hit else f"x{c}" for k, w in enumerate(base)) for c, hit in enumerate(hits)]
+
+
+def test_stage_meets_near_copies_by_fingerprint_segments(spark):
+    """Segments at most a bit apart lead to the least set of the value; nothing else does, and near copies meet that way."""
+    texts = [t.encode() for s in range(60) for t in near_copies(s, 200, 1, 2)] + [f"alone {k} {k * k} {k + 7} end".encode() for k in range(60)]
+    sets = [simhash.shingle_set(t) for t in texts]
+    bits = [simhash.stage_fingerprint(s) for s in sets]
+    values = [simhash.segment_values(b).tolist() for b in bits]
+    words = [int.from_bytes(np.packbits(b[-64:], bitorder="little").tobytes(), "little", signed=True) for b in bits]
+    rows = list(enumerate(words)), values
+    nodes = spark.createDataFrame([(k, w, v) for (k, w), v in zip(*rows)], "fp bigint, word bigint, segments array<bigint>")
+    least = {}
+    for k, row in enumerate(values):
+        for v in row:
+            least.setdefault(v, k)
+    want = set()
+    for k, row in enumerate(values):
+        for v in row:
+            for near in {v, *(v | 1 << b for b in range(simhash.STAGE_BITS))} & least.keys():
+                if least[near] != k and ((words[k] ^ words[least[near]]) & (1 << 64) - 1).bit_count() <= simhash.WORD_RADIUS:
+                    want.add((max(k, least[near]), min(k, least[near])))
+    got = {tuple(r) for r in simhash.segment_pairs(nodes).collect()}
+    assert got == want
+    assert sum((k + 1, k) in got for k in range(0, 120, 2)) >= 50
+
+
 @pytest.mark.parametrize("groups", [simhash.fingerprint_groups, simhash.near_duplicates])
 def test_rows_that_share_an_id_are_judged_by_their_own_text(spark, groups):
     copied, other, third = (" ".join(f"{c}{k}" for k in range(40)) for c in "abc")
