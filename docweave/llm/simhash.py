@@ -59,6 +59,8 @@ _DRAW = np.random.default_rng(SEED)
 #: Odd factors permute the 64-bit hashes; a band's key is a sum of products with its own factors.
 PERMUTE = _DRAW.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BAND_KEY = _DRAW.integers(0, 1 << 63, (BANDS, BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Words of 64 bits of a set's parities, by which the exact join bounds how much two sets can have in common.
+PARITY_WORDS = 16
 #: Hashes are permuted in blocks of so many, texts taken so many at a time.
 PERMUTE_BLOCK, STAGE_ROWS = 256, 128
 #: The stage's fingerprint: segments, bits of each, and the words of 64 bits that hold them and one further word.
@@ -161,6 +163,12 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return (least.reshape(BANDS, BAND_ROWS) * BAND_KEY).sum(axis=1, dtype=np.uint64)
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Bit k is 1 if an odd number of shingles falls to k. Two sets' bits differ in no more places than the sets have shingles apart."""
+    odd = np.bincount((shingles % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def stage_fingerprint(shingles: np.ndarray) -> np.ndarray:
     """The stage's bits (0 or 1): bit j of a word is 1 if it is set in more than half of the shingles' hashes for that word."""
     hashes = np.multiply.outer(shingles, WORD_HASH)
@@ -181,7 +189,7 @@ def segment_values(bits: np.ndarray) -> np.ndarray:
 
 BANDED = pa.schema([("doc_id", pa.int64()), ("mark", pa.binary()), ("fp", pa.int64()), ("word", pa.int64()), ("segments", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
 BANDED_SQL = "doc_id bigint, mark binary, fp bigint, word bigint, segments array<bigint>, keys array<bigint>"
-SETS = pa.schema([("fp", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+SETS = pa.schema([("fp", pa.int64()), ("shingles", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))])
 signed = lambda values: np.array(values, np.uint64).view(np.int64)
 
 
@@ -198,7 +206,7 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, STAGE_ROWS):
         sets = [shingle_set(t) for t in b.column("text").to_pylist()]
-        yield rows_out({"fp": signed([set_print(s) for s in sets]), "shingles": [signed(s) for s in sets]}, SETS)
+        yield rows_out({"fp": signed([set_print(s) for s in sets]), "shingles": [signed(s) for s in sets], "parity": [parities(s) for s in sets]}, SETS)
 
 
 def segment_pairs(nodes: DataFrame) -> DataFrame:
@@ -262,6 +270,33 @@ def rare_shingles(sets: DataFrame, wanted: DataFrame) -> DataFrame:
     return prefix.select("fp", "n", F.col("s.shingle").alias("shingle"), (F.col("alone") + F.col("k")).alias("at"))
 
 
+def sides(rare: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of ``rare_shingles`` whose shingle lies in several components, with root and parity, and main: whether the shingle's largest component holds the set."""
+    rows = rare.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    each = rows.groupBy("shingle", "root").agg(F.count("*").alias("of_root"))
+    several = each.groupBy("shingle").agg(F.max_by("root", "of_root").alias("largest"), F.count("*").alias("n_roots")).where("n_roots > 1")
+    rows = rows.join(several, "shingle").join(sets.select("fp", "parity"), "fp")
+    return rows.select("fp", "n", "shingle", "at", "root", "parity", (F.col("root") == F.col("largest")).alias("main"))
+
+
+def still_apart(rows: DataFrame) -> DataFrame:
+    """Candidates (u, v): sets of different components that share a shingle of the prefix and can be similar enough.
+
+    A shingle's largest component isn't joined with itself, only the other sets with
+    it and with each other. Two bounds, neither of which leaves out a pair, are part
+    of the join: the shingles from here on, if this is the first in common, and the
+    parities, which tell how many the sets have apart at least.
+    """
+    part, whole = SIMILARITY
+    a, b = rows.where("not main").alias("a"), rows.alias("b")
+    both = F.col("a.n") + F.col("b.n")
+    reach = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
+    differ = sum((F.bit_count(F.col("a.parity")[k].bitwiseXOR(F.col("b.parity")[k])) for k in range(PARITY_WORDS)), F.lit(0))
+    once = F.col("b.main") | (F.col("a.fp") > F.col("b.fp"))
+    meet = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.root") != F.col("b.root")) & once & ((part + whole) * reach >= part * both) & ((part + whole) * differ <= (whole - part) * both)
+    return a.join(b, meet).select(F.greatest("a.fp", "b.fp").alias("u"), F.least("a.fp", "b.fp").alias("v"))
+
+
 def set_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links (u, v) between the sets of a table (fp, word, segments, keys, node); all sets of a component stay connected.
 
@@ -273,12 +308,11 @@ def set_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     the prefix and can still reach the similarity from its place. So a large group
     of copies is never listed pair by pair and no pair is left out.
     """
-    part, whole = SIMILARITY
     met, met_path = written(segment_pairs(nodes), "met")
     keyed = nodes.select("fp", F.explode("keys").alias("key"))
     shared, shared_path = written(met_least(keyed, "key"), "buckets")
     wanted = shared.select("fp").union(met.select("u")).union(met.select("v")).distinct().join(nodes, "fp").select(F.col("node").alias("doc_id")).distinct()
-    sets, sets_path = written(documents(docs).join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "fp bigint, shingles array<bigint>").dropDuplicates(["fp"]), "sets")
+    sets, sets_path = written(documents(docs).join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "fp bigint, shingles array<bigint>, parity array<bigint>").dropDuplicates(["fp"]), "sets")
     near, near_path = written(confirmed(met, sets), "links")
     by_print, by_print_path = components(near)
     first = apart(shared.where("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v")), by_print)
@@ -291,12 +325,8 @@ def set_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     star = apart(met_least(rare, "shingle").where("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v")), roots)
     star, star_path = written(confirmed(star, sets), "links")
     joined, joined_path = components(first.unionByName(star))
-    open_ = rare.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    open_, open_path = written(open_, "open")
-    a, b = open_.alias("a"), open_.alias("b")
-    reach = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))  # shingles from here on, if this is the first in common
-    meet = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.fp") > F.col("b.fp")) & (F.col("a.root") != F.col("b.root")) & ((part + whole) * reach >= part * (F.col("a.n") + F.col("b.n")))
-    rest = a.join(b, meet).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+    open_, open_path = written(sides(rare, joined, sets), "open")
+    rest = still_apart(open_)
     links, _ = written(first.unionByName(star).unionByName(confirmed(rest, sets)), "links")
     for path in (met_path, shared_path, sets_path, near_path, by_print_path, first_path, roots_path, rare_path, star_path, joined_path, open_path):
         drop_path(docs.sparkSession, path)

@@ -380,6 +380,20 @@ def test_stage_meets_near_copies_by_fingerprint_segments(spark):
     assert sum((k + 1, k) in got for k in range(0, 120, 2)) >= 50
 
 
+def test_exact_join_of_sets_apart_leaves_out_no_pair_and_lists_few(spark):
+    """A group of near copies, most of whose pairs are just not similar enough: each a component of its own."""
+    sets = [simhash.shingle_set(t.encode()) for t in near_copies(5, 150, 2, 120)]
+    part, whole = simhash.SIMILARITY
+    similar = {(b, a) for a in range(120) for b in range(a + 1, 120) if (part + whole) * len(np.intersect1d(sets[a], sets[b])) >= part * (len(sets[a]) + len(sets[b]))}
+    assert 50 < len(similar) < 1500
+    rows = [(k, s.view(np.int64).tolist(), simhash.parities(s).tolist()) for k, s in enumerate(sets)]
+    table_ = spark.createDataFrame(rows, "fp bigint, shingles array<bigint>, parity array<bigint>")
+    none = spark.createDataFrame([], "node bigint, root bigint")
+    met = [tuple(r) for r in simhash.still_apart(simhash.sides(simhash.rare_shingles(table_, table_.select("fp")), none, table_)).collect()]
+    assert similar <= set(met)
+    assert len(set(met)) < 120 * 119 // 2 // 2
+
+
 @pytest.mark.parametrize("groups", [simhash.fingerprint_groups, simhash.near_duplicates])
 def test_rows_that_share_an_id_are_judged_by_their_own_text(spark, groups):
     copied, other, third = (" ".join(f"{c}{k}" for k in range(40)) for c in "abc")
