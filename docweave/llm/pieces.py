@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,17 +48,23 @@ CHUNK = re.compile(r"\n| *[^ \n]+| +")
 U64 = np.uint64
 MASK = (1 << 64) - 1
 BITMAP_BITS = 22
-
-
-def last_at_most(share: np.ndarray, lo: np.ndarray, hi: np.ndarray, u: np.ndarray, near: np.ndarray) -> np.ndarray:
-    """For each draw u the last edge of lo .. hi - 1 whose share is at most u, looked for from ``near``. Shares rise within a range; the first edge's is 0."""
-    at = np.clip(near, lo, hi - 1)
-    while (off := np.flatnonzero(share[at] > u)).size:
-        at[off] -= 1
-    ahead = np.flatnonzero(at + 1 < hi)
-    while (ahead := ahead[share[at[ahead] + 1] <= u[ahead]]).size:
-        at[ahead] += 1
-        ahead = ahead[at[ahead] + 1 < hi[ahead]]
+#: Leading bits of a hash that lead to its place among the vocabulary's.
+FIRST_BITS = 18
+
+
+def last_at_most(share: np.ndarray, lo: np.ndarray, hi: np.ndarray, u: np.ndarray, near: np.ndarray | None = None) -> np.ndarray:
+    """For each draw u the last edge of lo .. hi - 1 whose share is at most u, by bisection, from ``near`` on where that isn't beyond it. Shares rise within a range; the first edge's is 0."""
+    at = lo.copy()
+    if near is not None:
+        near = np.clip(near, lo, hi - 1)
+        at = np.where(share[near] <= u, near, at)
+    step = 1 << int((hi - at).max(initial=0)).bit_length() >> 1
+    while step:
+        probe = at + step
+        inside = np.flatnonzero(probe < hi)
+        on = inside[share[probe[inside]] <= u[inside]]
+        at[on] += step
+        step >>= 1
     return at
 
 
@@ -148,15 +155,28 @@ class Codec:
         self.hashes, self.ids, self.lengths = hashes[order], np.array(ids, np.int64)[order], lengths[order]
         rank = np.maximum(0.0, -np.array([vocab[i][1] for i in ids]))[order]
         self.weights = -theta * np.log1p(rank)
+        self.first = np.searchsorted(self.hashes, np.arange(1 << FIRST_BITS, dtype=U64) << U64(64 - FIRST_BITS))
         self.bitmap = np.zeros(1 << BITMAP_BITS, bool)
         self.bitmap[(self.hashes >> U64(64 - BITMAP_BITS)).astype(np.int64)] = True
 
-    def lattice(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def position(self, h: np.ndarray) -> np.ndarray:
+        """Where each hash is among the sorted ones, if it is: looked for from the first that has its leading bits."""
+        end = len(self.hashes) - 1
+        k = np.minimum(self.first[(h >> U64(64 - FIRST_BITS)).astype(np.int64)], end)
+        ahead = np.flatnonzero(self.hashes[k] < h)
+        while len(ahead):
+            k[ahead] += 1
+            ahead = ahead[k[ahead] <= end]
+            ahead = ahead[self.hashes[k[ahead]] < h[ahead]]
+        return np.minimum(k, end)
+
+    def lattice(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The lattices of chunks, which stand in order of falling length.
 
         Nodes are numbered by position and then by chunk. Returns each position's
-        first node, and for edges sorted by end node: start, piece (or -1 - code
-        point), and the key end + share of the end's sum that earlier edges have.
+        first node, for edges sorted by end node start, piece (or -1 - code point) and
+        the share of the end's sum that earlier edges have, each node's first edge
+        and the chunks' lengths.
         """
         lens = np.fromiter(map(len, chunks), np.int64, len(chunks))
         cps = code_points("".join(chunks))
@@ -175,8 +195,9 @@ class Codec:
                 at = at[room[at] >= n]
             h = self.ranges.of(prefix, at, at + n)
             maybe = np.flatnonzero(self.bitmap[(h >> U64(64 - BITMAP_BITS)).astype(np.int64)])
-            k = np.minimum(np.searchsorted(self.hashes, h[maybe]), len(self.hashes) - 1)
-            hit = (self.hashes[k] == h[maybe]) & (self.lengths[k] == n)
+            own = h[maybe]
+            k = self.position(own)
+            hit = (self.hashes[k] == own) & (self.lengths[k] == n)
             found, k = at[maybe[hit]], k[hit]
             edges = [(found, self.ids[k], self.weights[k])]
             if n == 1:
@@ -194,7 +215,7 @@ class Codec:
         start, end, piece, weight = start[order], end[order], piece[order], weight[order]
         total = np.zeros(nodes[-1])
         share = np.empty(len(end))
-        edge_of = np.searchsorted(end, np.arange(nodes[-1] + 1))  # each node's first edge
+        edge_of = np.concatenate([[0], np.cumsum(np.bincount(end, minlength=nodes[-1]))])  # each node's first edge
         for p in range(1, deepest + 1):
             lo, hi = nodes[p], nodes[p + 1]
             a, b = edge_of[lo], edge_of[hi]
@@ -206,33 +227,32 @@ class Codec:
             total[lo:hi] = top + np.log(mass)
             running = np.cumsum(e) - e
             share[a:b] = (running - np.repeat(running[groups], count)) / np.repeat(mass, count)
-        return nodes, start, piece, end, share, edge_of, lens
+        return nodes, start, piece, share, edge_of, lens
 
     def encode(self, texts: list[str], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's ids end."""
-        slots: dict[str, int] = {}
         found = [CHUNK.findall(t) for t in texts]
         per_text = np.fromiter(map(len, found), np.int64, len(found))
-        slot = np.fromiter((slots.setdefault(c, len(slots)) for x in found for c in x), np.int64, int(per_text.sum()))
-        if not len(slot):
+        chunks = list(chain.from_iterable(found))
+        if not chunks:
             return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
-        distinct = list(slots)
+        distinct = list(dict.fromkeys(chunks))
+        slots = dict(zip(distinct, range(len(distinct))))
+        slot = np.fromiter(map(slots.__getitem__, chunks), np.int64, len(chunks))
         by_length = np.argsort([-len(c) for c in distinct], kind="stable")
-        nodes, start, piece, end, share, edge_of, lens = self.lattice([distinct[i] for i in by_length])
+        nodes, start, piece, share, edge_of, lens = self.lattice([distinct[i] for i in by_length])
         rank = np.empty(len(distinct), np.int64)
         rank[by_length] = np.arange(len(distinct))
         chunk = rank[slot]
         ordinal = np.arange(len(slot)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
         row = mix(np.array([k & MASK for k in keys], U64) ^ U64(self.seed * 0x9E3779B97F4A7C15 & MASK))
         stream = mix(np.repeat(row, per_text) + ordinal.astype(U64))
-        key_of_edge = end + share
         node, who = nodes[lens[chunk]] + chunk, np.arange(len(slot))
         n_pieces = np.zeros(len(slot), np.int64)
         drawn: list[tuple[np.ndarray, np.ndarray]] = []
         while len(who):
             u = draws(stream[who], len(drawn))
-            near = np.searchsorted(key_of_edge, node + u, side="right") - 1  # the edge, but for rounding where nodes are many
-            edge = last_at_most(share, edge_of[node], edge_of[node + 1], u, near)
+            edge = last_at_most(share, edge_of[node], edge_of[node + 1], u)
             drawn.append((who, piece[edge]))
             n_pieces[who] += 1
             node = start[edge]

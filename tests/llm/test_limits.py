@@ -103,6 +103,24 @@ def test_last_at_most_is_exact():
         assert (pieces.last_at_most(share, lo, hi, u, near) == want).all()
 
 
+def test_last_at_most_needs_no_hint():
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(1, 40, 300)
+    hi = np.cumsum(sizes)
+    lo = hi - sizes
+    share = np.concatenate([np.concatenate([[0.0], np.sort(rng.integers(0, 9, n - 1) / 9)]) for n in sizes])
+    u = rng.integers(0, 9, 300) / 9
+    want = [b - 1 - int(np.argmax(share[a:b][::-1] <= x)) for a, b, x in zip(lo, hi, u)]
+    assert pieces.last_at_most(share, lo, hi, u).tolist() == want
+
+
+def test_positions_among_the_vocabulary_are_those_of_a_search():
+    codec = pieces.Codec(pieces.vocabulary(pieces.DEFAULT_MODEL))
+    h = np.concatenate([codec.hashes, codec.hashes + np.uint64(1), np.random.default_rng(5).integers(0, 1 << 64, 10_000, dtype=np.uint64), np.array([0, (1 << 64) - 1], np.uint64)])
+    want = np.minimum(np.searchsorted(codec.hashes, h), len(codec.hashes) - 1)
+    assert (codec.position(h) == want).all()
+
+
 def test_columns_named_like_helpers(spark):
     text = "one two three four five six seven eight nine ten " * 8
     names = ["__text", "__TEXT_", "__kept", "__mark", "__id", "mark", "fp", "component_id", "own", "spans"]
