@@ -70,6 +70,8 @@ WORD_HASH = _DRAW.integers(0, 1 << 63, STAGE_WORDS, dtype=np.uint64) * np.uint64
 LANE_BLOCK = 255
 #: Last words, of which no segment is cut, that differ in more bits of 64 are no candidates: a pair at the threshold differs in 10, in more than 20 with a chance of 4e-4.
 WORD_RADIUS = 20
+#: Nor are whole fingerprints that differ in more bits of 256: a pair at the threshold differs in 39, in more than 64 with a chance of 1e-5.
+STAGE_RADIUS = 64
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -187,8 +189,8 @@ def segment_values(bits: np.ndarray) -> np.ndarray:
     return values + (np.arange(STAGE_SEGMENTS) << STAGE_BITS)
 
 
-BANDED = pa.schema([("doc_id", pa.int64()), ("mark", pa.binary()), ("fp", pa.int64()), ("word", pa.int64()), ("segments", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
-BANDED_SQL = "doc_id bigint, mark binary, fp bigint, word bigint, segments array<bigint>, keys array<bigint>"
+BANDED = pa.schema([("doc_id", pa.int64()), ("mark", pa.binary()), ("fp", pa.int64()), ("print", pa.list_(pa.int64())), ("segments", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
+BANDED_SQL = "doc_id bigint, mark binary, fp bigint, print array<bigint>, segments array<bigint>, keys array<bigint>"
 SETS = pa.schema([("fp", pa.int64()), ("shingles", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))])
 signed = lambda values: np.array(values, np.uint64).view(np.int64)
 
@@ -197,10 +199,10 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, STAGE_ROWS):
         sets = [shingle_set(t) for t in b.column("text").to_pylist()]
         bits = [stage_fingerprint(s) for s in sets]
-        words = np.packbits(np.array(bits)[:, -64:], axis=1, bitorder="little").view(np.int64)[:, 0]
+        prints = np.packbits(np.array(bits), axis=1, bitorder="little").view(np.int64)
         # The empty set is one entry and similar to no other.
         segments = [segment_values(f) if len(s) else [] for f, s in zip(bits, sets)]
-        yield rows_out({"doc_id": b.column("doc_id"), "mark": b.column("mark"), "fp": signed([set_print(s) for s in sets]), "word": words, "segments": segments, "keys": [signed(band_keys(s)) for s in sets]}, BANDED)
+        yield rows_out({"doc_id": b.column("doc_id"), "mark": b.column("mark"), "fp": signed([set_print(s) for s in sets]), "print": list(prints), "segments": segments, "keys": [signed(band_keys(s)) for s in sets]}, BANDED)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,19 +212,23 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def segment_pairs(nodes: DataFrame) -> DataFrame:
-    """Candidates (u, v) by multi-index hashing of a table (fp, word, segments).
+    """Candidates (u, v) by multi-index hashing of a table (fp, print, segments).
 
     As in ``links``, but a value's entry in the table is the least set that has it,
-    so that a large group meets one set and not each other.
+    so that a large group meets one set and not each other. The last word's distance
+    is verified in the join, the complete one after it.
     """
-    entries = nodes.select("fp", "word", F.explode("segments").alias("value"))
+    entries = nodes.select("fp", F.col("print")[STAGE_WORDS - 1].alias("word"), F.explode("segments").alias("value"))
     held = entries.groupBy("value").agg(F.min("fp").alias("least"), F.min_by("word", "fp").alias("least_word"))
     bits = F.sequence(F.lit(0), F.lit(STAGE_BITS - 1))
     ball = F.transform(bits, lambda k: F.col("value").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), k)))
     ask = entries.select("fp", "word", F.explode(F.array_distinct(F.concat(F.array("value"), ball))).alias("value"))
     close = F.bit_count(F.col("word").bitwiseXOR(F.col("least_word"))) <= WORD_RADIUS
     met = ask.alias("a").join(held.hint("shuffle_hash").alias("b"), (F.col("a.value") == F.col("b.value")) & (F.col("fp") != F.col("least")) & close)
-    return met.select(F.greatest("fp", "least").alias("u"), F.least("fp", "least").alias("v")).distinct()
+    pairs = met.select(F.greatest("fp", "least").alias("u"), F.least("fp", "least").alias("v")).distinct()
+    side = lambda end: nodes.select(F.col("fp").alias(end), F.col("print").alias(f"of_{end}"))
+    differ = sum((F.bit_count(F.col("of_u")[k].bitwiseXOR(F.col("of_v")[k])) for k in range(STAGE_WORDS)), F.lit(0))
+    return pairs.join(side("u"), "u").join(side("v"), "v").where(differ <= STAGE_RADIUS).select("u", "v")
 
 
 def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -298,7 +304,7 @@ def still_apart(rows: DataFrame) -> DataFrame:
 
 
 def set_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links (u, v) between the sets of a table (fp, word, segments, keys, node); all sets of a component stay connected.
+    """Links (u, v) between the sets of a table (fp, print, segments, keys, node); all sets of a component stay connected.
 
     First each set meets what its fingerprint's segments lead to. Where that
     leaves the sets of a MinHash bucket in several components, each meets the
@@ -336,7 +342,7 @@ def set_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, mark, fp (of the shingle set), group and component_id by the stage's similarity, a row for each row of docs; components that share an id are several groups."""
     prints, _ = written(documents(docs).withColumn("mark", mark()).mapInArrow(_banded, BANDED_SQL), "bands")
-    nodes, nodes_path = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("word", "segments", "keys"))), "nodes")
+    nodes, nodes_path = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("print", "segments", "keys"))), "nodes")
     # Sets are linked under their own names, as ids may repeat; the component's id is its least document's.
     roots, _ = components(set_links(docs, nodes.where(F.col("node").isNotNull())))
     labels = nodes.select("fp", "node").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "node", F.coalesce("root", "fp").alias("root"))

@@ -363,8 +363,8 @@ def test_stage_meets_near_copies_by_fingerprint_segments(spark):
     bits = [simhash.stage_fingerprint(s) for s in sets]
     values = [simhash.segment_values(b).tolist() for b in bits]
     words = [int.from_bytes(np.packbits(b[-64:], bitorder="little").tobytes(), "little", signed=True) for b in bits]
-    rows = list(enumerate(words)), values
-    nodes = spark.createDataFrame([(k, w, v) for (k, w), v in zip(*rows)], "fp bigint, word bigint, segments array<bigint>")
+    prints = [np.packbits(b, bitorder="little").view(np.int64).tolist() for b in bits]
+    nodes = spark.createDataFrame([(k, w, v) for k, (w, v) in enumerate(zip(prints, values))], "fp bigint, print array<bigint>, segments array<bigint>")
     least = {}
     for k, row in enumerate(values):
         for v in row:
@@ -373,7 +373,7 @@ def test_stage_meets_near_copies_by_fingerprint_segments(spark):
     for k, row in enumerate(values):
         for v in row:
             for near in {v, *(v | 1 << b for b in range(simhash.STAGE_BITS))} & least.keys():
-                if least[near] != k and ((words[k] ^ words[least[near]]) & (1 << 64) - 1).bit_count() <= simhash.WORD_RADIUS:
+                if least[near] != k and ((words[k] ^ words[least[near]]) & (1 << 64) - 1).bit_count() <= simhash.WORD_RADIUS and (bits[k] != bits[least[near]]).sum() <= simhash.STAGE_RADIUS:
                     want.add((max(k, least[near]), min(k, least[near])))
     got = {tuple(r) for r in simhash.segment_pairs(nodes).collect()}
     assert got == want
