@@ -43,3 +43,26 @@ def components(edges: DataFrame, rounds: int = 60) -> tuple[DataFrame, str]:
         if seen == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")), path
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def ends_of(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """u, v, root_u and root_v: the edges with their ends' roots by a table (node, root); an end that it lacks is its own."""
+    of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    both = edges.join(of("u"), "u", "left").join(of("v"), "v", "left")
+    return both.select("u", "v", F.coalesce("root_u", "u").alias("root_u"), F.coalesce("root_v", "v").alias("root_v"))
+
+
+def widened(roots: DataFrame, path: str, edges: DataFrame) -> tuple[DataFrame, str]:
+    """The components of a table (node, root), and its path, once further edges hold; the table at the path given is deleted.
+
+    What is together already isn't contracted again: only the edges' roots are,
+    each pair of them once, however many edges lie between two components.
+    """
+    moved, moved_path = components(ends_of(edges, roots).select(F.col("root_u").alias("u"), F.col("root_v").alias("v")))
+    tops = moved.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    rest = roots.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    # A node that moved was a root or in no component, so it has no row yet.
+    out = written(rest.unionByName(moved), "roots")
+    for old in (path, moved_path):
+        drop_path(edges.sparkSession, old)
+    return out

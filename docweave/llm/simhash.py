@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.common import documents, drop_path, each_batch, free_name, mark, rows_out, slices, written
-from docweave.llm.components import components
+from docweave.llm.components import components, ends_of, widened
 
 SHINGLE = 3
 SEED = 42
@@ -233,9 +233,7 @@ def segment_pairs(nodes: DataFrame) -> DataFrame:
 
 def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs (u, v) whose ends lie in different components, by a table (node, root)."""
-    of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-    both = pairs.distinct().join(of("u"), "u", "left").join(of("v"), "v", "left")
-    return both.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
+    return ends_of(pairs.distinct(), roots).where("root_u <> root_v").select("u", "v")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -303,40 +301,40 @@ def still_apart(rows: DataFrame) -> DataFrame:
     return a.join(b, meet).select(F.greatest("a.fp", "b.fp").alias("u"), F.least("a.fp", "b.fp").alias("v"))
 
 
-def set_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links (u, v) between the sets of a table (fp, print, segments, keys, node); all sets of a component stay connected.
+def set_components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, root) of the sets of a table (fp, print, segments, keys, node) that are linked to a smaller one.
 
-    First each set meets what its fingerprint's segments lead to. Where that
-    leaves the sets of a MinHash bucket in several components, each meets the
+    First each set meets the least of what its fingerprint's segments lead to,
+    then the others that this leaves in different components: a large group's sets
+    lead to many of each other, but seldom need more than one. Where segments
+    leave the sets of a MinHash bucket in several components, each meets the
     bucket's least one. Sets of a bucket that are still in several go on to an
     exact join by rare shingles: there again each set meets the least set of each
     of its shingles, and then those of other components that share a shingle of
     the prefix and can still reach the similarity from its place. So a large group
-    of copies is never listed pair by pair and no pair is left out.
+    of copies is never listed pair by pair and no pair is left out. Each step's
+    links widen the components of the steps before.
     """
     met, met_path = written(segment_pairs(nodes), "met")
     keyed = nodes.select("fp", F.explode("keys").alias("key"))
     shared, shared_path = written(met_least(keyed, "key"), "buckets")
     wanted = shared.select("fp").union(met.select("u")).union(met.select("v")).distinct().join(nodes, "fp").select(F.col("node").alias("doc_id")).distinct()
     sets, sets_path = written(documents(docs).join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "fp bigint, shingles array<bigint>, parity array<bigint>").dropDuplicates(["fp"]), "sets")
-    near, near_path = written(confirmed(met, sets), "links")
-    by_print, by_print_path = components(near)
-    first = apart(shared.where("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v")), by_print)
-    first, first_path = written(near.unionByName(confirmed(first, sets)), "links")
-    roots, roots_path = components(first)
+    roots, roots_path = components(confirmed(met.groupBy("u").agg(F.min("v").alias("v")), sets))
+    roots, roots_path = widened(roots, roots_path, confirmed(apart(met, roots), sets))
+    buckets = shared.where("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v"))
+    roots, roots_path = widened(roots, roots_path, confirmed(apart(buckets, roots), sets))
     left = shared.where("size > 2").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
     mixed = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     left = left.join(mixed, "key", "left_semi").select("fp").distinct()
     rare, rare_path = written(rare_shingles(sets, left), "rare")
-    star = apart(met_least(rare, "shingle").where("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v")), roots)
-    star, star_path = written(confirmed(star, sets), "links")
-    joined, joined_path = components(first.unionByName(star))
-    open_, open_path = written(sides(rare, joined, sets), "open")
-    rest = still_apart(open_)
-    links, _ = written(first.unionByName(star).unionByName(confirmed(rest, sets)), "links")
-    for path in (met_path, shared_path, sets_path, near_path, by_print_path, first_path, roots_path, rare_path, star_path, joined_path, open_path):
+    star = met_least(rare, "shingle").where("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v"))
+    roots, roots_path = widened(roots, roots_path, confirmed(apart(star, roots), sets))
+    open_, open_path = written(sides(rare, roots, sets), "open")
+    roots, _ = widened(roots, roots_path, confirmed(still_apart(open_), sets))
+    for path in (met_path, shared_path, sets_path, rare_path, open_path):
         drop_path(docs.sparkSession, path)
-    return links
+    return roots
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -344,7 +342,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     prints, _ = written(documents(docs).withColumn("mark", mark()).mapInArrow(_banded, BANDED_SQL), "bands")
     nodes, nodes_path = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("print", "segments", "keys"))), "nodes")
     # Sets are linked under their own names, as ids may repeat; the component's id is its least document's.
-    roots, _ = components(set_links(docs, nodes.where(F.col("node").isNotNull())))
+    roots = set_components(docs, nodes.where(F.col("node").isNotNull()))
     labels = nodes.select("fp", "node").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "node", F.coalesce("root", "fp").alias("root"))
     least = labels.groupBy("root").agg(F.min("node").alias("component_id"))
     labels = labels.join(least, "root").select("fp", F.col("root").alias("group"), "component_id")

@@ -14,6 +14,7 @@ import xxhash
 import corpus_pipeline
 from docweave.llm import decontaminate, langid, matroska, pieces, pii, simhash, toxicity
 from docweave.llm.common import table
+from docweave.llm import components as components_module
 from docweave.llm.components import components
 
 
@@ -394,6 +395,36 @@ def test_exact_join_of_sets_apart_leaves_out_no_pair_and_lists_few(spark):
     assert len(set(met)) < 120 * 119 // 2 // 2
 
 
+def test_a_group_of_near_copies_is_contracted_once_and_not_by_all_its_links(spark, monkeypatch):
+    """Its sets lead to many of each other; the rows that are contracted stay in proportion to the sets."""
+    texts = near_copies(11, 150, 1, 240) + near_copies(12, 150, 2, 60)
+    sets = [brute_set(t) for t in texts]
+    root = list(range(len(sets)))
+    for k, a in enumerate(sets):
+        for b in sorted({root[j] for j in range(k) if 10 * len(a & sets[j]) >= 8 * len(a | sets[j])}, reverse=True):
+            lo, hi = sorted((root[k], b))
+            root = [lo if r == hi else r for r in root]
+    contracted, contract = [], simhash.components
+    counted = lambda edges, *rest: contracted.append(edges.distinct().count()) or contract(edges, *rest)
+    for module in (simhash, components_module):
+        monkeypatch.setattr(module, "components", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == dict(enumerate(root))
+    assert sum(contracted) <= 1.5 * len(texts)
+
+
+def test_widened_components_are_those_of_all_edges(spark):
+    """Edges between and within components, of roots, of others and of nodes without any, several between the same two."""
+    old = [(5, 1), (6, 5), (9, 8), (20, 8), (30, 31)]
+    new = [(6, 20), (5, 9), (1, 8), (6, 1), (40, 41), (31, 50), (0, 50), (7, 7)]
+    table_ = lambda edges: spark.createDataFrame(edges, "u bigint, v bigint")
+    want = sorted(map(tuple, components(table_(old + new))[0].collect()))
+    roots, path = components(table_(old))
+    got, _ = components_module.widened(roots, path, table_(new))
+    assert sorted(map(tuple, got.collect())) == want
+    assert len(want) == 9
+
+
 @pytest.mark.parametrize("groups", [simhash.fingerprint_groups, simhash.near_duplicates])
 def test_rows_that_share_an_id_are_judged_by_their_own_text(spark, groups):
     copied, other, third = (" ".join(f"{c}{k}" for k in range(40)) for c in "abc")
