@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +23,9 @@ MIN_LINES, MIN_CROSSINGS = 2, 4
 START, END_TOKEN = "sos", "eos"
 MAX_REPEAT = 96
 
+#: A cell's row and column span, from its number and the spans that it states.
+Spans = Callable[[int, int | None, int | None], tuple[int, int]]
+
 
 def runs(points: DataFrame, keys: list[str], place: str, gap: int = RUN_GAP, minimum: int = 1) -> DataFrame:
     """keys, lo, hi and n of runs of points whose neighbours leave out at most ``gap`` places."""
@@ -190,3 +197,83 @@ def grid_extent(cells: DataFrame, keys: list[str], rows: str) -> DataFrame:
     return slots.groupBy(*keys).agg(
         F.greatest(F.max("r") + 1, F.max(rows)).alias("rows"), (F.max("c") + 1).alias("columns"), (F.count("*") > F.countDistinct("r", "c")).alias("overlap"), F.countDistinct("r", "c").alias("slots")
     )
+
+
+@lru_cache(maxsize=4096)
+def _spans(attrs: str) -> tuple[int | None, int | None]:
+    """Row and column span of a cell's joined tokens, by the rule of ``span_attribute``."""
+    found = (re.search(rf' {name}="([0-9]+)"', attrs) for name in ("rowspan", "colspan"))
+    row, col = (int(m[1].lstrip("0")[:3] or 0) if m else 1 for m in found)  # three digits are out of range already
+    return row if 1 <= row <= 20 else None, col if 1 <= col <= 20 else None
+
+
+def _cells(tokens: list[str | None]) -> Iterator[tuple[int, int, str]]:
+    """Row, number and joined tokens of a stream's cells, as ``cell_tokens`` has them."""
+    row, cell, attrs = -1, 0, []
+    for t in tokens:
+        if t == "</tr>" or t is None:
+            continue
+        if t in ("<td></td>", "<td", "<tr>"):
+            if attrs:
+                yield row, cell, "".join(attrs)
+                attrs = []
+            if t == "<tr>":
+                row += 1
+                continue
+            cell += 1
+        if cell and row >= 0:
+            attrs.append(t)
+    if attrs:
+        yield row, cell, "".join(attrs)
+
+
+def _extent(tokens: list[str | None], spans: Spans) -> tuple[int, int, int]:
+    """Rows, columns and slots of a stream's grid, its cells placed as by ``placed``; no rows where it has no cell."""
+    rows = columns = slots = 0
+    held: dict[int, list[tuple[int, int]]] = {}  # by row, the columns from and to that earlier rows' spans hold
+    at, column, ahead, k = -1, 0, [], 0
+    for row, cell, attrs in _cells(tokens):
+        down, width = spans(cell, *_spans(attrs))
+        if row != at:
+            at, column, ahead, k = row, 0, sorted(held.pop(row, ())), 0
+        while k < len(ahead) and ahead[k][0] < column + width:
+            if ahead[k][1] > column:
+                column = ahead[k][1]
+            k += 1
+        for r in range(row + 1, row + down):
+            held.setdefault(r, []).append((column, column + width))
+        column += width
+        slots += down * width
+        if row + down > rows:
+            rows = row + down
+        if column > columns:
+            columns = column
+    return rows, columns, slots
+
+
+def stream_extent(streams: DataFrame, keys: list[str], tokens: str, spans: Spans) -> DataFrame:
+    """What ``cell_tokens``, ``placed`` and ``grid_extent`` say of token streams, each an array in order, without a row for a token, a cell or a slot.
+
+    ``spans`` gives a cell's row and column span from its number and the spans that
+    it states (null where out of range). A cell takes columns that are free in its
+    row; what cells before it hold further down they hold in its row too. So no
+    slot is claimed twice, and slots are the sum of the cells' areas.
+    """
+    held = streams.select(*keys, tokens)
+    schema = T.StructType([*held.schema.fields[:-1], *(T.StructField(n, T.BooleanType() if n == "overlap" else T.LongType()) for n in ("rows", "columns", "overlap", "slots"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *names, stream = batch.columns
+            each = stream.flatten().dictionary_encode()
+            words = np.array([*each.dictionary.to_pylist(), None], object)
+            told = words[each.indices.fill_null(-1).to_numpy(zero_copy_only=False)].tolist()
+            found, at = [], 0
+            for n in stream.value_lengths().fill_null(0).to_pylist():
+                found.append(_extent(told[at : at + n], spans))
+                at += n
+            rows, columns, slots = (pa.array([f[k] for f in found], pa.int64()) for k in range(3))
+            out = pa.RecordBatch.from_arrays([*names, rows, columns, pa.array([False] * len(found), pa.bool_()), slots], names=schema.names)
+            yield out.filter(pc.greater(rows, 0))
+
+    return held.mapInArrow(run, schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -182,16 +182,29 @@ _TOKENS = """tok AS (SELECT o.l_orderkey AS tbl, rn * 10 + k AS pos, token FROM
     (VALUES (1, '<tr>'), (2, '<td></td>'), (3, '<td'), (4, ' colspan="'), (5, '</td>'), (6, '</tr>')) v(k, base) CROSS JOIN LATERAL (SELECT CASE WHEN k = 1 AND o.l_linenumber % 2 = 0 THEN NULL WHEN k = 6 AND o.l_linenumber % 2 = 1 THEN NULL WHEN k = 4 THEN base || (o.q % 23) || '">' ELSE base END AS token) WHERE token IS NOT NULL)"""
 
 
+def _line_tokens(number: Column, q: Column) -> list[Column]:
+    """The six places of a line's tokens: odd lines open a row, even ones close it, so rows hold several cells; null where nothing stands."""
+    odd = number % 2 == 1
+    return [F.when(odd, F.lit("<tr>")), F.lit("<td></td>"), F.lit("<td"), F.concat(F.lit(' colspan="'), (q % 23).cast("string"), F.lit('">')), F.lit("</td>"), F.when(~odd, F.lit("</tr>"))]
+
+
 def structure_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A token stream for each order: odd lines open a row, even ones close it, so rows hold several cells."""
+    """A token stream for each order, a row for each token."""
     line = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as tbl", "l_linenumber", "cast(l_quantity as bigint) as q").distinct()
     line = line.withColumn("rn", F.row_number().over(Window.partitionBy("tbl").orderBy("l_linenumber", "q")))
-    odd = F.col("l_linenumber") % 2 == 1
-    cell = [F.when(odd, F.lit("<tr>")), F.lit("<td></td>"), F.lit("<td"), F.concat(F.lit(' colspan="'), (F.col("q") % 23).cast("string"), F.lit('">')), F.lit("</td>"), F.when(~odd, F.lit("</tr>"))]
+    cell = _line_tokens(F.col("l_linenumber"), F.col("q"))
     each = F.array(*(F.struct((F.col("rn") * 10 + k).cast("bigint").alias("pos"), t.alias("token")) for k, t in enumerate(cell, 1)))
     return line.select("tbl", F.explode(each).alias("e")).select("tbl", "e.pos", "e.token").where("token is not null")
 
 
+def structure_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same streams, each an array: an order's distinct lines meet in one exchange and become tokens behind it."""
+    line = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as tbl", "struct(l_linenumber as number, cast(l_quantity as bigint) as q) as line")
+    orders = line.groupBy("tbl").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    tokens = F.flatten(F.transform("lines", lambda x: F.array(*_line_tokens(x["number"], x["q"]))))
+    return orders.select("tbl", F.array_compact(tokens).alias("tokens"))
+
+
 @REGISTRY.query(
     "grid_parse",
     f"""WITH {_TOKENS}, t AS (SELECT *, count(*) FILTER (token = '<tr>') OVER w - 1 AS r, count(*) FILTER (token IN ('<td></td>', '<td')) OVER w AS c FROM tok WINDOW w AS (PARTITION BY tbl ORDER BY pos ROWS UNBOUNDED PRECEDING)),
@@ -216,10 +229,7 @@ def grid_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT tbl, greatest(max(r) + 1, max(own) + 1) AS rows, max(c) + 1 AS columns, count(*) > count(DISTINCT (r, c)) AS overlap, count(DISTINCT (r, c)) AS slots FROM x GROUP BY tbl""",
 )
 def grid_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = tables.cell_tokens(structure_tokens(spark, sf_dir), ["tbl"], "pos", "token").select("tbl", "row", "cell", F.coalesce("row_span", F.lit(1)).cast("bigint").alias("row_span"), F.coalesce("col_span", F.lit(1)).cast("bigint").alias("col_span"))
-    cells = cells.withColumn("row_span", 1 + F.col("cell") % 2)
-    grid = tables.placed(cells, ["tbl"])
-    return tables.grid_extent(grid.withColumn("parsed", F.col("row") + 1), ["tbl"], "parsed")
+    return tables.stream_extent(structure_streams(spark, sf_dir), ["tbl"], "tokens", lambda cell, row_span, col_span: (1 + cell % 2, col_span or 1))
 
 
 @REGISTRY.query(
